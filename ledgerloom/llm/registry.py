@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup, packing, token_counts
+from ledgerloom.llm import exact_dedup, near_dedup, packing, token_counts, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op6_packing": packing.op6_packing,
+    "op9_vector_dedup": vector_dedup.op9_vector_dedup,
 }
 
-SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL}
+SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op9_vector_dedup": vector_dedup.SQL}

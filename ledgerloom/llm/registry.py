@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup, near_dedup, packing, token_counts, vector_dedup
+from ledgerloom.llm import exact_dedup, language_model, near_dedup, packing, quality, token_counts, toxicity, vector_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
+    "op8_quality": quality.op8_quality,
     "op9_vector_dedup": vector_dedup.op9_vector_dedup,
+    "op10_language_model": language_model.op10_language_model,
 }
 
 SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op9_vector_dedup": vector_dedup.SQL}

@@ -6,17 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import exact_dedup, language_model, near_dedup, packing, quality, token_counts, toxicity, vector_dedup
+from ledgerloom.llm import (
+    exact_dedup,
+    language_model,
+    licenses,
+    near_dedup,
+    packing,
+    pieces,
+    quality,
+    token_counts,
+    toxicity,
+    vector_dedup,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pieces": pieces.op1_pieces,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_packing": packing.op6_packing,
+    "op7_license_scan": licenses.op7_license_scan,
     "op8_quality": quality.op8_quality,
     "op9_vector_dedup": vector_dedup.op9_vector_dedup,
     "op10_language_model": language_model.op10_language_model,
 }
 
-SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op9_vector_dedup": vector_dedup.SQL}
+SQL: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.SQL,
+    "op7_license_scan": licenses.SQL,
+    "op9_vector_dedup": vector_dedup.SQL,
+}

@@ -4,12 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from ledgerloom.llm import exact_dedup, near_dedup, packing, quality, toxicity
+from ledgerloom.llm.common import load
+from ledgerloom.scratch import written
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier, learnt from this table's labelled documents, accepts."""
+    model = quality.fit(docs, load(spark, sf_dir, "labels"))
+    return toxicity.only(docs, model, accept=1, threshold=quality.THRESHOLD)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity classifier, learnt from this table's labelled documents, doesn't mark."""
+    model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
+    return toxicity.only(docs, model, accept=0, threshold=0.5)
+
+
+def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents of one text, the one with the largest id."""
+    return exact_dedup.keep_one(docs)
+
+
+def one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the document with the smallest id."""
+    return near_dedup.keep_one(docs)
+
+
+def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, in sequences of 2048 tokens."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality", good_quality), ("toxicity", not_toxic), ("exact copies", one_of_equal), ("near copies", one_of_near), ("packing", into_sequences),
+]
+
+#: Classifiers, sampling and tokens are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; what a stage keeps is written to the shared folder and read by the next."""
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,10 +1,541 @@
-"""All queries of the linkage engine by name, with their SQL."""
+"""All queries of the linkage engine by name, with their SQL where another engine can say the same."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ledgerloom import oracle as o
+from ledgerloom.constants import MATCHER as M
+from ledgerloom.functions import scoring, text
+from ledgerloom.operators import assignment, blocking, decision, dedup, evaluation, explain, review
+from ledgerloom.plans import matching, views
+from ledgerloom.sources import qr, webhooks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def register(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+def naive(c: str) -> F.Column:
+    return F.col(c).cast("timestamp_ntz").alias(c)
+
+
+def counted(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("tx_id").alias("first_tx"), F.max("tx_id").alias("last_tx"))
+
+
+def candidates_sql(condition: str) -> str:
+    return o.chain(*o.TO_DOCS) + f" SELECT doc_id, count(*) AS n, min(tx_id) AS first_tx, max(tx_id) AS last_tx FROM {o.SCOPED} WHERE {condition} GROUP BY doc_id"
+
+
+# --- blocking ---------------------------------------------------------------------------------------------------------
+
+
+@query(candidates_sql("true"))
+def q_scope_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scoped, _ = matching.scoped_tables(spark, sf_dir)
+    return counted(docs.select("doc_id", "scope").join(scoped.select("tx_id", "scope"), "scope"))
+
+
+@query(candidates_sql(o.NEAR.format(days=30)))
+def q_interval_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scoped, _ = matching.scoped_tables(spark, sf_dir)
+    return counted(blocking.window_pairs(docs, scoped, M.safety_days))
+
+
+@query(candidates_sql(o.NEAR.format(days=14) + " AND doc_card = tx_card"))
+def q_card_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scoped, _ = matching.scoped_tables(spark, sf_dir)
+    return counted(blocking.window_pairs(docs, scoped, M.max_days, [("doc_card", "tx_card")]))
+
+
+@query(candidates_sql(o.NEAR.format(days=14) + " AND " + o.BAND))
+def q_amount_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scoped, _ = matching.scoped_tables(spark, sf_dir)
+    return counted(blocking.amount_pairs(docs, scoped, M.max_days))
+
+
+@query(candidates_sql("doc_auth = tx_auth OR doc_invoice = tx_invoice OR doc_vat = tx_vat"))
+def q_identifier_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scoped, _ = matching.scoped_tables(spark, sf_dir)
+    return counted(blocking.identifier_pairs(docs, scoped).distinct())
+
+
+@query(candidates_sql(o.NEAR.format(days=30) + " OR doc_auth = tx_auth OR doc_invoice = tx_invoice OR doc_vat = tx_vat"))
+def q_block_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scoped, _ = matching.scoped_tables(spark, sf_dir)
+    return counted(blocking.candidate_pairs(docs, scoped))
+
+
+ALIASES_SQL = f"""
+confirmed AS (SELECT b.client_id, r.doc_merchant, b.tx_merchant, r.received_at, r.doc_id FROM receipts r JOIN ledger b ON b.tx_id = r.doc_id WHERE r.doc_id % 10 = 0),
+keyed AS (SELECT *, {o.normalized('doc_merchant')} AS normalized_alias, {o.normalized('tx_merchant')} AS canonical_normalized FROM confirmed),
+aliases AS (
+    SELECT client_id, normalized_alias, canonical_normalized, arg_max(doc_merchant, (received_at, doc_id)) AS alias, arg_max(tx_merchant, (received_at, doc_id)) AS canonical_merchant_name,
+        count(*) AS confirmation_count, max(received_at) AS last_confirmed_at
+    FROM keyed WHERE normalized_alias <> '' AND canonical_normalized <> '' GROUP BY ALL)"""
+
+
+def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reviewers would have taught by confirming every tenth receipt's own transaction."""
+    receipts = views.receipts(spark, sf_dir).where("doc_id % 10 = 0").select("doc_id", "doc_merchant", "received_at")
+    ledger = views.ledger(spark, sf_dir).select("tx_id", "client_id", "tx_merchant")
+    return review.learned_aliases(receipts.join(ledger, F.col("doc_id") == F.col("tx_id")).select(
+        "client_id", F.col("doc_merchant").alias("document_merchant"), F.col("tx_merchant").alias("transaction_merchant"), F.col("received_at").alias("decided_at"), F.col("doc_id").alias("id")))
+
+
+@query(o.chain(*o.TO_DOCS, ALIASES_SQL) + " SELECT * FROM aliases")
+def q_alias_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aliases(spark, sf_dir).withColumn("last_confirmed_at", F.col("last_confirmed_at").cast("timestamp_ntz"))
+
+
+@query(o.chain(*o.TO_DOCS, ALIASES_SQL) + f"""
+SELECT doc_id, count(*) AS n, min(tx_id) AS first_tx, max(tx_id) AS last_tx FROM (
+    SELECT DISTINCT doc_id, tx_id FROM (SELECT *, {o.normalized('doc_merchant')} AS doc_core FROM docs) d
+    JOIN aliases a ON a.client_id = d.doc_client AND a.normalized_alias = d.doc_core
+    JOIN ledger l ON l.client_id = a.client_id AND l.tx_merchant = a.canonical_merchant_name WHERE {o.NEAR.format(days=30)}) GROUP BY doc_id""")
+def q_alias_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scoped, _ = matching.scoped_tables(spark, sf_dir)
+    return counted(blocking.alias_pairs(docs, scoped, aliases(spark, sf_dir)).select("doc_id", "tx_id").distinct())
+
+
+@query(o.chain(*o.TO_DOCS, ALIASES_SQL) + """
+SELECT client_id, canonical_normalized AS core, array_to_string(list_sort(list_distinct(list(alias))), ',') AS aliases FROM aliases GROUP BY client_id, canonical_normalized""")
+def q_alias_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.attached_aliases(aliases(spark, sf_dir)).withColumn("aliases", F.array_join("aliases", ","))
+
+
+def some_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored matches of every seventh transaction, of the states in turn."""
+    state = F.element_at(F.array(*map(F.lit, ("CANDIDATE", "CONFIRMED", "AUTO_CONFIRMED", "REJECTED"))), (F.col("tx_id") % 4 + 1).cast("int"))
+    return views.ledger(spark, sf_dir).where("tx_id % 7 = 0").select(
+        F.col("tx_id").alias("id"), (F.col("tx_id") + 1).alias("document_id"), F.col("tx_id").alias("transaction_id"), state.alias("status"))
+
+
+@query(o.chain(o.LEDGER) + " SELECT tx_id, tx_id % 7 = 0 AND tx_id % 4 IN (1, 2) AS has_confirmed_document FROM ledger")
+def q_confirmed_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.confirmed_marks(views.ledger(spark, sf_dir), some_matches(spark, sf_dir)).select("tx_id", "has_confirmed_document")
+
+
+@query(o.chain(*o.TO_DOCS, o.NAMES, o.PAIRS, o.FREQUENT) + " SELECT doc_id, tx_id, merchant_frequency, amount_frequency FROM frequent")
+def q_block_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scoped, ledger = matching.scoped_tables(spark, sf_dir)
+    named = views.with_names(ledger.select("tx_id", "tx_merchant", "tx_amount"), "tx")
+    pairs = blocking.candidate_pairs(docs, scoped).join(named, "tx_id")
+    return blocking.with_frequencies(pairs).select("doc_id", "tx_id", "merchant_frequency", "amount_frequency")
+
+
+# --- scalar functions -------------------------------------------------------------------------------------------------
+
+
+@query(o.chain(*o.TO_DOCS, o.PAIRS) + f" SELECT doc_id, tx_id, {o.round3(o.AMOUNT.format(tip=o.TIP))} AS score FROM pairs")
+def q_score_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = plain_pairs(spark, sf_dir)
+    tip = scoring.tip_eligible(F.col("doc_type"), F.col("tx_category"), F.col("tx_merchant"))
+    return pairs.select("doc_id", "tx_id", text.round3(scoring.score_amount(F.col("doc_amount"), F.col("tx_amount"), tip)).alias("score"))
+
+
+@query(o.chain(*o.TO_DOCS, o.PAIRS) + f" SELECT doc_id, tx_id, {o.round3(o.DATE)} AS score FROM pairs")
+def q_score_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_pairs(spark, sf_dir).select("doc_id", "tx_id", text.round3(scoring.score_date(F.col("doc_date"), F.col("tx_at"))).alias("score"))
+
+
+def plain_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scoped, ledger = matching.scoped_tables(spark, sf_dir)
+    return blocking.candidate_pairs(docs, scoped).join(docs.select(*views.DOC_COLUMNS), "doc_id").join(ledger.select(*views.TX_COLUMNS), "tx_id")
+
+
+@query(o.chain(o.LEDGER) + f" SELECT tx_merchant, {o.normalized('tx_merchant')} AS core FROM (SELECT DISTINCT tx_merchant FROM ledger)")
+def q_normalize_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.merchant_dictionary(views.ledger(spark, sf_dir), "tx_merchant").select(F.col("name").alias("tx_merchant"), F.col("normalized").alias("core"))
+
+
+@query(o.chain(o.LEDGER) + f" SELECT tx_merchant, {o.city('tx_merchant')} AS city, {o.branch('tx_merchant')} AS branch FROM (SELECT DISTINCT tx_merchant FROM ledger)")
+def q_merchant_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = views.ledger(spark, sf_dir).select("tx_merchant").distinct()
+    return each.select("tx_merchant", text.merchant_city("tx_merchant").alias("city"), text.merchant_branch("tx_merchant").alias("branch"))
+
+
+def core_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of distinct part names' cores: a table of names, some dozens on either side."""
+    names = views.load(spark, sf_dir, "part").select("p_name").distinct()
+    left = names.select(text.normalize_merchant(F.concat("p_name", F.lit(" Station"))).alias("doc_core")).distinct()
+    right = names.select(text.normalize_merchant(F.upper("p_name")).alias("tx_core")).distinct()
+    first = F.substring("doc_core", 1, 1) == F.substring("tx_core", 1, 1)
+    return left.join(right, first)
+
+
+CORES = f"""
+cores AS (SELECT DISTINCT {o.normalized("p_name || ' Station'")} AS doc_core FROM part), others AS (SELECT DISTINCT {o.normalized('upper(p_name)')} AS tx_core FROM part),
+core_pairs AS (SELECT doc_core, tx_core, string_split(doc_core, ' ') AS a, string_split(tx_core, ' ') AS b, {o.grams('doc_core')} AS x, {o.grams('tx_core')} AS y FROM cores JOIN others ON doc_core[1] = tx_core[1]),
+""" + o.NAMES[o.NAMES.index("core_parts AS") :]
+
+
+@query("WITH " + CORES + f" SELECT doc_core, tx_core, {o.round3('jaccard')} AS jaccard, {o.round3('dice')} AS dice, merchant_score FROM core_scores")
+def q_merchant_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("doc_core"), F.col("tx_core")
+    return core_pairs(spark, sf_dir).select(
+        a, b, text.round3(scoring.jaccard(a, b)).alias("jaccard"), text.round3(scoring.dice(a, b)).alias("dice"), scoring.score_merchant(a, b).alias("merchant_score"))
+
+
+@query("""SELECT c_custkey, '+' || regexp_replace('00966-5' || c_custkey::VARCHAR || ' ext', '[^0-9]', '', 'g') AS phone,
+    right(regexp_replace(c_name, '[^0-9]', '', 'g'), 4) AS card, regexp_replace(upper(trim(' ' || c_name || '/' || c_mktsegment || ' ')), '[^A-Z0-9]', '', 'g') AS identifier,
+    upper(trim(' sar ')) AS currency FROM customer""")
+def q_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey").cast("string")
+    return views.load(spark, sf_dir, "customer").select(
+        "c_custkey", text.normalize_phone(F.concat(F.lit("00966-5"), key, F.lit(" ext"))).alias("phone"), text.normalize_card("c_name").alias("card"),
+        text.normalize_identifier(F.concat(F.lit(" "), "c_name", F.lit("/"), "c_mktsegment", F.lit(" "))).alias("identifier"), text.normalize_currency(F.lit(" sar ")).alias("currency"))
+
+
+@query("""SELECT o_orderkey, printf('%.2f', floor(o_totalprice * 100 + 0.5e0)::BIGINT / 100e0) || ' SAR' AS money,
+    CASE WHEN (o_orderkey % 101) / 100e0 >= 0.9e0 THEN 'strong' WHEN (o_orderkey % 101) / 100e0 <= 0.05e0 THEN 'conflict' ELSE 'partial' END AS label FROM orders""")
+def q_format_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minor = F.floor(F.col("o_totalprice") * 100 + F.lit(0.5)).cast("long")
+    return views.load(spark, sf_dir, "orders").select(
+        "o_orderkey", text.format_money(minor, F.lit("SAR")).alias("money"), text.signal_label((F.col("o_orderkey") % 101) / F.lit(100.0)).alias("label"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'LEGACY_MATCHED' WHEN 'O' THEN 'LEGACY_UNMATCHED' ELSE 'AMBIGUOUS_MATCH' END AS reason,
+    (o_orderkey % 1001) / 1000e0 * (0.5e0 + 0.5e0 * ((o_orderkey % 11) / 10e0)) AS decision_confidence FROM orders""")
+def q_legacy_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "MATCHED").when(F.col("o_orderstatus") == "O", "UNMATCHED").otherwise("NEEDS_REVIEW")
+    key = F.col("o_orderkey")
+    return views.load(spark, sf_dir, "orders").select(
+        key, explain.legacy_reason(status, F.lit(None).cast("string")).alias("reason"), explain.legacy_decision_confidence((key % 1001) / F.lit(1000.0), (key % 11) / F.lit(10.0)).alias("decision_confidence"))
+
+
+# --- scoring and decisions --------------------------------------------------------------------------------------------
+
+
+def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scoped, ledger = matching.scoped_tables(spark, sf_dir)
+    return matching.scored(docs, ledger.withColumn("has_confirmed_document", F.lit(False)), blocking.candidate_pairs(docs, scoped))
+
+
+@query(o.chain(*o.TO_SCORED) + " SELECT doc_id, tx_id, confidence, decision_confidence, evidence_coverage, array_to_string(contradictions, ',') AS contradictions, n_signals FROM scored")
+def q_pair_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_pairs(spark, sf_dir).select(
+        "doc_id", "tx_id", "confidence", "decision_confidence", "evidence_coverage", F.array_join("contradictions", ",").alias("contradictions"), F.size("available_signals").alias("n_signals"))
+
+
+@query(o.chain(*o.TO_RANKED) + " SELECT doc_id, tx_id, rank::INTEGER AS rank, decision_confidence, gap FROM ranked")
+def q_topk_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision.gaps(decision.ranked(scored_pairs(spark, sf_dir))).select("doc_id", "tx_id", "rank", "decision_confidence", "gap")
+
+
+@query(o.chain(*o.TO_OUTCOMES) + """ SELECT doc_id, outcome, reason, coalesce(scoped, 0)::BIGINT AS scoped_candidate_count,
+    CASE WHEN reason IN ('NO_SCOPED_TRANSACTIONS', 'NO_CANDIDATE_ABOVE_DISPLAY_THRESHOLD') THEN 0 ELSE displayed END::BIGINT AS displayed_candidate_count,
+    coalesce(top, best) AS top_score, CASE WHEN outcome <> 'UNMATCHED' THEN tx_id END AS tx_id FROM outcomes""")
+def q_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.matched(spark, sf_dir).select("doc_id", "outcome", "reason", "scoped_candidate_count", "displayed_candidate_count", "top_score", "tx_id")
+
+
+@query(o.chain(*o.TO_OUTCOMES) + " SELECT outcome, reason, count(*) AS n FROM outcomes GROUP BY outcome, reason")
+def q_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.matched(spark, sf_dir).groupBy("outcome", "reason").agg(F.count("*").alias("n"))
+
+
+@query(o.chain(*o.TO_DOCS) + f" SELECT doc_id, {o.AUDIT} AS sampled FROM docs")
+def q_audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.receipts(spark, sf_dir).where(F.col("extraction_confidence") >= M.min_extraction)
+    return docs.select("doc_id", decision.audit_sampled(F.col("doc_id")).alias("sampled"))
+
+
+@query(o.chain(*o.TO_FINAL) + """ SELECT doc_id, CASE WHEN wins THEN 'MATCHED' WHEN outcome = 'UNMATCHED' THEN 'UNMATCHED' ELSE 'NEEDS_REVIEW' END AS status,
+    CASE WHEN wins THEN 'AUTO_MATCHED' WHEN audited THEN 'AUTO_MATCH_AUDIT' WHEN outcome = 'UNMATCHED' THEN reason ELSE 'AMBIGUOUS_MATCH' END AS status_reason FROM finals""")
+def q_uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision.one_document_each(matching.matched(spark, sf_dir)).select("doc_id", "status", "status_reason")
+
+
+@query(o.chain(*o.TO_FINAL) + """ SELECT r.doc_id AS document_id, r.tx_id AS transaction_id, r.confidence, r.decision_confidence, r.rank::INTEGER AS rank,
+    CASE WHEN f.wins THEN 'AUTO_CONFIRMED' ELSE 'CANDIDATE' END AS match_status FROM finals f JOIN ranked r ON r.doc_id = f.doc_id
+    WHERE f.outcome <> 'UNMATCHED' AND (NOT f.wins OR r.rank = 1)""")
+def q_match_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    final = decision.one_document_each(matching.matched(spark, sf_dir))
+    return decision.match_rows(final).select("document_id", "transaction_id", "confidence", "decision_confidence", "rank", "match_status")
+
+
+@query()
+def q_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = decision.ranked(scored_pairs(spark, sf_dir))
+    return assignment.assign(shown.select(F.col("doc_id").alias("document_id"), F.col("tx_id").alias("transaction_id"), F.col("decision_confidence").alias("score")))
+
+
+@query()
+def q_rematch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts of every ninth transaction, met again after their ledger rows came in."""
+    docs = views.receipts(spark, sf_dir).where("doc_id % 9 = 0 AND extraction_confidence >= 0.3")
+    return matching.rematch(docs, views.ledger(spark, sf_dir), views.client_email(spark, sf_dir), some_matches(spark, sf_dir))
+
+
+# --- identity and quality ---------------------------------------------------------------------------------------------
+
+
+@query(o.chain(*o.TO_DOCS) + " SELECT doc_id, 'client:' || doc_client::VARCHAR AS owner_key FROM docs UNION ALL SELECT tx_id, CASE WHEN tx_id % 2 = 0 THEN 'client:' || client_id::VARCHAR ELSE 'phone:+1' || tx_id::VARCHAR END FROM ledger WHERE tx_id % 3 = 1")
+def q_owner_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger, docs = views.ledger(spark, sf_dir), views.receipts(spark, sf_dir).where("extraction_confidence >= 0.3")
+    phones = ledger.where("tx_id % 3 = 1").select(
+        F.col("tx_id").alias("doc_id"), F.lit("WHATSAPP").alias("source"),
+        F.when(F.col("tx_id") % 2 == 0, F.replace("driver_phone", F.lit("+"), F.lit(""))).otherwise(F.concat(F.lit("1"), F.col("tx_id").cast("string"))).alias("sender_identifier"))
+    both = docs.select("doc_id", "source", "sender_identifier").unionByName(phones)
+    return dedup.owner_keys(both, views.client_email(spark, sf_dir), ledger).select("doc_id", "owner_key")
+
+
+@query(o.chain(*o.TO_DOCS) + f""" SELECT doc_id, sha256(CASE WHEN doc_auth IS NOT NULL THEN 'AUTH:' || {o.IDENTIFIER.format(c='doc_auth')}
+    WHEN doc_invoice IS NOT NULL THEN 'INVOICE:' || coalesce(nullif({o.IDENTIFIER.format(c="coalesce(doc_vat, '')")}, ''), {o.normalized('doc_merchant')}) || ':' || {o.IDENTIFIER.format(c='doc_invoice')} END) AS fingerprint FROM docs""")
+def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = views.receipts(spark, sf_dir).where("extraction_confidence >= 0.3")
+    return docs.select("doc_id", dedup.fingerprint(*[F.col(f"doc_{c}") for c in ("auth", "invoice", "vat", "merchant")], F.lit(None).cast("string")).alias("fingerprint"))
+
+
+@query("SELECT doc_id AS id, nullif(min(doc_id) OVER (PARTITION BY source, text), doc_id) AS duplicate_of FROM documents")
+def q_content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("owner_key"), dedup.content_hash(F.col("text")).alias("content_hash"))
+    return dedup.first_of(rows, ["owner_key", "content_hash"], ["id"]).select("id", "duplicate_of")
+
+
+@query("SELECT event_id AS id, nullif(min(event_id) OVER (PARTITION BY event_type, user_id, props), event_id) AS duplicate_of FROM events")
+def q_provider_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("source"), F.concat_ws(":", "user_id", "props").alias("external_id"))
+    return dedup.first_of(rows, ["source", "external_id"], ["id"]).select("id", "duplicate_of")
+
+
+@query()
+def q_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that no earlier surviving document shares a text or a length and source with."""
+    rows = views.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", dedup.content_hash(F.col("text")).alias("content_hash"), "n_chars")
+    return dedup.survivors(rows, [["source", "content_hash"], ["source", "n_chars"]])
+
+
+@query(o.chain(*o.TO_DOCS) + " SELECT doc_id, CASE WHEN doc_type = 'UNKNOWN' OR extraction_confidence < 0.3e0 OR doc_amount IS NULL THEN 'FAILED' ELSE 'EXTRACTED' END AS status FROM receipts")
+def q_quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.receipts(spark, sf_dir).select("doc_id", quality_status().alias("status"))
+
+
+def quality_status() -> F.Column:
+    """FAILED where too little was read to match by."""
+    low = (F.col("doc_type") == "UNKNOWN") | (F.col("extraction_confidence") < M.min_extraction) | F.col("doc_amount").isNull()
+    return F.when(low, "FAILED").otherwise("EXTRACTED")
+
+
+# --- evaluation -------------------------------------------------------------------------------------------------------
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = views.load(spark, sf_dir, "documents"), views.load(spark, sf_dir, "labels")
+    score = (F.col("n_chars") % 1001).cast("double") / 1000
+    return docs.join(labels, "doc_id").select(
+        "doc_id", score.alias("score"), (F.col("quality") == 1).alias("correct"), (score >= M.auto).alias("auto_matched"),
+        F.nullif((F.col("n_chars") % 7).cast("int"), F.lit(0)).alias("rank_of_correct"))
+
+
+@query("WITH " + o.PREDICTIONS + """ SELECT count(*) AS examples, count_if(auto_matched AND correct)::BIGINT AS true_positives, count_if(auto_matched AND NOT correct)::BIGINT AS false_positives,
+    count_if(NOT auto_matched AND NOT correct)::BIGINT AS true_negatives, count_if(NOT auto_matched AND correct)::BIGINT AS false_negatives, round(avg(correct::INTEGER), 9) AS top1_accuracy,
+    round(count_if(auto_matched) / count(*), 9) AS auto_coverage, round(avg(pow(score - correct::INTEGER, 2)), 9) AS brier_score,
+    round(count_if(auto_matched AND correct) / count_if(auto_matched), 9) AS auto_precision FROM predictions""")
+def q_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = evaluation.metrics(predictions(spark, sf_dir))
+    return m.select("examples", "true_positives", "false_positives", "true_negatives", "false_negatives", *[F.round(c, 9).alias(c) for c in ("top1_accuracy", "auto_coverage", "brier_score", "auto_precision")])
+
+
+@query("WITH " + o.PREDICTIONS + ", ks AS (SELECT unnest([1, 3, 5]) AS k) SELECT k::INTEGER AS k, round(avg(coalesce(rank_of_correct <= k, false)::INTEGER), 9) AS recall FROM predictions, ks GROUP BY k")
+def q_recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.recall_at(predictions(spark, sf_dir)).withColumn("recall", F.round("recall", 9))
+
+
+@query("WITH " + o.PREDICTIONS + """, binned AS (SELECT least(floor(score * 10), 9)::INTEGER AS bin, * FROM predictions), sums AS (SELECT bin, count(*) AS n, avg(score) AS s, avg(correct::INTEGER) AS c FROM binned GROUP BY bin)
+    SELECT round(sum(n * abs(s - c)) / sum(n), 9) AS expected_calibration_error FROM sums""")
+def q_calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.metrics(predictions(spark, sf_dir)).select(F.round("expected_calibration_error", 9).alias("expected_calibration_error"))
+
+
+@query("WITH " + o.PREDICTIONS + """, tails AS (SELECT t.score AS threshold, count(*) AS n, count_if(p.correct) AS hits FROM (SELECT DISTINCT score FROM predictions) t JOIN predictions p ON p.score >= t.score GROUP BY t.score)
+    SELECT threshold, hits / n AS precision, n / (SELECT count(*) FROM predictions) AS coverage FROM tails WHERE hits / n >= 0.9 ORDER BY threshold LIMIT 1""")
+def q_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.threshold(predictions(spark, sf_dir), target=0.9)
+
+
+@query()
+def q_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.isotonic_points(predictions(spark, sf_dir))
+
+
+# --- review -----------------------------------------------------------------------------------------------------------
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions about every eleventh receipt, with a snapshot of two candidates: its own transaction and the next."""
+    key = F.col("doc_id")
+    entry = lambda place, tx, score, state: F.struct(
+        F.lit(place).alias("place"), (key * 10 + place).alias("id"), tx.alias("transaction_id"), F.lit(place).alias("rank"), score.alias("confidence"), score.alias("decision_confidence"),
+        F.lit(0.75).alias("evidence_coverage"), F.array().cast("array<string>").alias("contradictions"), F.lit(state).alias("status"))
+    own, other = (key % 100) / F.lit(100.0), (key % 37) / F.lit(50.0)
+    return views.receipts(spark, sf_dir).where("doc_id % 11 = 0").select(
+        key.alias("id"), key.alias("document_id"), (key * 10 + 1).alias("match_id"), key.alias("transaction_id"), F.when(key % 2 == 0, "CONFIRM").otherwise("REJECT").alias("action"),
+        F.when(key % 2 == 1, "WRONG_DATE").alias("reason"), F.array(entry(1, key, own, "CANDIDATE"), entry(2, key + 1, other, "REJECTED")).alias("candidate_snapshot"), F.col("received_at").alias("created_at"))
+
+
+EVENTS_SQL = """
+events_ AS (SELECT doc_id AS id, doc_id % 2 = 0 AS confirmed, (doc_id % 100) / 100e0 AS own, (doc_id % 37) / 50e0 AS other, received_at AS created_at FROM receipts WHERE doc_id % 11 = 0)"""
+
+
+@query(o.chain(*o.TO_DOCS, EVENTS_SQL) + """ SELECT id AS event_id, greatest(own, other) AS score, confirmed AND own >= other AS correct,
+    greatest(own, other) >= 0.82e0 AND greatest(own, other) - least(own, other) >= 0.12e0 AS auto_matched, CASE WHEN confirmed THEN CASE WHEN own >= other THEN 1 ELSE 2 END END::INTEGER AS rank_of_correct FROM events_""")
+def q_labels_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.labelled_from_events(events(spark, sf_dir))
+
+
+@query(o.chain(*o.TO_DOCS, EVENTS_SQL) + """, newest AS (SELECT * FROM events_ ORDER BY created_at DESC, id DESC LIMIT 100)
+    SELECT 'DECISION' AS kind, id AS document_id, CASE WHEN confirmed THEN 'CONFIRM' ELSE 'REJECT' END AS action, CASE WHEN NOT confirmed THEN 'Wrong date' END AS reason, own AS decision_confidence, created_at AS occurred_at FROM newest
+    UNION ALL SELECT 'LIFECYCLE', doc_id, 'MATCHED', NULL, NULL, received_at FROM receipts WHERE doc_id % 11 IN (0, 1) AND doc_id NOT IN (SELECT id FROM newest)""")
+def q_history_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = views.receipts(spark, sf_dir).where("doc_id % 11 IN (0, 1)").select(F.col("doc_id").alias("id"), F.lit("MATCHED").alias("status"), F.col("received_at").alias("updated_at"))
+    return review.history(events(spark, sf_dir), documents).select("kind", "document_id", "action", "reason", "decision_confidence", naive("occurred_at"))
+
+
+@query(o.chain(*o.TO_FINAL) + """, each AS (SELECT CASE WHEN wins THEN 'MATCHED' WHEN outcome = 'UNMATCHED' THEN 'UNMATCHED' ELSE 'NEEDS_REVIEW' END AS status FROM finals)
+    SELECT status, count(*) AS n, floor(100e0 * (SELECT count(*) FROM each WHERE status = 'MATCHED') / (SELECT count(*) FROM each) + 0.5e0)::BIGINT AS matched_rate FROM each GROUP BY status""")
+def q_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.status_totals(decision.one_document_each(matching.matched(spark, sf_dir)))
+
+
+@query(o.chain(*o.TO_OUTCOMES) + f""", seconds AS (SELECT doc_id, decision_confidence AS second FROM ranked WHERE rank = 2),
+    queue AS (SELECT r.doc_id, r.decision_confidence AS top, r.decision_confidence - coalesce(second, 0e0) AS gap, len(r.contradictions) AS n FROM ranked r JOIN outcomes o ON o.doc_id = r.doc_id LEFT JOIN seconds s ON s.doc_id = r.doc_id WHERE r.rank = 1 AND outcome = 'NEEDS_REVIEW')
+    SELECT doc_id, top, gap, {o.round3("1e0 - least(1e0, abs(top - 0.82e0) / 0.27e0) + greatest(0e0, 0.12e0 - gap) / 0.12e0 + 0.25e0 * n")} AS priority FROM queue""")
+def q_review_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    final = matching.matched(spark, sf_dir).where("outcome = 'NEEDS_REVIEW'").select("doc_id", "received_at", F.explode("candidates").alias("c"))
+    queue = review.review_queue(final.select("doc_id", "received_at", "c.rank", "c.decision_confidence", "c.contradictions"))
+    return queue.select("doc_id", "top", "gap", text.round3(F.col("priority")).alias("priority"))
+
+
+@query()
+def q_decision_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every fifth receipt, two for each, decided by turns; neighbours compete for a transaction."""
+    key = F.col("doc_id")
+    matches = views.receipts(spark, sf_dir).where("doc_id % 5 = 0").select(
+        key.alias("document_id"), F.explode(F.array(key, key + 15)).alias("transaction_id")).select(
+        (F.col("document_id") * 1000 + F.col("transaction_id") % 1000).alias("id"), "document_id", "transaction_id", F.lit("CANDIDATE").alias("status"))
+    acts = matches.where("id % 3 = 0").select(
+        F.col("id").alias("match_id"), F.when(F.col("id") % 2 == 0, "CONFIRM").otherwise("REJECT").alias("action"), F.timestamp_seconds(F.col("document_id")).alias("decided_at"), F.col("id").alias("seq"))
+    return review.fold_decisions(matches, acts).select("id", "document_id", "transaction_id", "status", "error")
+
+
+# --- explanations -----------------------------------------------------------------------------------------------------
+
+
+def open_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    final = matching.matched(spark, sf_dir).where("outcome = 'NEEDS_REVIEW'").select("doc_id", F.explode("candidates").alias("c"))
+    dates = views.receipts(spark, sf_dir).select("doc_id", (F.col("doc_date_source") == "PRINTED").alias("has_date"))
+    return final.select(
+        "doc_id", (F.col("doc_id") * 100 + F.col("c.rank")).alias("match_id"), F.col("c.tx_id").alias("tx_id"), "c.rank", "c.confidence", "c.decision_confidence", "c.evidence_coverage",
+        F.map_from_entries("c.signals").alias("signals"), "c.contradictions", F.lit(False).alias("has_confirmed_document"), F.lit("AMBIGUOUS_MATCH").alias("review_reason")).join(dates, "doc_id")
+
+
+TRIGGERS_SQL = """, opened AS (SELECT r.*, count(*) OVER (PARTITION BY r.doc_id) AS n, first_value(r.decision_confidence) OVER w AS best, nth_value(r.decision_confidence, 2) OVER w AS second
+        FROM ranked r JOIN outcomes o ON o.doc_id = r.doc_id WHERE outcome = 'NEEDS_REVIEW' WINDOW w AS (PARTITION BY r.doc_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+
+@query(o.chain(*o.TO_OUTCOMES) + TRIGGERS_SQL + """ SELECT doc_id, tx_id, rank::INTEGER AS position, array_to_string(list_filter([
+    CASE WHEN n > 1 AND best = decision_confidence AND best - second < 0.12e0 THEN 'TOP_CANDIDATES_TOO_CLOSE' END, CASE WHEN doc_date_source = 'RECEIVED_AT' THEN 'RECEIVED_DATE_FALLBACK' END,
+    CASE WHEN evidence_coverage < 0.7e0 THEN 'LOW_EVIDENCE' END, CASE WHEN n_signals < 3 THEN 'TOO_FEW_SIGNALS' END, CASE WHEN len(contradictions) > 0 THEN 'CONTRADICTION' END,
+    CASE WHEN decision_confidence < 0.82e0 THEN 'BELOW_AUTO_THRESHOLD' END, CASE WHEN rank > 1 THEN 'LOWER_RANKED' END], lambda x: x IS NOT NULL), ',') AS triggers FROM opened""")
+def q_review_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.review_triggers(open_candidates(spark, sf_dir)).select("doc_id", "tx_id", "position", F.array_join("triggers", ",").alias("triggers"))
+
+
+@query()
+def q_match_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.local_explanation(explain.review_triggers(open_candidates(spark, sf_dir))).select("doc_id", "tx_id", "explanation")
+
+
+@query(o.chain(*o.TO_OUTCOMES) + f""" SELECT doc_id, CASE coalesce(reason, outcome) WHEN 'AUTO_MATCHED' THEN 'Matched automatically' WHEN 'NEEDS_REVIEW' THEN 'Sent to review because the decision was ambiguous'
+    WHEN 'NO_SCOPED_TRANSACTIONS' THEN 'No authorized transaction was available' WHEN 'NO_CANDIDATE_ABOVE_DISPLAY_THRESHOLD' THEN 'Every candidate was implausible' ELSE 'The best candidate was too weak' END AS title,
+    array_to_string(list_filter([CASE WHEN coalesce(top, best) IS NOT NULL THEN 'Best score: ' || floor(coalesce(top, best) * 100 + 0.5e0)::BIGINT::VARCHAR || '%' END, 'Review floor: 55%',
+        'Transactions checked: ' || coalesce(scoped, 0)::VARCHAR], lambda x: x IS NOT NULL), '; ') AS facts FROM outcomes""")
+def q_status_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decided = matching.matched(spark, sf_dir)
+    reason = F.coalesce("reason", F.when(F.col("outcome") == "AUTO_MATCHED", "AUTO_MATCHED").otherwise("AMBIGUOUS_MATCH"))
+    documents = decided.select(
+        "doc_id", F.col("outcome").alias("status"), reason.alias("status_reason"), F.lit(None).cast("string").alias("review_reason"), F.lit(None).cast("string").alias("error_message"),
+        explain.status_details(("topScore", F.col("top_score")), ("reviewThreshold", F.lit(M.review)), ("scopedCandidateCount", F.col("scoped_candidate_count"))).alias("status_details"))
+    return explain.explained_status(documents).select("doc_id", "title", F.array_join("facts", "; ").alias("facts"))
+
+
+@query(o.chain(*o.TO_RANKED) + """, tops AS (SELECT * FROM ranked WHERE rank = 1)
+    SELECT doc_id, tx_id, 'amount' AS field, s_amount AS score FROM tops UNION ALL SELECT doc_id, tx_id, 'date', s_date FROM tops UNION ALL SELECT doc_id, tx_id, 'merchant', s_merchant FROM tops
+    UNION ALL SELECT doc_id, tx_id, 'card', s_card FROM tops UNION ALL SELECT doc_id, tx_id, 'vatNumber', s_vat FROM tops WHERE coalesce(doc_vat, tx_vat) IS NOT NULL
+    UNION ALL SELECT doc_id, tx_id, 'invoiceNumber', s_invoice FROM tops WHERE coalesce(doc_invoice, tx_invoice) IS NOT NULL
+    UNION ALL SELECT doc_id, tx_id, 'authorizationCode', s_auth FROM tops WHERE coalesce(doc_auth, tx_auth) IS NOT NULL""".replace("s_amount AS score", o.round3("s_amount") + " AS score").replace("'date', s_date", "'date', " + o.round3("s_date")).replace("'merchant', s_merchant", "'merchant', " + o.round3("s_merchant")))
+def q_comparison_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = decision.ranked(scored_pairs(spark, sf_dir)).where("rank = 1")
+    return explain.comparison_rows(top).select("doc_id", "tx_id", "field", text.round3(F.col("score")).alias("score"))
+
+
+# --- sources ----------------------------------------------------------------------------------------------------------
+
+
+def mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mail for each event: one or two attachments, every tenth without a sender."""
+    attachment = lambda n: F.struct(F.lit(f"f{n}.png").alias("filename"), F.lit("image/png").alias("contentType"), F.base64(F.concat("props", F.lit(str(n))).cast("binary")).alias("contentBase64"))
+    key = F.col("event_id")
+    return views.load(spark, sf_dir, "events").select(key, F.to_json(F.struct(
+        F.concat(F.lit("m"), key.cast("string")).alias("messageId"), F.when(key % 10 != 0, F.concat(F.lit("User"), F.col("user_id").cast("string"), F.lit("@mail.example"))).alias("from"),
+        F.lit("in@mail.example").alias("to"), F.col("event_type").alias("subject"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("receivedAt"),
+        F.when(key % 2 == 0, F.array(attachment(0))).otherwise(F.array(attachment(0), attachment(1))).alias("attachments"))).alias("body"))
+
+
+@query("""SELECT 'm' || event_id::VARCHAR || CASE WHEN event_id % 2 = 0 THEN '' ELSE '::' || place::VARCHAR END AS external_id, 'user' || user_id::VARCHAR || '@mail.example' AS sender_identifier,
+    date_trunc('second', ts) AS received_at, sha256(props || place::VARCHAR) AS content_hash
+    FROM (SELECT *, unnest(range(0, event_id % 2 + 1)) AS place FROM events WHERE event_id % 10 <> 0)""")
+def q_email_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = webhooks.email_documents(mails(spark, sf_dir))
+    return documents.select("external_id", "sender_identifier", naive("received_at"), dedup.content_hash(F.col("content")).alias("content_hash"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 10 = 0")
+def q_email_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webhooks.email_documents(mails(spark, sf_dir))[1].select("event_id")
+
+
+@query("""SELECT 'w' || event_id::VARCHAR AS external_id, '+9665' || user_id::VARCHAR AS sender_identifier, to_timestamp(event_id)::TIMESTAMP AS received_at, event_type AS media_id FROM events""")
+def q_message_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = F.struct(F.col("event_type").alias("id"), F.lit("image/jpeg").alias("mime_type"))
+    message = F.struct(F.concat(F.lit("w"), F.col("event_id").cast("string")).alias("id"), F.concat(F.lit("9665"), F.col("user_id").cast("string")).alias("from"), F.col("event_id").cast("string").alias("timestamp"), F.lit("image").alias("type"), image.alias("image"))
+    body = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.struct(F.array(message).alias("messages")).alias("value"))).alias("changes"))).alias("entry")))
+    images, _ = webhooks.message_images(views.load(spark, sf_dir, "events").select(body.alias("body")))
+    return images.select("external_id", "sender_identifier", naive("received_at"), "media_id")
+
+
+@query()
+def q_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.load(spark, sf_dir, "events").select("event_id", F.col("props").alias("body"))
+    signed = rows.withColumn("header", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("sha256="), webhooks.hmac_sha256(F.col("body"), "secret"))).when(F.col("event_id") % 3 == 1, F.sha2("body", 256)))
+    return webhooks.verified_signature(signed, "body", "header", "secret").select("event_id", "signature")
+
+
+@query("SELECT o_orderkey, 'Seller ' || o_custkey::VARCHAR AS seller, floor(o_totalprice * 100 + 0.5e0)::BIGINT AS total FROM orders")
+def q_qr_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def record(tag: int, value: F.Column) -> F.Column:
+        return F.concat(F.unhex(F.lit(f"{tag:02x}")), F.unhex(F.lpad(F.hex(F.length(value)), 2, "0")), value.cast("binary"))
+
+    minor = F.floor(F.col("o_totalprice") * 100 + F.lit(0.5)).cast("long")
+    total = F.concat(F.floor(minor / 100).cast("string"), F.lit("."), F.lpad((minor % 100).cast("string"), 2, "0"))
+    payload = F.base64(F.concat(record(1, F.concat(F.lit("Seller "), F.col("o_custkey").cast("string"))), record(4, total)))
+    tags = views.load(spark, sf_dir, "orders").select("o_orderkey", qr.decoded(payload).alias("tags"))
+    return tags.select("o_orderkey", F.try_element_at("tags", F.lit(1)).alias("seller"), qr.decimal_to_minor(F.try_element_at("tags", F.lit(4))).alias("total"))

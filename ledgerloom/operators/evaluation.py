@@ -83,16 +83,16 @@ def isotonic_points(predictions: DataFrame) -> DataFrame:
 
     def pool(group: pd.DataFrame) -> pd.DataFrame:
         blocks: list[list[float]] = []  # largest score, correct, rows
-        # Ties as the first come: incorrect before correct keeps a rising pair apart, as single rows in that order would be.
+        # Of equal scores the incorrect come first.
         for row in group.sort_values(["score", "correct"]).itertuples():
             hits = row.n if row.correct else 0
             blocks.append([min(1.0, max(0.0, row.score)), hits, row.n])
-            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] > blocks[-1][1] * blocks[-2][2]:
                 last = blocks.pop()
                 blocks[-1] = [last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
         return pd.DataFrame({"ord": range(len(blocks)), "max_score": [b[0] for b in blocks], "calibrated_probability": [b[1] / b[2] for b in blocks]})
 
-    return each.groupBy(F.lit(1)).applyInPandas(pool, "ord long, max_score double, calibrated_probability double")
+    return each.withColumn("every", F.lit(1)).groupBy("every").applyInPandas(pool, "ord long, max_score double, calibrated_probability double")
 
 
 def calibrated(rows: DataFrame, points: DataFrame) -> DataFrame:

@@ -37,9 +37,10 @@ def scored(docs: DataFrame, ledger: DataFrame, pairs: DataFrame, aliases: DataFr
 
 def scoped_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Receipts of good quality under their scope, the ledger under its scopes, and the ledger itself."""
-    ledger = views.ledger(spark, sf_dir)
+    # Every block reads both: they are kept, and what an executor loses is computed anew.
+    ledger = views.ledger(spark, sf_dir).persist()
     docs = views.receipts(spark, sf_dir).where(F.col("extraction_confidence") >= M.min_extraction)
-    scoped = blocking.scoped_documents(docs, views.client_email(spark, sf_dir), ledger)
+    scoped = blocking.scoped_documents(docs, views.client_email(spark, sf_dir), ledger).persist()
     return scoped, blocking.scoped_ledger(ledger), ledger
 
 

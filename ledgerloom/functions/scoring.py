@@ -96,10 +96,24 @@ def score_merchant(a: Column, b: Column) -> Column:
     return round3(F.greatest(merchant_similarity(a, b), merchant_similarity(transliterate(a), transliterate(b))))
 
 
-def merchant_scores(pairs: DataFrame, a: str, b: str, out: str) -> DataFrame:
-    """``pairs`` with ``out``: the score of each distinct pair of names, computed once and joined back."""
-    each = pairs.select(a, b).distinct()
-    return pairs.join(each.withColumn(out, score_merchant(F.col(a), F.col(b))), [a, b], "left")
+def prepared_name(core: Column) -> list[Column]:
+    """What comparing a normalised name takes, made once for each name: its bigrams, and both in Latin letters."""
+    latin = transliterate(core)
+    return [bigrams(core).alias("grams"), latin.alias("latin"), bigrams(latin).alias("latin_grams")]
+
+
+def score_prepared(a: str = "doc", b: str = "tx") -> Column:
+    """``score_merchant`` of two prepared names; the Latin forms are compared only where they are other than the names."""
+    c = lambda side, what: F.col(f"{side}_{what}")
+
+    def similarity(name: str, grams: str) -> Column:
+        x, y = c(a, name), c(b, name)
+        return (
+            F.when((F.coalesce(x, F.lit("")) == "") | (F.coalesce(y, F.lit("")) == ""), 0.0).when(x == y, 1.0)
+            .otherwise(F.lit(0.5) * jaccard(x, y) + F.lit(0.5) * dice_of(c(a, grams), c(b, grams))))
+
+    other = (c(a, "core") != c(a, "latin")) | (c(b, "core") != c(b, "latin"))
+    return round3(F.greatest(similarity("core", "grams"), F.when(other, similarity("latin", "latin_grams")).otherwise(0.0)))
 
 
 def tip_eligible(document_type: Column, category: Column, merchant: Column) -> Column:

@@ -25,44 +25,41 @@ def gaps(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("gap", F.col("decision_confidence") - F.coalesce(F.lead("decision_confidence").over(order), F.lit(0.0)))
 
 
-def safe_gate(confirmed: Column | None = None) -> Column:
-    """Whether a top candidate may be matched automatically; ``confirmed`` marks transactions that have a document."""
-    gate = (
-        (F.col("decision_confidence") >= M.auto) & (F.col("gap") >= M.gap) & (F.col("evidence_coverage") >= M.min_coverage)
+def safe_gate() -> Column:
+    """Whether a pair by itself may be matched automatically; the distance to the next candidate comes beside it."""
+    return (
+        (F.col("decision_confidence") >= M.auto) & (F.col("evidence_coverage") >= M.min_coverage)
         & (F.size("available_signals") >= M.min_signals) & (F.coalesce(F.col("doc_date_source"), F.lit("")) != "RECEIVED_AT")
-        & (F.size("contradictions") == 0))
-    return gate if confirmed is None else gate & ~F.coalesce(confirmed, F.lit(False))
+        & (F.size("contradictions") == 0) & ~F.coalesce(F.col("has_confirmed_document"), F.lit(False)))
 
 
-def outcomes(docs: DataFrame, pairs: DataFrame, mark_confirmed: bool = True) -> DataFrame:
+def outcomes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row per document: outcome, reason, counts, top candidate and the ranked list.
 
-    Every document of ``docs`` comes back, also those without any pair. ``pairs`` are scored.
+    Every document of ``docs`` comes back, also those without any pair. ``pairs`` are scored. One aggregation makes the
+    counts and the list: a document's candidates are bounded by the blocks' caps.
     """
-    counts = pairs.groupBy("doc_id").agg(F.count("*").alias("scoped"), F.max("decision_confidence").alias("best"))
-    shown = gaps(ranked(pairs))
-    gate = safe_gate(F.col("has_confirmed_document") if mark_confirmed else None)
-    listed = shown.groupBy("doc_id").agg(
-        F.count("*").alias("displayed"),
-        F.max_by(F.struct("tx_id", "decision_confidence", "confidence", "evidence_coverage", "gap", gate.alias("auto")), -F.col("rank")).alias("first"),
-        # A map can't be ordered, so the list is sorted by rank and id with the signals as entries. It has five items at most.
-        F.array_sort(F.collect_list(F.struct(
-            "rank", "tx_id", "confidence", "decision_confidence", "evidence_coverage", F.map_entries("signals").alias("signals"), "contradictions", "available_signals"))).alias("candidates"))
-    joined = docs.join(counts, "doc_id", "left").join(listed, "doc_id", "left")
-    top = F.col("first.decision_confidence")
+    # Sorted by what comes first; a map can't be ordered, so signals are entries.
+    entry = F.struct(
+        (-F.col("decision_confidence")).alias("down"), (-F.col("confidence")).alias("then"), "tx_id", "confidence", "decision_confidence", "evidence_coverage",
+        F.map_entries("signals").alias("signals"), "contradictions", "available_signals", safe_gate().alias("safe"))
+    listed = pairs.groupBy("doc_id").agg(
+        F.count("*").alias("scoped"), F.max("decision_confidence").alias("best"),
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("decision_confidence") >= M.display, entry))), 1, M.top).alias("shown"))
+    joined = docs.join(listed, "doc_id", "left")
+    first, top = F.get("shown", F.lit(0)), F.get("shown", F.lit(0))["decision_confidence"]
+    gap = top - F.coalesce(F.get("shown", F.lit(1))["decision_confidence"], F.lit(0.0))
     reason = (
-        F.when(F.col("scoped").isNull(), "NO_SCOPED_TRANSACTIONS")
-        .when(F.col("displayed").isNull(), "NO_CANDIDATE_ABOVE_DISPLAY_THRESHOLD")
+        F.when(F.col("scoped").isNull(), "NO_SCOPED_TRANSACTIONS").when(top.isNull(), "NO_CANDIDATE_ABOVE_DISPLAY_THRESHOLD")
         .when(top < M.review, "TOP_SCORE_BELOW_REVIEW_THRESHOLD"))
-    outcome = F.when(reason.isNotNull(), "UNMATCHED").when(F.col("first.auto"), "AUTO_MATCHED").otherwise("NEEDS_REVIEW")
+    outcome = F.when(reason.isNotNull(), "UNMATCHED").when(first["safe"] & (gap >= M.gap), "AUTO_MATCHED").otherwise("NEEDS_REVIEW")
+    ranked_list = F.transform("shown", lambda c, i: F.struct(
+        (i + 1).cast("int").alias("rank"), *[c[f].alias(f) for f in ("tx_id", "confidence", "decision_confidence", "evidence_coverage", "signals", "contradictions", "available_signals")]))
     return joined.select(
-        *docs.columns, outcome.alias("outcome"), reason.alias("reason"),
-        F.coalesce("scoped", F.lit(0)).cast("long").alias("scoped_candidate_count"),
-        F.when(reason.isin("NO_SCOPED_TRANSACTIONS", "NO_CANDIDATE_ABOVE_DISPLAY_THRESHOLD"), 0).otherwise(F.col("displayed")).cast("long").alias("displayed_candidate_count"),
-        F.coalesce(top, F.col("best")).alias("top_score"),
-        F.when(outcome != "UNMATCHED", F.col("first.tx_id")).alias("tx_id"),
-        F.when(outcome != "UNMATCHED", F.col("first.gap")).alias("gap"),
-        F.when(outcome != "UNMATCHED", F.col("candidates")).alias("candidates"))
+        *docs.columns, outcome.alias("outcome"), reason.alias("reason"), F.coalesce("scoped", F.lit(0)).cast("long").alias("scoped_candidate_count"),
+        F.greatest(F.size(F.coalesce("shown", F.array())), F.lit(0)).cast("long").alias("displayed_candidate_count"), F.coalesce(top, F.col("best")).alias("top_score"),
+        F.when(outcome != "UNMATCHED", first["tx_id"]).alias("tx_id"), F.when(outcome != "UNMATCHED", gap).alias("gap"),
+        F.when(outcome != "UNMATCHED", ranked_list).alias("candidates"))
 
 
 def audit_sampled(key: Column, rate: float = M.audit_rate) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.constants import MATCHER as M
-from ledgerloom.functions.scoring import merchant_scores, score_merchant, score_pairs
-from ledgerloom.functions.text import merchant_branch, merchant_city, normalize_merchant
+from ledgerloom.functions.scoring import score_merchant, score_pairs, score_prepared
+from ledgerloom.functions.text import merchant_city, normalize_merchant
 from ledgerloom.operators import assignment, blocking, decision
 from ledgerloom.plans import views
 
@@ -15,7 +15,7 @@ from ledgerloom.plans import views
 def scored(docs: DataFrame, ledger: DataFrame, pairs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Scored pairs from ``(doc_id, tx_id)``, with frequencies in each document's block.
 
-    Merchants are normalised once per distinct name and scored once per distinct pair of names.
+    Merchants are normalised and cut into bigrams once per distinct name.
     """
     left = views.with_names(docs.select(*views.DOC_COLUMNS), "doc")
     extra = [c for c in ("client_id", "has_confirmed_document", "tx_city_name") if c in ledger.columns]
@@ -23,8 +23,10 @@ def scored(docs: DataFrame, ledger: DataFrame, pairs: DataFrame, aliases: DataFr
     if "tx_city_name" in extra:
         # The city of the ledger's own column counts behind the one in the name.
         right = right.withColumn("tx_city", F.coalesce("tx_city", merchant_city(F.coalesce("tx_city_name", F.lit("")))))
-    joined = blocking.with_frequencies(pairs.join(left, "doc_id").join(right, "tx_id"))
-    scored_names = merchant_scores(joined, "doc_core", "tx_core", "merchant_score")
+    named = pairs.join(left, "doc_id").join(right, "tx_id").withColumn("merchant_score", score_prepared()).drop(*views.NAME_PARTS)
+    # A document's candidates are bounded by the blocks' caps. Dealt by document once, they stay where they are for the
+    # frequencies, the ranking and the outcome.
+    scored_names = blocking.with_frequencies(named.repartition("doc_id"))
     if aliases is None:
         with_alias = scored_names.withColumn("alias_score", F.lit(None).cast("double"))
     else:

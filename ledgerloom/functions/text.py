@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerloom.constants import ARABIC_DIGITS, CITIES, FOLDED, NOISE_TOKENS, ONE_LETTER, TWO_LETTERS
 
@@ -66,7 +67,7 @@ def normalize_merchant(c: Column | str) -> Column:
     return F.array_join(merchant_tokens(c), " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decomposed(names: pd.Series) -> pd.Series:
     return names.map(lambda n: None if n is None else unicodedata.normalize("NFKD", n.upper()))
 

@@ -24,7 +24,7 @@ def decoded(payload: Column) -> Column:
         length = byte(at + 1)
         over = (at + 1 > size) | (at + 1 + F.coalesce(length, F.lit(0)) > size)
         value = F.decode(F.substring(raw, at + 2, length), "UTF-8")
-        kept = F.map_concat(F.map_filter(state["found"], lambda k, _: k != byte(at)), F.create_map(byte(at), value))
+        kept = F.map_concat(F.map_filter(state["found"], lambda k, _: k != byte(at)), F.create_map(F.coalesce(byte(at), F.lit(0)), value))
         return F.when(state["bad"] | (at != state["next"]), state).otherwise(F.struct(
             F.when(over, state["next"]).otherwise(at + 2 + length).alias("next"), over.alias("bad"), F.when(over, state["found"]).otherwise(kept).alias("found")))
 

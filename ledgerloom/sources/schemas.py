@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+TYPES = {
+    "BIGINT": T.LongType(), "INT": T.IntegerType(), "STRING": T.StringType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP": T.TimestampType(),
+    "ARRAY<STRING>": T.ArrayType(T.StringType()), "MAP<STRING,DOUBLE>": T.MapType(T.StringType(), T.DoubleType())}
+
+
+def _schema(columns: str) -> T.StructType:
+    """A flat schema from ``name TYPE, ...``; it takes no session, as DDL would."""
+    pairs = [c.split(" ") for c in columns.split(", ")]
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 CLIENT = _schema("id BIGINT, name STRING")
@@ -26,14 +33,15 @@ MATCH = _schema(
     "explanation_input_hash STRING, explanation_prompt_version STRING")
 ALIAS = _schema(
     "client_id BIGINT, alias STRING, normalized_alias STRING, canonical_merchant_name STRING, canonical_normalized STRING, confirmation_count BIGINT, last_confirmed_at TIMESTAMP")
+#: Of nested columns, as DDL.
 SNAPSHOT = "ARRAY<STRUCT<place INT, id BIGINT, transaction_id BIGINT, rank INT, confidence DOUBLE, decision_confidence DOUBLE, evidence_coverage DOUBLE, contradictions ARRAY<STRING>, status STRING>>"
-EVENT = _schema(
+EVENT = (
     "id BIGINT, document_id BIGINT, match_id BIGINT, transaction_id BIGINT, action STRING, reason STRING, decided_by STRING, matcher_version STRING, "
     f"candidate_snapshot {SNAPSHOT}, created_at TIMESTAMP")
 PREDICTION = _schema("score DOUBLE, correct BOOLEAN, auto_matched BOOLEAN, rank_of_correct INT")
 EDGE = _schema("document_id BIGINT, transaction_id BIGINT, score DOUBLE")
-EMAIL_PAYLOAD = _schema(
+EMAIL_PAYLOAD = (
     "messageId STRING, `from` STRING, `to` STRING, subject STRING, receivedAt STRING, attachments ARRAY<STRUCT<filename STRING, contentType STRING, contentBase64 STRING>>")
-MESSAGE_PAYLOAD = _schema(
+MESSAGE_PAYLOAD = (
     "entry ARRAY<STRUCT<changes ARRAY<STRUCT<value STRUCT<messages ARRAY<STRUCT<id STRING, `from` STRING, timestamp STRING, type STRING, "
     "image STRUCT<id STRING, mime_type STRING, sha256 STRING>>>>>>>>")

@@ -71,10 +71,15 @@ def occurrences(grams: Column, gram: Column) -> Column:
     return F.size(F.filter(grams, lambda g: g == gram))
 
 
-def dice_of(x: Column, y: Column) -> Column:
-    """Multiset overlap of two arrays of bigrams; 0 where either is empty."""
+def dice_of(x: Column, y: Column, plain: Column | None = None) -> Column:
+    """Multiset overlap of two arrays of bigrams; 0 where either is empty.
+
+    ``plain`` says that one of them repeats nothing: then the overlap is that of sets.
+    """
     shared = F.aggregate(
         F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(occurrences(x, g), occurrences(y, g)))
+    if plain is not None:
+        shared = F.when(plain, F.size(F.array_intersect(x, y))).otherwise(shared)
     return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(
         F.lit(2.0) * shared / (F.size(x) + F.size(y)))
 
@@ -97,23 +102,26 @@ def score_merchant(a: Column, b: Column) -> Column:
 
 
 def prepared_name(core: Column) -> list[Column]:
-    """What comparing a normalised name takes, made once for each name: its bigrams, and both in Latin letters."""
+    """What comparing a normalised name takes, made once for each name: its bigrams, the same in Latin letters, and whether they repeat."""
     latin = transliterate(core)
-    return [bigrams(core).alias("grams"), latin.alias("latin"), bigrams(latin).alias("latin_grams")]
+    plain = lambda grams: F.size(F.array_distinct(grams)) == F.size(grams)
+    return [
+        bigrams(core).alias("grams"), latin.alias("latin"), bigrams(latin).alias("latin_grams"),
+        plain(bigrams(core)).alias("plain"), plain(bigrams(latin)).alias("latin_plain")]
 
 
 def score_prepared(a: str = "doc", b: str = "tx") -> Column:
     """``score_merchant`` of two prepared names; the Latin forms are compared only where they are other than the names."""
     c = lambda side, what: F.col(f"{side}_{what}")
 
-    def similarity(name: str, grams: str) -> Column:
+    def similarity(name: str, grams: str, plain: str) -> Column:
         x, y = c(a, name), c(b, name)
         return (
             F.when((F.coalesce(x, F.lit("")) == "") | (F.coalesce(y, F.lit("")) == ""), 0.0).when(x == y, 1.0)
-            .otherwise(F.lit(0.5) * jaccard(x, y) + F.lit(0.5) * dice_of(c(a, grams), c(b, grams))))
+            .otherwise(F.lit(0.5) * jaccard(x, y) + F.lit(0.5) * dice_of(c(a, grams), c(b, grams), c(a, plain) | c(b, plain))))
 
     other = (c(a, "core") != c(a, "latin")) | (c(b, "core") != c(b, "latin"))
-    return round3(F.greatest(similarity("core", "grams"), F.when(other, similarity("latin", "latin_grams")).otherwise(0.0)))
+    return round3(F.greatest(similarity("core", "grams", "plain"), F.when(other, similarity("latin", "latin_grams", "latin_plain")).otherwise(0.0)))
 
 
 def tip_eligible(document_type: Column, category: Column, merchant: Column) -> Column:

@@ -62,18 +62,19 @@ def client_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.select(key.alias("id"), key.alias("client_id"), F.concat(F.lit("ops@nation"), key.cast("string"), F.lit(".example")).alias("email"))
 
 
+#: Columns that only comparing two names takes.
+NAME_PARTS = ("grams", "latin", "latin_grams", "plain", "latin_plain")
+
+
 def with_names(rows: DataFrame, side: str) -> DataFrame:
     """Rows with the normalised core, city and branch of their merchant, and what comparing it takes; each distinct name is looked at once."""
     name = f"{side}_merchant"
     each = rows.select(name).where(f"{name} is not null").distinct()
     known = each.select(name, normalize_merchant(name).alias(f"{side}_core"), merchant_city(name).alias(f"{side}_city"), merchant_branch(name).alias(f"{side}_branch"))
-    prepared = [p.alias(f"{side}_{n}") for p, n in zip(prepared_name(F.col(f"{side}_core")), ("grams", "latin", "latin_grams"), strict=True)]
+    prepared = [p.alias(f"{side}_{n}") for p, n in zip(prepared_name(F.col(f"{side}_core")), NAME_PARTS, strict=True)]
     return rows.join(known.select("*", *prepared), name, "left")
 
 
-#: Columns that only comparing two names takes.
-NAME_PARTS = [f"{side}_{part}" for side in ("doc", "tx") for part in ("grams", "latin", "latin_grams")]
-
 DOC_COLUMNS = [
     "doc_id", "doc_type", "doc_amount", "doc_currency", "doc_date", "doc_date_source", "doc_card", "doc_merchant", "doc_vat", "doc_invoice", "doc_auth",
     "conf_amount", "conf_date", "conf_merchant", "conf_card", "conf_currency", "conf_vat", "conf_invoice", "conf_auth"]

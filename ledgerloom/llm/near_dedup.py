@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import id_and_text, load, per_batch, small_batches
 from ledgerloom.llm.shingles import BUCKETS, LEVELS, Shingler, levels, mixed, similarity, weights
+from ledgerloom.llm.vector_dedup import groups
 from ledgerloom.operators.components import connected_components
 from ledgerloom.scratch import written
 
@@ -20,11 +21,13 @@ BANDS, ROWS = 20, 4
 DRAWS = 1 << 16
 #: Shingles that are hashed at once.
 CHUNK = 1 << 16
-#: Share of equal samples from which a pair is verified, and from which a document follows leaders and leads none: four
+#: Share of equal samples from which a pair is verified, and from which a document follows a leader and leads none: four
 #: standard deviations and one under the threshold's own share.
 MAYBE, FOLLOWS = 0.62, 0.75
-#: Documents of a bucket that one task leads at once.
-BLOCK = 8192
+#: Documents of a bucket that one task leads at once, or compares with as many others.
+BLOCK = 4096
+#: Of these, as many at a time.
+STRIPE = 512
 #: Slices that the table of document frequencies is summed in.
 SLICES = 64
 
@@ -117,12 +120,13 @@ def sampled(rows: DataFrame, model, bands: int, per_band: int) -> DataFrame:
             def done() -> pa.RecordBatch:
                 starts = np.cumsum([0] + [len(s) for s, _ in sets[:-1]])
                 found = mixed(sampler(np.concatenate([s for s, _ in sets]), np.concatenate([v for _, v in sets]), starts))
+                found >>= np.uint64(32)
                 key = np.broadcast_to(number, (len(sets), bands))
                 for i in range(per_band):
                     key = mixed(key * np.uint64(31) + found[:, i::per_band])
                 ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
                 keys = pa.ListArray.from_arrays(ends, pa.array(key.astype(np.int64).reshape(-1)))
-                short = (found >> np.uint64(32)).astype(np.uint32)
+                short = found.astype(np.uint32)
                 return pa.RecordBatch.from_arrays(
                     [batch.column("id").take(pa.array(at)), pa.array([row.tobytes() for row in short], pa.binary()), keys], ["id", "samples", "keys"])
 
@@ -144,11 +148,10 @@ def sampled(rows: DataFrame, model, bands: int, per_band: int) -> DataFrame:
 
 
 def led(members: DataFrame) -> DataFrame:
-    """``(key, leader, id)`` from rows ``(key, block, order, id, samples)``: pairs to verify, and each leader with itself.
+    """``(leader, id)`` from rows ``(key, block, order, id, samples)``: pairs that are probably links.
 
-    A bucket's rows pass in their order, one after the other, and only leaders are remembered. Each row is paired with all
-    leaders that it may be like; one that is probably like none leads those after it. So a large group of near copies
-    costs a row as many pairs as the group has leaders, not rows, and rows that merely share a passage cost none.
+    A block's rows pass in their order, one after the other. A row that is probably like a leader follows the likest one,
+    others lead those after them. This makes one class of most copies at little cost; ``crossing`` does the rest.
     """
     id_type = dict(members.dtypes)["id"]
 
@@ -157,7 +160,7 @@ def led(members: DataFrame) -> DataFrame:
         for batch in batches:
             samples = np.frombuffer(b"".join(batch.column("samples").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
             keys, blocks, own = (batch.column(c).to_pylist() for c in ("key", "block", "id"))
-            follows, maybe = FOLLOWS * samples.shape[1], MAYBE * samples.shape[1]
+            follows = FOLLOWS * samples.shape[1]
             out = []
             for key, block, row, one in zip(keys, blocks, own, samples, strict=True):
                 if (key, block) != last:
@@ -165,21 +168,117 @@ def led(members: DataFrame) -> DataFrame:
                     leaders = np.empty((16, len(one)), np.uint32)
                 if count:
                     equal = (leaders[:count] == one).sum(1)
-                    out += [(key, ids[i], row) for i in np.flatnonzero(equal >= maybe)]
                     if equal.max() >= follows:
+                        out.append((ids[int(equal.argmax())], row))
                         continue
                 if count == len(leaders):
                     leaders = np.concatenate([leaders, np.empty_like(leaders)])
                 leaders[count] = one
                 ids.append(row)
                 count += 1
-                out.append((key, row, row))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[0] for o in out], pa.int64()), *(pa.array([o[i] for o in out], batch.schema.field("id").type) for i in (1, 2))], ["key", "leader", "id"])
+                    [pa.array([o[i] for o in out], batch.schema.field("id").type) for i in (0, 1)], ["leader", "id"])
 
     ordered = members.repartition("key", "block").sortWithinPartitions("key", "block", "order").select("key", "block", "id", "samples")
-    return ordered.mapInArrow(leading, f"key long, leader {id_type}, id {id_type}")
+    return ordered.mapInArrow(leading, f"leader {id_type}, id {id_type}")
+
+
+def likely(samples: np.ndarray, root: np.ndarray, block: np.ndarray, band: int, per_band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs i, j of rows of a group's two blocks (or one) that are of different classes and may be links, and their equal samples.
+
+    A pair that shares a bucket of an earlier band was met there. Rows of the most frequent class don't meet one another.
+    """
+    first, second = block == block.min(), block == block.max()
+    within = block.min() == block.max()
+    classes, number, times = np.unique(root, return_inverse=True, return_counts=True)
+    minor = number != times.argmax()
+    columns = np.ascontiguousarray(samples.T)
+    found = []
+    for left, right in [(first & minor, second), (first & ~minor, second & minor)][: 1 if within else 2]:
+        left, right = np.flatnonzero(left), np.flatnonzero(right)
+        for start in range(0, len(left), STRIPE):
+            own = left[start : start + STRIPE]
+            count = np.zeros((len(own), len(right)), np.uint16)
+            for column in columns:
+                count += column[own, None] == column[right]
+            a, b = np.nonzero((count >= MAYBE * len(columns)) & (number[own, None] != number[right]))
+            i, j, equal = own[a], right[b], count[a, b]
+            keep = (i < j) | ~minor[j] if within else np.ones(len(i), bool)
+            i, j, equal = i[keep], j[keep], equal[keep]
+            for at in range(0, len(i), 1 << 16):
+                x, y, z = (c[at : at + (1 << 16)] for c in (i, j, equal))
+                met = (samples[x, : band * per_band] == samples[y, : band * per_band]).reshape(len(x), band, per_band).all(2).any(1)
+                found.append((x[~met], y[~met], z[~met]))
+    if not found:
+        nothing = np.zeros(0, np.int64)
+        return nothing, nothing, nothing
+    i, j, equal = (np.concatenate(c) for c in zip(*found, strict=True))
+    return i, j, equal
+
+
+def group_arrays(group: pa.Table, roots: str = "root") -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    samples = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint32).reshape(group.num_rows, -1)
+    _, root = np.unique(group.column(roots).to_numpy(), return_inverse=True)
+    return samples, root, group.column("block").to_numpy(), group.column("band")[0].as_py()
+
+
+def crossing(members: DataFrame, per_band: int) -> DataFrame:
+    """Of rows ``(key, p, q, band, block, id, root, samples)``, those that may be linked to a row of another class, without samples.
+
+    Blocks p and q of bucket ``key`` meet in one group, all rows with all.
+    """
+    kept = [c for c in members.columns if c != "samples"]
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["key", "p", "q"]):
+            i, j, _ = likely(*group_arrays(group), per_band)
+            if len(i):
+                yield from group.select(kept).take(pa.array(np.union1d(i, j))).combine_chunks().to_batches()
+
+    ordered = members.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return ordered.mapInArrow(meeting, members.select(*kept).schema)
+
+
+def crossing_links(members: DataFrame, model, threshold: float, per_band: int) -> DataFrame:
+    """``(a, b)`` from rows as of ``crossing`` with their texts: of all pairs that may be links, those that are and join classes.
+
+    A pair is left out only where links found before it join its classes.
+    """
+    kind = dict(members.dtypes)["id"]
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, frequencies = model.value
+        shingler = Shingler()
+        for group in groups(batches, ["key", "p", "q"]):
+            samples, root, block, band = group_arrays(group)
+            i, j, equal = likely(samples, root, block, band, per_band)
+            sets, parent, out = {}, list(range(len(root))), []
+
+            def top(k: int) -> int:
+                while parent[k] != k:
+                    parent[k] = parent[parent[k]]
+                    k = parent[k]
+                return k
+
+            def of(k: int):
+                if k not in sets:
+                    shingles, times = shingler(group.column("text")[k].as_py())
+                    sets[k] = shingles, weights(levels(shingles, times, documents, frequencies))
+                return sets[k]
+
+            order = np.argsort(-equal.astype(np.int64), kind="stable")
+            for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                x, y = top(int(root[a])), top(int(root[b]))
+                if x != y and similarity(*of(a), *of(b)) >= threshold:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((a, b))
+            if out:
+                ids = group.column("id").combine_chunks()
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
+
+    ordered = members.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return ordered.mapInArrow(meeting, f"a {kind}, b {kind}")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, model, threshold: float) -> DataFrame:
@@ -226,30 +325,37 @@ def among(rows: DataFrame, wanted: DataFrame, slots: int = 1 << 16) -> DataFrame
 def near_edges(rows: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS, block: int = BLOCK) -> DataFrame:
     """``(a, b)``: verified links between rows of ``(id, text)``, enough to connect classes.
 
-    ``firsts`` has the ids of one row for each distinct text; frequencies count all rows, links are between these. The
-    rows of a bucket are led, large buckets block by block and then the leaders of all blocks together. Each bucket has
-    an order of its own, so that a link between two followers is met in another bucket. Every pair so found is compared
-    by its texts; nothing is capped.
+    ``firsts`` has the ids of one row for each distinct text; frequencies count all rows, links are between these. First
+    the rows of a bucket are led, large buckets block by block, and the links so found make classes. Then, in buckets of
+    several classes, every row meets every other of another class, large buckets by pairs of blocks, and all pairs that may
+    be links are compared by their texts; nothing is capped.
     """
     spark = rows.sparkSession
     model = spark.sparkContext.broadcast(document_frequencies(rows))
     known = written(sampled(rows, model, bands, per_band).join(firsts, "id", "left_semi"), "samples")
-    keyed = known.select(F.explode("keys").alias("key"), "id")
+    keyed = known.select(F.posexplode("keys").alias("band", "key"), "id")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
     samples = known.select("id", "samples")
-    members = keyed.join(shared, "key").select(
-        "key", "id", F.xxhash64("id", "key").alias("order"), blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
-    first = written(led(members.join(samples, "id")), "led")
-    again = first.where("leader = id").join(shared.where(F.col("n") > block).select("key"), "key", "left_semi")
-    again = again.select("key", "id", F.lit(0).alias("block"), F.xxhash64("id", "key").alias("order"))
-    second = led(again.join(samples, "id"))
-    pairs = first.unionByName(second).where("leader <> id").select(
-        F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
+    order = F.xxhash64("id", "key")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    members = keyed.join(shared, "key").select("key", "id", order.alias("order"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    pairs = led(members.join(samples, "id")).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = written(among(rows, wanted).join(wanted, "id", "left_semi"), "candidates")
-    return written(verified(pairs, texts, model, threshold).where("near").select("a", "b"), "links")
+    texts = among(rows, wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    links = written(verified(pairs, written(texts, "candidates"), model, threshold).where("near").select("a", "b"), "links")
+
+    roots = connected_components(links, "a", "b").withColumnRenamed("node", "id")
+    placed = written(keyed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
+    several = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    dealt = placed.join(several.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(order, "blocks").cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "band", "block", "id", "root")
+    open_ = written(crossing(dealt.join(samples, "id"), per_band), "crossing")
+    wanted = open_.select("id").distinct()
+    texts = among(rows, wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"])
+    further = crossing_links(open_.join(samples, "id").join(written(texts, "candidates"), "id"), model, threshold, per_band)
+    return links.unionByName(written(further, "links"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

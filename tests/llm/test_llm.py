@@ -188,6 +188,25 @@ def test_near_dedup(spark):
     assert len(differ) <= 1, differ  # weights differ from plain sets by some hundredths at the threshold
 
 
+def family_texts():
+    """17 x 17 texts that are 0.77 to 0.795 alike, no link among them; 20 more that differ in the same places as one of these, 0.87 alike."""
+    rows = []
+    for a, b, own in [(i // 17, i % 17, "own") for i in range(289)] + [(i * 14 // 17, i * 14 % 17, "more") for i in range(20)]:
+        copy = [f"base{i}" for i in range(520)]
+        for k in range(6):
+            copy[(k * 17 + (a * k + b) % 17) * 5 + 5] = f"{own}{a}x{b}x{k}"
+        rows.append(" ".join(copy))
+    return rows
+
+
+@pytest.mark.parametrize("block", [near_dedup.BLOCK])
+def test_near_dedup_links_in_family_below_threshold(spark, block):
+    found = family_texts()
+    rows = spark.createDataFrame(list(enumerate(found)), "id long, text string")
+    got = {tuple(sorted(r)) for r in near_dedup.near_edges(rows, rows.select("id"), block=block).collect()}
+    assert got == {(i * 14, 289 + i) for i in range(20)}
+
+
 def test_near_dedup_odd(spark):
     got = near_dedup.near_dedup(odd_documents(spark)).collect()
     by_id = {r.doc_id: r for r in got}

@@ -338,7 +338,7 @@ def near_edges(rows: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD,
     samples = known.select("id", "samples")
     order = F.xxhash64("id", "key")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    members = keyed.join(shared, "key").select("key", "id", order.alias("order"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    members = keyed.join(shared, "key").select("key", "id", order.alias("order"), F.pmod(order, blocks).cast("int").alias("block"))
     pairs = led(members.join(samples, "id")).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     pairs = written(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()

@@ -199,7 +199,7 @@ def family_texts():
     return rows
 
 
-@pytest.mark.parametrize("block", [near_dedup.BLOCK])
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 16])
 def test_near_dedup_links_in_family_below_threshold(spark, block):
     found = family_texts()
     rows = spark.createDataFrame(list(enumerate(found)), "id long, text string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -85,7 +86,8 @@ TEXTS = {
     ],
 }
 
-#: A sentence ends at a line feed or after a mark that white space follows.
+#: A part ends at a line feed or after a mark that white space follows; a sentence is one part or several.
+MARKS = ".!?;:"
 END = re.compile(r"(?<=[.!?;:])[^\S\n]+|\n+")
 NOT_WORD = re.compile(r"[^a-z0-9]+")
 #: Every known sentence has one of these; texts without them are not split.
@@ -113,19 +115,52 @@ class Rules:
                     if sentence not in self.number:
                         self.number[sentence] = len(self.number)
                         rules.append((name, (self.number[sentence],)))
+        self.sorted = sorted(self.number)
         rules.sort(key=lambda rule: -len(rule[1]))
         self.starting: dict[int, list[tuple[str, tuple[int, ...]]]] = {}
         for name, ids in rules:
             self.starting.setdefault(ids[0], []).append((name, ids))
 
+    def begins(self, words: str) -> bool:
+        """Whether a known sentence goes on after these words."""
+        at = bisect_left(self.sorted, f"{words} ")
+        return at < len(self.sorted) and self.sorted[at].startswith(f"{words} ")
+
     def sentences(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """``(identifier or -1, start, end)`` of each sentence that has words."""
-        start = 0
+        """``(identifier or -1, start, end)`` of each sentence that has words.
+
+        A known sentence may hold marks and be wrapped: it is the longest run of parts with its words. The parts between
+        known ones are a sentence each, but lines that only a line feed parts are one.
+        """
+        parts, start, apart = [], 0, True
         for mark in (*END.finditer(text), None):
             end = mark.start() if mark else len(text)
             if words := normalised(text[start:end]):
-                yield self.number.get(words, -1), start, end
+                parts.append((words, start, end, apart))
+                apart = bool(mark) and (text[start:end].rstrip()[-1:] in MARKS or mark.group().count("\n") > 1)
+            else:
+                apart = True
             start = mark.end() if mark else end
+        at, unknown = 0, None
+        while at < len(parts):
+            words, start, end, apart = parts[at]
+            number, last, following = self.number.get(words, -1), at, at + 1
+            while following < len(parts) and self.begins(words):
+                words = f"{words} {parts[following][0]}"
+                if words in self.number:
+                    number, last = self.number[words], following
+                following += 1
+            if number < 0 and unknown and not apart:
+                unknown = (-1, unknown[1], end)
+            else:
+                if unknown:
+                    yield unknown
+                unknown = (-1, start, end) if number < 0 else None
+            if number >= 0:
+                yield number, start, parts[last][2]
+            at = last + 1
+        if unknown:
+            yield unknown
 
     def match(self, text: str) -> list[tuple[str, int, int]]:
         """``(licence, start, end)`` of the rules met, from left to right, none within another."""

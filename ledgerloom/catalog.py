@@ -12,6 +12,7 @@ from ledgerloom.constants import MATCHER as M
 from ledgerloom.functions import scoring, text
 from ledgerloom.operators import assignment, blocking, decision, dedup, evaluation, explain, review
 from ledgerloom.plans import matching, views
+from ledgerloom.scratch import written
 from ledgerloom.sources import qr, webhooks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -279,9 +280,12 @@ def q_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_rematch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Receipts of every ninth transaction, met again after their ledger rows came in."""
-    docs = views.receipts(spark, sf_dir).where("doc_id % 9 = 0 AND extraction_confidence >= 0.3")
-    return matching.rematch(docs, views.ledger(spark, sf_dir), views.client_email(spark, sf_dir), some_matches(spark, sf_dir))
+    """All receipts left unmatched by a ledger without the receipts' own transactions, met again after these came in."""
+    docs, ledger = views.receipts(spark, sf_dir).where(F.col("extraction_confidence") >= M.min_extraction), views.ledger(spark, sf_dir)
+    before = ledger.join(docs.select(F.col("doc_id").alias("tx_id")), "tx_id", "left_anti")
+    left = matching.match(docs, before, views.client_email(spark, sf_dir)).where("status = 'UNMATCHED'").select("doc_id")
+    unmatched = written(docs.join(left, "doc_id", "left_semi"), "unmatched")
+    return matching.rematch(unmatched, ledger, views.client_email(spark, sf_dir), some_matches(spark, sf_dir))
 
 
 # --- identity and quality ---------------------------------------------------------------------------------------------
@@ -426,12 +430,12 @@ def q_review_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_decision_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of every fifth receipt, two for each, decided by turns; neighbours compete for a transaction."""
+    """Candidates of every receipt, two for each, all decided, by turns; neighbours compete for a transaction."""
     key = F.col("doc_id")
-    matches = views.receipts(spark, sf_dir).where("doc_id % 5 = 0").select(
+    matches = views.receipts(spark, sf_dir).select(
         key.alias("document_id"), F.explode(F.array(key, key + 15)).alias("transaction_id")).select(
         (F.col("document_id") * 1000 + F.col("transaction_id") % 1000).alias("id"), "document_id", "transaction_id", F.lit("CANDIDATE").alias("status"))
-    acts = matches.where("id % 3 = 0").select(
+    acts = matches.select(
         F.col("id").alias("match_id"), F.when(F.col("id") % 2 == 0, "CONFIRM").otherwise("REJECT").alias("action"), F.timestamp_seconds(F.col("document_id")).alias("decided_at"), F.col("id").alias("seq"))
     return review.fold_decisions(matches, acts).select("id", "document_id", "transaction_id", "status", "error")
 

@@ -11,10 +11,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from conftest import SF
+from ledgerloom import catalog
 from ledgerloom.functions import scoring, text
 from ledgerloom.operators import assignment, dedup, evaluation
 from ledgerloom.operators.components import connected_components
-from ledgerloom.plans import matching
+from ledgerloom.plans import matching, views
 
 AMOUNTS = [  # document, transaction, tip allowed, score
     (10000, 10000, True, 1.0), (9900, 10000, True, 1.0), (9899, 10000, True, 1 - (0.0101 / 0.3) * 0.5), (7000, 10000, True, 0.5), (6999, 10000, True, 0.0), (9000, 10000, False, 0.0),
@@ -124,6 +126,17 @@ def test_rematch_assigns_one_to_one(spark):
     assert sorted(r.status for r in rows) == ["MATCHED", "NEEDS_REVIEW"]
 
 
+def test_rematch_and_fold_take_all_receipts(spark):
+    docs, rows = views.receipts(spark, SF).where("extraction_confidence >= 0.3"), views.ledger(spark, SF)
+    own = {r.doc_id for r in docs.select("doc_id").collect()}
+    before = rows.where(~F.col("tx_id").isin(*own))
+    want = {r.doc_id for r in matching.match(docs, before, views.client_email(spark, SF)).where("status = 'UNMATCHED'").collect()}
+    got = [r.doc_id for r in catalog.QUERIES["q_rematch"](spark, SF).collect()]
+    assert len(want) > len(own) / 9 and sorted(got) == sorted(want)
+    folded = {r.document_id for r in catalog.QUERIES["q_decision_fold"](spark, SF).collect()}
+    assert folded == {r.doc_id for r in views.receipts(spark, SF).collect()}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 9), min_size=4, max_size=4), min_size=1, max_size=4))
 def test_assignment_is_best(rows):

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Bounded, load, per_batch, small_batches
+from ledgerloom.llm.common import Bounded, id_and_text, load, per_batch, small_batches
 from ledgerloom.llm.labelled import FIT_ROWS, sample
 from ledgerloom.llm.toxicity import scored
 
@@ -200,14 +200,15 @@ class Quality:
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> Quality:
-    """Learn vectors and network from at most ``fit_rows`` labelled documents outside the held-out fold.
+    """Learn word vectors from all documents, and the network from at most ``fit_rows`` labelled ones outside the held-out fold.
 
-    Word vectors are sums made in Spark; of the documents, only their pooled vectors reach the driver.
+    Word vectors are sums made in Spark; of the labelled documents, only their pooled vectors reach the driver.
     """
     small_batches(docs.sparkSession)
     rows = sample(docs, labels, target, id_col, text_col, fit_rows)
-    vocabulary = learn_vocabulary(rows)
-    model = Quality(vocabulary, learn_vectors(rows, vocabulary), None, 1.0)
+    corpus = id_and_text(docs, id_col, text_col)
+    vocabulary = learn_vocabulary(corpus)
+    model = Quality(vocabulary, learn_vectors(corpus, vocabulary), None, 1.0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def describing():

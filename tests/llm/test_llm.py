@@ -278,6 +278,14 @@ def test_quality(spark):
     assert accuracy > 0.93 and rows.score.between(0, 1).all()
 
 
+def test_quality_learns_words_from_all_documents(spark):
+    docs = spark.createDataFrame([(i, "labelled words here" if i < 8 else "unlabelled tongue speaks") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    number = model.vocabulary.index("tongue")
+    assert np.linalg.norm(model.vectors[number]) == pytest.approx(1)
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_classifiers_on_odd_rows(spark, module):
     docs = odd_documents(spark)

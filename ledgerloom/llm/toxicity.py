@@ -80,7 +80,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
         upper / max(letters, 1), sum(1 for t in tokens if len(t) > 1 and t.isupper()) / per,
         marks / per, text.count("?") / per, marks + text.count("?"),
         (len(text) - letters - text.count(" ")) / max(len(text), 1),
-        len(disguised) / per, hidden_hits, hidden_hits / per, len(SPELT.findall(text)) if "." in text or "*" in text or "-" in text or "_" in text else 0.0,
+        len(disguised) / per, hidden_hits, hidden_hits / per, len(SPELT.findall(text)),
         sum(1 for t in set(tokens) if REPEATED.search(t)) / per, math.log1p(n), letters / per,
     ]
 

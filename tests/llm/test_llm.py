@@ -273,6 +273,12 @@ def test_toxicity(spark):
     assert accuracy > 0.93 and rows.score.between(0, 1).all()
 
 
+def test_spelt_out_words_are_seen_by_any_sign():
+    plain = toxicity.features("you are an idiot", {})
+    for spelt in ("i d i o t", "i.d.i.o.t", "i d i o t."):
+        assert [b - a for a, b in zip(plain, toxicity.features(f"you are an {spelt}", {}))][20] == 1
+
+
 def test_quality(spark):
     accuracy, rows = held_out_accuracy(quality.op8_quality(spark, "/root/testdata/sf0.01"), spark, "quality")
     assert accuracy > 0.93 and rows.score.between(0, 1).all()

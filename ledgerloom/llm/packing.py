@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Bounded, id_and_text, load, small_batches
+from ledgerloom.llm.common import id_and_text, load, small_batches
 from ledgerloom.llm.token_counts import model_path
 
 MODEL = "byte_bpe_50k.json"
@@ -23,25 +24,50 @@ POOL = 4096
 #: Cost of a token by itself, and of a pair of tokens of one document that attend to each other.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
-SPECIAL = "<|endoftext|>"
-#: The vocabulary's own split, for texts of the characters below; the library takes the others whole.
-PRE_TOKEN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: ASCII without the controls that Python alone calls spaces, Latin letters and general punctuation.
-OTHER = re.compile("[^\x00-\x1b\x20-\x7fÀ-ſ‐-‧‰-⁞]")
+#: Fixed value: how byte-level vocabularies of this kind split a text before merging.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def merging(spec: dict):
+    """The vocabulary's merges as an ``Encoding``; None if the file is of another kind."""
+    import tiktoken
+
+    vocabulary, before = spec["model"].get("vocab"), spec.get("pre_tokenizer") or {}
+    if spec["model"].get("type") != "BPE" or spec.get("normalizer") or (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) != ("ByteLevel", False, True):
+        return None
+    # Bytes that print stand for themselves in the file, the others in turn for the characters from 256 on.
+    printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in printing} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printing)))}
+    special = {token["content"] for token in spec["added_tokens"]}
+    ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in vocabulary.items() if token not in special}
+    pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in spec["model"]["merges"]]
+    if any(vocabulary[a + b] != 256 + i for i, (a, b) in enumerate(pairs)):
+        return None  # an id isn't the rank of its merge
+    return tiktoken.Encoding("merges", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+
+@cache
 def encoder(model: str) -> Callable[[str], bytes]:
-    """The library's ids of a text as little-endian unsigned 32-bit numbers."""
+    """The ids that ``tokenizers`` gives a text, as little-endian unsigned 32-bit numbers.
+
+    The file's merges are applied by the faster of two libraries; texts that hold special strings, and files of another
+    kind, are left to ``tokenizers``. Both give the same ids.
+    """
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(model)
-    whole = lambda text: np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    ids = Bounded(whole)
+    whole = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    with open(model, encoding="utf-8") as file:
+        spec = json.load(file)
+    merges = merging(spec)
+    if not merges:
+        return whole
+    special = [token["content"] for token in spec["added_tokens"]]
 
     def encode(text: str) -> bytes:
-        if OTHER.search(text) or SPECIAL in text:
+        if any(token in text for token in special):
             return whole(text)
-        return b"".join(map(ids.__getitem__, PRE_TOKEN.findall(text)))
+        return np.array(merges.encode_ordinary(text), "<u4").tobytes()
 
     return encode
 

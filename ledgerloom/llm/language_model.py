@@ -1,4 +1,4 @@
-"""Language-model scores: interpolated modified Kneser-Ney bigrams, counted in Spark, kept as sorted hash arrays."""
+"""Language-model scores: interpolated modified Kneser-Ney n-grams, counted in Spark, kept as sorted hash arrays."""
 
 from __future__ import annotations
 
@@ -22,10 +22,13 @@ from ledgerloom.scratch import new_path, shared_dir
 FOLDS, HELD_OUT = 7, 2
 #: Hashes of the end of a document, which is a token, and of its start, which is a context only.
 END, START = np.uint64(1), np.uint64(2)
-#: Tokens whose pairs a task sums up before it hands them on.
+#: Words of an n-gram.
+ORDER = 3
+#: Tokens whose n-grams a task sums up before it hands them on.
 HOLD = 3_000_000
-#: Columns of a word's row: its count, the words it follows; as a context: pairs in all, and pairs seen once, twice, more.
-COUNT, FOLLOWS, PAIRS, ONCE, TWICE, MORE = range(6)
+#: Bytes of text whose n-grams one shard holds, so that a shard stays of one size as the corpus grows.
+SHARD_BYTES = 48 << 20
+MOST_SHARDS = 1 << 16
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -38,63 +41,91 @@ def word_hashes() -> Callable[[list[bytes]], np.ndarray]:
     return lambda words: np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-#: The upper bits of a pair's hash are of its context and three bits of its token: a context's pairs lie in few shards,
-#: a frequent one's in eight parts.
-CONTEXT_BITS = np.uint64(0xFFFF << 48)
+def extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a context and the word after it; the empty context is 0."""
+    return mixed(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def pair_hash(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    upper = mixed(context * np.uint64(0x9E3779B97F4A7C15) + (token & np.uint64(7)))
-    lower = mixed(context + mixed(token))
-    return (upper & CONTEXT_BITS) | (lower & ~CONTEXT_BITS)
+def hash_of(words: list[np.ndarray], size: int) -> np.ndarray:
+    """Hash of n-grams, a column for each place; zeros for none."""
+    out = np.zeros(size, np.uint64)
+    for column in words:
+        out = extended(out, column)
+    return out
 
 
-def with_ends(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and tokens of all documents, one after the other; each document's tokens end with END."""
-    context = np.concatenate([part for h in hashes for part in (np.array([START]), h)]) if hashes else np.zeros(0, np.uint64)
-    token = np.concatenate([part for h in hashes for part in (h, np.array([END]))]) if hashes else np.zeros(0, np.uint64)
-    return context, token
+def grams(documents: list[np.ndarray], order: int) -> list[np.ndarray]:
+    """Columns of all n-grams that end in a token, document after document; each begins with START as often as it takes."""
+    pad, end = np.full(order - 1, START), np.array([END])
+    flat = np.concatenate([part for words in documents for part in (pad, words, end)] or [np.zeros(0, np.uint64)])
+    sizes = np.array([len(words) + order for words in documents], np.int64)
+    place = np.ones(len(flat), bool)
+    starts = np.cumsum(sizes) - sizes
+    for i in range(order - 1):
+        place[starts + i] = False
+    last = np.flatnonzero(place)
+    return [flat[last - (order - 1 - i)] for i in range(order)]
 
 
-def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted distinct keys and the sums of each value."""
-    order = np.argsort(key, kind="stable")
+def runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts the keys, and where in it each distinct one starts."""
+    order = np.argsort(key)
     key = key[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    return key[starts], *(np.add.reduceat(v[order], starts) if len(key) else v for v in values)
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
-def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length as bytes."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
+def shard_of(context: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of the n-grams of a context: all of one context are in one."""
+    return ((context >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    count = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
-    out, at = [], 0
-    for kind in kinds:
-        out.append(np.frombuffer(raw, kind, count, at))
-        at += count * np.dtype(kind).itemsize
-    return out
+def planes(array: np.ndarray) -> bytes:
+    """An array of small numbers as bytes that compress well: all lowest bytes first."""
+    array = array.astype(np.uint8 if not len(array) or array.max() < 1 << 8 else np.uint16 if array.max() < 1 << 16 else np.uint32 if array.max() < 1 << 32 else np.uint64)
+    raw = array.view(np.uint8).reshape(len(array), array.itemsize).T.tobytes()
+    return array.itemsize.to_bytes(1, "little") + raw
 
 
-def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """The range of hashes that each falls in."""
-    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+def packed(words: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """N-grams and their values as bytes: the words that they hold, once each, then numbers for these."""
+    known, number = np.unique(np.concatenate(words), return_inverse=True)
+    parts = [known.tobytes(), *map(planes, np.split(number, len(words))), *map(planes, values)]
+    sizes = np.array([len(words), len(known), len(values[0]), *map(len, parts)], np.int64)
+    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(sizes)).tobytes() + sizes.tobytes() + b"".join(parts))
 
 
-def split(key: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
-    """Shards of sorted keys that have any."""
-    edges = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
-    return ((i, slice(edges[i], edges[i + 1])) for i in range(shards) if edges[i] < edges[i + 1])
+def unpacked(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    sizes = np.frombuffer(raw, np.int64, int(np.frombuffer(raw, np.int64, 1)[0]), 8)
+    at, columns = 8 + 8 * len(sizes), []
+    words, distinct, rows = sizes[:3].tolist()
+    known = np.frombuffer(raw, np.uint64, distinct, at)
+    at += int(sizes[3])
+    for size in sizes[4:].tolist():
+        width = raw[at]
+        columns.append(np.frombuffer(raw, np.uint8, size - 1, at + 1).reshape(width, rows).T.copy().view(f"<u{width}").reshape(rows))
+        at += size
+    return [known[c] for c in columns[:words]], [c.astype(np.int64) for c in columns[words:]]
+
+
+def dealt(words: list[np.ndarray], values: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
+    """Distinct n-grams by shard, sorted by their words in each, for these to take little room."""
+    context = hash_of(words[:-1] or words, len(words[0]))
+    shard = shard_of(context, shards).astype(np.uint16)
+    order = np.lexsort((*reversed(words), shard))
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    for i in range(shards):
+        if edges[i] < edges[i + 1]:
+            own = order[edges[i] : edges[i + 1]]
+            yield i, packed([w[own] for w in words], [v[own] for v in values])
 
 
 class Store:
     """Shards of the model as files in the shared folder: written whole by the task that made them, mapped by workers.
 
     The folder must be one that executors see as files (a mount). A task that runs again writes the same file anew and
-    puts it in place in one step.
+    puts it in place in one step. Of a key the upper 48 bits are kept, in a table of 32 and one of 16; values are numbers
+    of the shard's distinct rows of values.
     """
 
     def __init__(self, spark: SparkSession):
@@ -103,54 +134,77 @@ class Store:
             raise ValueError(f"memory-mapped models need a mounted folder in spark.checkpoint.dir, not {shared_dir(spark)}")
         self.path = where.path
 
-    def put(self, kind: str, shard: int, keys: np.ndarray, values: np.ndarray) -> None:
+    def put(self, kind: str, shard: int, keys: np.ndarray, *values: np.ndarray) -> None:
+        """Sorted keys and their columns of values."""
         os.makedirs(self.path, exist_ok=True)
-        for name, array in (("keys", keys), ("values", values)):
+        rows = np.stack(values, 1).astype(np.int64)
+        if all(v.max(initial=0) < 1 << (63 // len(values)) for v in values):
+            one = np.zeros(len(rows), np.int64)
+            for v in values:
+                one = (one << (63 // len(values))) | v
+            _, first, number = np.unique(one, return_index=True, return_inverse=True)
+            distinct = rows[first]
+        else:
+            distinct, number = np.unique(rows, axis=0, return_inverse=True)
+        number = number.reshape(-1).astype(np.uint8 if len(distinct) <= 1 << 8 else np.uint16 if len(distinct) <= 1 << 16 else np.uint32)
+        parts = {"high": (keys >> np.uint64(32)).astype(np.uint32), "low": (keys >> np.uint64(16)).astype(np.uint16), "number": number, "values": distinct}
+        for name, array in parts.items():
             own = f"{self.path}/.{uuid.uuid4().hex}"
             with open(own, "wb") as file:
                 np.save(file, array)
             os.replace(own, f"{self.path}/{kind}-{shard}-{name}.npy")
 
-    def get(self, kind: str, shard: int) -> tuple[np.ndarray, np.ndarray] | None:
-        if not os.path.exists(f"{self.path}/{kind}-{shard}-keys.npy"):
+    def get(self, kind: str, shard: int) -> list[np.ndarray] | None:
+        if not os.path.exists(f"{self.path}/{kind}-{shard}-values.npy"):
             return None
-        return tuple(np.load(f"{self.path}/{kind}-{shard}-{name}.npy", mmap_mode="r") for name in ("keys", "values"))
+        return [np.load(f"{self.path}/{kind}-{shard}-{name}.npy", mmap_mode="r") for name in ("high", "low", "number", "values")]
 
 
 class Shards:
     """Lookups in the mapped shards of one kind; each shard is opened when it is first asked for."""
 
-    def __init__(self, store: Store, kind: str, shards: int, columns: int):
-        self.store, self.kind, self.shards, self.columns = store, kind, shards, columns
+    def __init__(self, store: Store, kind: str, shards: int, missing: tuple[int, ...]):
+        self.store, self.kind, self.shards, self.missing = store, kind, shards, np.array(missing, np.int64)
         self.open: dict = {}
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """Values of sorted keys; zeros where there are none."""
-        out = np.zeros((len(keys), self.columns), np.int64)
-        for shard, part in split(keys, self.shards):
+    def __call__(self, context: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Rows of values of keys of contexts; ``missing`` where there are none."""
+        whole = (shard_of(context, self.shards).astype(np.uint64) << np.uint64(48)) | (key >> np.uint64(16))
+        whole, place = np.unique(whole, return_inverse=True)
+        out = np.broadcast_to(self.missing, (len(whole), len(self.missing))).copy()
+        edges = np.searchsorted(whole, np.arange(self.shards + 1, dtype=np.uint64) << np.uint64(48))
+        for shard in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
             if shard not in self.open:
                 self.open[shard] = self.store.get(self.kind, shard)
             if self.open[shard] is None:
                 continue
-            own, values = self.open[shard]
-            at = np.minimum(np.searchsorted(own, keys[part]), len(own) - 1)
-            found = own[at] == keys[part]
-            rows = np.zeros((len(at), self.columns), np.int64)
-            rows[found] = values[at[found]].reshape(-1, self.columns)
-            out[part] = rows
-        return out
+            high, low, number, values = self.open[shard]
+            part = slice(edges[shard], edges[shard + 1])
+            top, rest = (whole[part] >> np.uint64(16)).astype(np.uint32), whole[part].astype(np.uint16)
+            at = np.searchsorted(high, top)
+            row = np.full(len(top), -1, np.int64)
+            open_ = np.flatnonzero(at < len(high))
+            while len(open_):  # keys of equal upper parts lie one after the other
+                open_ = open_[high[at[open_]] == top[open_]]
+                met = low[at[open_]] == rest[open_]
+                row[open_[met]] = at[open_[met]]
+                open_ = open_[~met]
+                at[open_] += 1
+                open_ = open_[at[open_] < len(high)]
+            found = row >= 0
+            out[np.arange(part.start, part.stop)[found]] = values[number[row[found]]]
+        return out[place.reshape(-1)]
 
 
 @dataclass
 class Totals:
-    """Sums over the corpus: tokens, distinct tokens, distinct pairs, the discounts of pairs and of single words,
+    """Sums over the corpus: tokens, distinct tokens, distinct pairs, the discounts of each order's counts from 1 on,
     and the share of single words' probability that their discounts leave."""
 
     tokens: int
     distinct: int
     pairs: int
-    pair_discounts: np.ndarray
-    word_discounts: np.ndarray
+    discounts: list[np.ndarray]
     freed: float
 
 
@@ -169,26 +223,18 @@ def discounts(times: np.ndarray) -> np.ndarray:
     return out
 
 
-def corpus_counts(rows: DataFrame, shards: int) -> DataFrame:
-    """``(shard, blob)``: each task's sums of its pairs (context, token, count) by shard of their hash."""
+def corpus_counts(rows: DataFrame, shards: int, order: int) -> DataFrame:
+    """``(shard, blob)``: each task's n-grams with their counts, by shard of their context."""
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = word_hashes(), [], 0
 
         def out() -> pa.RecordBatch:
-            context, token = with_ends(held)
-            pair = pair_hash(context, token)
-            order = np.argsort(pair)
-            pair = pair[order]
-            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-            count = np.diff(np.append(starts, len(pair))).astype(np.uint32)
-            pair, context, token = pair[starts], context[order[starts]], token[order[starts]]
-            shard, blob = [], []
-            for s, p in split(pair, shards):
-                by = np.argsort(context[p])  # equal contexts lie together: they take little room
-                shard.append(s)
-                blob.append(packed(context[p][by], token[p][by], count[p][by]))
-            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], ["shard", "blob"])
+            words = grams(held, order)
+            by, starts = runs(hash_of(words, len(words[0])))
+            count = np.diff(np.append(starts, len(by)))
+            found = list(dealt([w[by[starts]] for w in words], [count], shards))
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], ["shard", "blob"])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -203,134 +249,156 @@ def corpus_counts(rows: DataFrame, shards: int) -> DataFrame:
     return rows.select(F.col("text").cast("binary").alias("text")).mapInArrow(counting, "shard int, blob binary")
 
 
-def train(rows: DataFrame, shards: int) -> tuple[Store, Totals]:
-    """Count ``(id, text)`` rows. Pairs and words are summed by shards of their hash, so that none is hot."""
-    store = Store(rows.sparkSession)
+def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What writes a shard's n-grams of ``level`` words and their contexts, and hands on the ends of the n-grams.
 
-    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Write the shard's pairs; hand on what their words gain, by shard of the word."""
-        shard, parts = 0, []
-        for batch in batches:
-            for s, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                shard = s
-                parts.append(unpacked(blob, "u8", "u8", "u4"))
-        context, token, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-        parts.clear()
-        pair = pair_hash(context, token)
-        order = np.argsort(pair)
-        pair = pair[order]
-        starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-        count = np.add.reduceat(count[order], starts, dtype=np.int64)
-        pair, context, token = pair[starts], context[order[starts]], token[order[starts]]
-        most = count.max()
-        store.put("pairs", shard, pair, count.astype(np.uint8 if most < 256 else np.uint32 if most < 1 << 32 else np.int64))
-        one = np.ones(len(pair), np.int64)
-        ended = summed(token, count, one)
-        begun = summed(context, count, (count == 1) * one, (count == 2) * one, (count > 2) * one)
-        out = [(s, True, packed(*(x[p] for x in ended))) for s, p in split(ended[0], shards)]
-        out += [(s, False, packed(*(x[p] for x in begun))) for s, p in split(begun[0], shards)]
-        seen = np.bincount(np.minimum(count, 5), minlength=6)[1:5]
-        out.append((-1, True, np.array([len(pair), *seen], np.int64).tobytes()))
-        yield pa.RecordBatch.from_arrays([
-            pa.array([b[0] for b in out], pa.int32()), pa.array([b[1] for b in out]), pa.array([b[2] for b in out], pa.binary()),
-        ], ["shard", "ended", "blob"])
-
-    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Write the shard's words; hand on the sums over the corpus."""
-        shard, parts, sums = 0, [], np.zeros(5, np.int64)
+    An n-gram's count is how often it occurs, below the highest order how many different words it follows. Handed on are
+    n-grams of a word less, each with how many it ends here and how often. Sums over the corpus are handed on as shard -1:
+    for each level the counts that are 1, 2, 3 and 4 and all, then all tokens.
+    """
+
+    def writing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, parts, sums = 0, [], np.zeros(5 * order + 1, np.int64)
         for batch in batches:
-            for s, ended, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "ended", "blob")), strict=True):
-                shard = s
-                if s < 0:
+            for number, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                shard = number
+                if number < 0:
                     sums += np.frombuffer(blob, np.int64)
                 else:
-                    word, *values = unpacked(blob, "u8", *["i8"] * (2 if ended else 4))
-                    parts.append((word, COUNT if ended else PAIRS, values))
-        size, total, seen = 0, 0, np.zeros(4, np.int64)
+                    parts.append(unpacked(blob))
+        out: list[tuple[int, bytes]] = []
         if parts:
-            word = np.unique(np.concatenate([w for w, _, _ in parts]))
-            table = np.zeros((len(word), 6), np.int64)
-            for own, first, values in parts:
-                at = np.searchsorted(word, own)
-                for column, value in enumerate(values, first):
-                    table[at, column] += value
-            store.put("words", shard, word, table.astype(np.uint32) if table.max() < 1 << 32 else table)
-            size, total = int((table[:, COUNT] > 0).sum()), int(table[:, COUNT].sum())
-            seen = np.bincount(np.minimum(table[:, FOLLOWS], 5), minlength=6)[1:5]
-        yield pa.RecordBatch.from_arrays([pa.array([[*sums.tolist(), size, total, *seen.tolist()]], pa.list_(pa.int64()))], ["sums"])
-
-    gained = corpus_counts(rows, shards).groupBy("shard").applyInArrow(pairs_of, "shard int, ended boolean, blob binary")
-    parts = gained.groupBy("shard").applyInArrow(words_of, "sums array<long>").collect()  # a few numbers a shard
-    sums = np.array([part["sums"] for part in parts] or [[0] * 11], np.int64).sum(0)
-    pairs, distinct, all_tokens = int(sums[0]), int(sums[5]), int(sums[6])
-    of_words = discounts(sums[7:11])
-    freed = float(of_words[1:] @ [sums[7], sums[8], distinct - sums[7] - sums[8]]) / max(pairs, 1)
-    return store, Totals(all_tokens, distinct, pairs, discounts(sums[1:5]), of_words, freed)
-
-
-def probabilities(token: np.ndarray, context: np.ndarray, pair: np.ndarray, totals: Totals) -> np.ndarray:
-    """Probability of each token after its context; rows hold the counts of token, context and pair.
-
-    Both orders are interpolated with what their discounts leave: pairs with the share of contexts a word follows, that
-    with one part in V + 1 for each of the V known tokens and for all others.
+            words = [np.concatenate(column) for column in zip(*(w for w, _ in parts), strict=True)]
+            values = [np.concatenate(column) for column in zip(*(v for _, v in parts), strict=True)]
+            parts.clear()
+            key = hash_of(words, len(words[0]))
+            by, starts = runs(key)
+            first = by[starts]
+            count, *often = (np.add.reduceat(v[by], starts) for v in values)
+            often = often[0] if often else count
+            key, words = key[first], [w[first] for w in words]
+            if level == 1:
+                store.put("grams-1", shard, key, often, count)
+                sums[-1] += often.sum()
+            else:
+                store.put(f"grams-{level}", shard, key, count)
+                context = hash_of(words[:-1], len(key))
+                by, starts = runs(context)
+                each = count[by]
+                of = np.stack([np.add.reduceat(v, starts) for v in (each, each == 1, each == 2, each > 2)], 1)
+                more = (of[:, 0] > 1) | (of[:, 1] != 1)  # a context not kept was seen once
+                store.put(f"contexts-{level}", shard, context[by[starts]][more], *of[more].T)
+                ends = words[1:]
+                by, starts = runs(hash_of(ends, len(key)))
+                ends = [w[by[starts]] for w in ends]
+                out += dealt(ends, [np.diff(np.append(starts, len(by))), np.add.reduceat(often[by], starts)], shards)
+            sums[5 * (level - 1) : 5 * level] += [*np.bincount(np.minimum(count, 5), minlength=6)[1:5], len(count)]
+        out.append((-1, sums.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["shard", "blob"])
+
+    return writing
+
+
+def train(rows: DataFrame, shards: int, order: int) -> tuple[Store, Totals]:
+    """Count ``(id, text)`` rows, from the longest n-grams to single words.
+
+    N-grams are summed by shards of their context's hash. A task hands on each n-gram once, so a context's rows in its
+    shard are as many as the tasks' different words after it, however often it occurs.
+    """
+    store = Store(rows.sparkSession)
+    handed = corpus_counts(rows, shards, order)
+    for level in range(order, 0, -1):
+        handed = handed.groupBy("shard").applyInArrow(level_of(store, level, order, shards), "shard int, blob binary")
+    # A row of a few numbers for each shard.
+    sums = np.sum([np.zeros(5 * order + 1, np.int64), *(np.frombuffer(row["blob"], np.int64) for row in handed.collect())], axis=0)
+    levels = sums[:-1].reshape(order, 5)
+    of_words = discounts(levels[0, :4])
+    pairs, distinct = int(levels[1, 4]), int(levels[0, 4])
+    freed = float(of_words[1:] @ [levels[0, 0], levels[0, 1], distinct - levels[0, 0] - levels[0, 1]]) / max(pairs, 1)
+    return store, Totals(int(sums[-1]), distinct, pairs, [of_words, *map(discounts, levels[1:, :4])], freed)
+
+
+def probabilities(counts: list[np.ndarray], contexts: list[np.ndarray], known: list[np.ndarray], totals: Totals) -> np.ndarray:
+    """Probability of each token: for each order, its n-gram's count, its context's row, and whether that was seen.
+
+    Orders are interpolated with what their discounts leave: the highest with the share of words that an n-gram of one
+    word less follows, and so on; single words with one part in V + 1 for each of the V known tokens and for all others.
     """
-    d, e = totals.pair_discounts, totals.word_discounts
     even = 1 / (totals.distinct + 1)
     if not totals.pairs:
-        return np.full(len(token), even)
-    follows = token[:, FOLLOWS]
-    word = np.maximum(follows - e[np.minimum(follows, 3)], 0) / totals.pairs + totals.freed * even
-    all_pairs = context[:, PAIRS]
-    free = d[1] * context[:, ONCE] + d[2] * context[:, TWICE] + d[3] * context[:, MORE]
-    known = np.maximum(all_pairs, 1)
-    both = np.maximum(pair - d[np.minimum(pair, 3)], 0) / known + free / known * word
-    return np.where(all_pairs > 0, both, word)
+        return np.full(len(counts[0]), even)
+    out = np.maximum(counts[0] - totals.discounts[0][np.minimum(counts[0], 3)], 0) / totals.pairs + totals.freed * even
+    for count, context, seen, d in zip(counts[1:], contexts, known, totals.discounts[1:], strict=True):
+        free = context[:, 1:] @ d[1:]
+        both = (np.maximum(count - d[np.minimum(count, 3)], 0) + free * out) / context[:, 0]
+        out = np.where(seen, both, out)
+    return out
+
+
+class Model:
+    """Lookups of all orders, for one worker."""
+
+    def __init__(self, store: Store, totals: Totals, shards: int, order: int):
+        self.totals, self.order = totals, order
+        self.grams = [Shards(store, f"grams-{k}", shards, (0, 0) if k == 1 else (0,)) for k in range(1, order + 1)]
+        self.contexts = [Shards(store, f"contexts-{k}", shards, (1, 1, 0, 0)) for k in range(2, order + 1)]
+
+    def __call__(self, documents: list[np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's count and probability; documents start at ``starts``, one after the other."""
+        words = grams(documents, self.order)
+        counts, contexts, known, rows = [], [], [], None
+        for k in range(1, self.order + 1):
+            context = hash_of(words[self.order - k : -1], len(words[0]))
+            key = extended(context, words[-1])
+            if k > 1:
+                # The context is the n-gram of a word less that ends in the token before.
+                before = np.roll(counts[-1] > 0, 1)
+                before[starts] = self.totals.tokens > 0
+                known.append(before)
+                contexts.append(self.contexts[k - 2](context, context))
+            found = self.grams[k - 1](key if k == 1 else context, key)
+            rows = found if k == 1 else rows
+            counts.append(found[:, -1])
+        return rows[:, 0], probabilities(counts, contexts, known, self.totals)
 
 
 def model_scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, shards: int | None = None,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, order: int = ORDER, shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """One row per row of ``docs``: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    The model learns from the rows that are not held out (null ids are learnt from). Tokens are runs of bytes other than
-    ASCII white space, A-Z in lower case, then one end, so an empty or null text has one token. Scores are sums of log10
-    probabilities, base_score of single tokens with one count added. With nothing to learn from, all tokens are unknown
-    and share one probability. Every row counts each time it occurs; columns other than id and text are not looked at.
+    The model of n-grams of ``order`` words (two or more) learns from the rows that are not held out (null ids are learnt
+    from). Tokens are runs of bytes other than ASCII white space, A-Z in lower case, then one end, so an empty or null
+    text has one token. Scores are sums of log10 probabilities, base_score of single tokens with one count added. With
+    nothing to learn from, all tokens are unknown and share one probability. Every row counts each time it occurs;
+    columns other than id and text are not looked at.
 
-    Words and pairs are known by 64-bit hashes. A shard is a range of them: it has its part of the vocabulary whatever
-    words are frequent. ``shards`` should grow with the corpus; by default it is the session's shuffle partitions.
+    Words and n-grams are known by hashes of 64 bits, of which the stored tables keep 48 within each shard. A shard is a
+    range of contexts' hashes; their number follows the bytes of the texts, so that a shard's size doesn't.
     """
+    if order < 2:
+        raise ValueError("order is the number of words of an n-gram, two or more")
     spark = docs.sparkSession
     small_batches(spark)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = id_and_text(docs, id_col, text_col)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    shards = min(MOST_SHARDS, -(-size // shard_bytes) or 1)
     if held is None:
         held = F.coalesce(remainder("id", FOLDS) == HELD_OUT, F.lit(False))
-    store, totals = train(rows.where(~held), shards)
+    store, totals = train(rows.where(~held), shards, order)
 
     def scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, words, pairs = word_hashes(), Shards(store, "words", shards, 6), Shards(store, "pairs", shards, 1)
+        hashes, model = word_hashes(), Model(store, totals, shards, order)
         base = np.log10(totals.tokens + totals.distinct + 1)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             found = [hashes(tokens(text)) for text in batch.column("text").to_pylist()]
-            starts = np.cumsum([0] + [len(f) + 1 for f in found[:-1]])
-            context, token = with_ends(found)
-            distinct, place = np.unique(np.append(token, START), return_inverse=True)
-            of_words = words(distinct)
-            before = np.append(place[-1], place[: len(token) - 1])
-            before[starts] = place[-1]
-            of_context, of_token = of_words[before], of_words[place[:-1]]
-            pair = pair_hash(context, token)
-            order = np.argsort(pair)
-            of_pair = np.empty(len(pair), np.int64)
-            of_pair[order] = pairs(pair[order])[:, 0]
-            score = np.log10(probabilities(of_token, of_context, of_pair, totals))
-            count = of_token[:, COUNT]
-            plain = np.log10(count + 1) - base
-            yield pa.RecordBatch.from_arrays([
-                batch.column("id"), pa.array(np.diff(np.append(starts, len(token)))), pa.array(np.add.reduceat((count > 0).astype(np.int64), starts)),
-                pa.array(np.add.reduceat(plain, starts)), pa.array(np.add.reduceat(score, starts)),
-            ], ["id", "n_tokens", "n_known", "base_score", "score"])
+            sizes = np.array([len(f) + 1 for f in found])
+            starts = np.cumsum(sizes) - sizes
+            count, probability = model(found, starts)
+            sums = (np.add.reduceat(v, starts) for v in ((count > 0).astype(np.int64), np.log10(count + 1) - base, np.log10(probability)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes), *map(pa.array, sums)], ["id", "n_tokens", "n_known", "base_score", "score"])
 
     out = rows.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(
         scoring, f"id {dict(rows.dtypes)['id']}, n_tokens long, n_known long, base_score double, score double")

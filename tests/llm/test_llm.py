@@ -305,41 +305,53 @@ def test_classifiers_on_odd_rows(spark, module):
     assert accepted.columns == docs.columns and accepted.count() + other.count() == 13
 
 
-def test_language_model(spark):
-    got = {r.doc_id: r for r in language_model.op10_language_model(spark, SF).collect()}
+def kneser_ney(documents, order):
+    """Interpolated modified Kneser-Ney by dicts of n-grams: a function of a context and a word."""
+    counts = [Counter() for _ in range(order + 1)]
+    for words in documents:
+        padded = ["<s>"] * (order - 1) + words
+        counts[order].update(tuple(padded[i : i + order]) for i in range(len(words)))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(gram[1:] for gram in counts[k + 1])
+    d = [None] + [language_model.discounts(np.array([Counter(c.values())[j] for j in (1, 2, 3, 4)])) for c in counts[1:]]
+    after = [None] + [defaultdict(list) for _ in range(order)]
+    for k in range(1, order + 1):
+        for gram, count in counts[k].items():
+            after[k][gram[:-1]].append(count)
+    sums = [None] + [{c: (sum(found), sum(d[k][min(x, 3)] for x in found)) for c, found in after[k].items()} for k in range(1, order + 1)]
+
+    def probability(context, word):
+        k = len(context) + 1
+        lower = 1 / (len(counts[1]) + 1) if k == 1 else probability(context[1:], word)
+        if context not in sums[k]:
+            return lower
+        own = counts[k].get((*context, word), 0)
+        total, freed = sums[k][context]
+        return (max(own - d[k][min(own, 3)], 0) + freed * lower) / total
+
+    return probability
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(spark, order):
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = language_model.model_scores(frame, order=order, shard_bytes=100_000) if order != 3 else language_model.op10_language_model(spark, SF)
+    got = {r.doc_id: r for r in rows.collect()}
     split = lambda t: [re.sub("[A-Z]+", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t)] + ["</s>"]
-    docs = {r.doc_id: split(r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    docs = {r.doc_id: split(r.text or "") for r in frame.collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in docs}
-    words, pairs = Counter(), Counter()
-    for i, found in docs.items():
-        if not held[i]:
-            words.update(found)
-            pairs.update(zip(["<s>", *found[:-1]], found))
-    follows = Counter(b for _, b in pairs)
-    context = defaultdict(lambda: [0, 0, 0, 0])
-    for (a, _), c in pairs.items():
-        context[a][0] += c
-        context[a][min(c, 3)] += 1
-
-    def discount(counts):
-        return language_model.discounts(np.array([Counter(counts)[k] for k in (1, 2, 3, 4)]))
-
-    d, e = discount(pairs.values()), discount(follows.values())
-    freed = sum(e[min(v, 3)] for v in follows.values()) / len(pairs)
-    single = lambda w: max(follows[w] - e[min(follows[w], 3)], 0) / len(pairs) + freed / (len(words) + 1)
-
-    def probability(a, b):
-        if a not in context:
-            return single(b)
-        n, k = context[a], pairs[a, b]
-        return max(k - d[min(k, 3)], 0) / n[0] + sum(d[j] * n[j] for j in (1, 2, 3)) / n[0] * single(b)
-
-    assert sum(probability("the", w) for w in words) + probability("the", "never seen") == pytest.approx(1)
+    train = [words for i, words in docs.items() if not held[i]]
+    words = Counter(w for found in train for w in found)
+    probability = kneser_ney(train, order)
+    some = tuple(train[0][: order - 1])
+    assert sum(probability(some, w) for w in words) + probability(some, "never seen") == pytest.approx(1)
     total = sum(words.values())
     for i, found in docs.items():
         row = got[i]
         assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (held[i], len(found), sum(w in words for w in found), total)
-        assert row.score == pytest.approx(sum(math.log10(probability(a, b)) for a, b in zip(["<s>", *found[:-1]], found)))
+        padded = ["<s>"] * (order - 1) + found
+        want = sum(math.log10(probability(tuple(padded[j : j + order - 1]), w)) for j, w in enumerate(found))
+        assert row.score == pytest.approx(want)
         assert row.base_score == pytest.approx(sum(math.log10((words[w] + 1) / (total + 1 * (len(words) + 1))) for w in found))
 
 

@@ -33,6 +33,32 @@ def remainder(id_col: str | Column, modulus: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % modulus
 
 
+def may_be_in(rows: DataFrame, key: Column, wanted: DataFrame, most_slots: int = 1 << 20) -> DataFrame:
+    """``rows`` with a boolean ``__may``: false where the hash ``key`` surely isn't among those of ``wanted``'s column ``h``.
+
+    The texts need no shuffle: what is broadcast is a table of 64-bit masks, of one slot for eight hashes up to
+    ``most_slots``. The more are wanted beyond that, the more others pass; an exact join follows.
+    """
+    slots = min(most_slots, 1 << max(10, (wanted.count() // 8).bit_length()))
+    slot = lambda h: F.pmod(F.shiftright(h, 6), F.lit(slots))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    masks = wanted.groupBy(slot(F.col("h")).alias("__slot")).agg(F.bit_or(bit(F.col("h"))).alias("__mask"))
+    met = rows.withColumn("__h", key).withColumn("__slot", slot(F.col("__h"))).join(F.broadcast(masks), "__slot", "left")
+    return met.withColumn("__may", F.coalesce(F.col("__mask").bitwiseAND(bit(F.col("__h"))) != 0, F.lit(False))).select(*rows.columns, "__may")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "left", share: int = 1000) -> DataFrame:
+    """``rows`` joined to ``groups``, one row a group, without a key that takes one task long.
+
+    Groups of more than one row in ``share`` of all are fewer than ``share``: they are broadcast, the others shuffled.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.broadcast(groups.where(F.col(size) * share > total))
+    others = rows.join(large, on, "left_anti").join(groups.where(F.col(size) * share <= total), on, how)
+    columns = others.columns
+    return rows.join(large, on, "inner" if how == "left" else how).select(*columns).unionByName(others)
+
+
 def per_batch(work: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> Callable:
     """Turn a factory of batch functions into what ``mapInArrow`` takes; the factory runs once in a task."""
 

@@ -45,6 +45,11 @@ def test_exact_dedup(spark):
     by_id = {r.doc_id: r for r in got}
     assert (by_id[1].keep_id, by_id[1].group_size, by_id[4].keep_id, by_id[4].group_size) == (3, 3, 5, 4)
     assert exact_dedup.exact_dedup(empty(odd_documents(spark))).count() == 0
+    close = [(i, "same head " * 20 + tail) for i, tail in enumerate(["one", "two", "two", "six", "one", "zen"])]
+    near = {r.doc_id: r for r in exact_dedup.exact_dedup(spark.createDataFrame(close, "doc_id long, text string")).collect()}
+    assert [near[i].keep_id for i in range(6)] == [4, 2, 2, 3, 4, 5] and [near[i].group_size for i in range(6)] == [2, 2, 2, 1, 2, 1]
+    assert [near[i].kept for i in range(6)] == [False, False, True, True, True, True]
+    assert sorted(r.doc_id for r in exact_dedup.keep_one(spark.createDataFrame(close, "doc_id long, text string")).collect()) == [2, 3, 4, 5]
     rows = exact_dedup.keep_one(odd_documents(spark))
     assert rows.columns == odd_documents(spark).columns and rows.count() == 8
 
@@ -68,7 +73,10 @@ def test_token_counts(spark):
     library = sentencepiece.SentencePieceProcessor(model_file=token_counts.model_path())
     count = token_counts.piece_counter(token_counts.model_path())
     for text in texts(spark) + random_texts():
-        assert count(text) == len(library.encode(text)), text
+        assert sum(map(count, token_counts.pre_tokens(text))) == len(library.encode(text)), text
+    random_ = spark.createDataFrame(list(enumerate(random_texts(300))), "doc_id long, text string")
+    for r in token_counts.token_counts(random_, shard_bytes=500).join(random_, "doc_id").collect():
+        assert r.n_tokens == len(library.encode(r.text))
     got = token_counts.token_counts(odd_documents(spark)).collect()
     assert {(r.doc_id, r.n_bytes, r.n_tokens) for r in got if r.doc_id in (1, 2)} == {(1, 0, 0), (2, 0, 0)}
     assert any(r.over_limit for r in got) and len(got) == 13

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import id_and_text, load, per_batch, small_batches
+from ledgerloom.llm.common import id_and_text, join_groups, load, may_be_in, per_batch, small_batches
 from ledgerloom.llm.shingles import BUCKETS, LEVELS, Shingler, levels, mixed, similarity, weights
 from ledgerloom.llm.vector_dedup import groups
 from ledgerloom.operators.components import connected_components
-from ledgerloom.scratch import written
+from ledgerloom.scratch import drop, written
 
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
@@ -26,7 +26,11 @@ CHUNK = 1 << 16
 MAYBE, FOLLOWS = 0.62, 0.75
 #: Documents of a bucket that one task leads at once, or compares with as many others.
 BLOCK = 4096
-#: Of these, as many at a time.
+#: Distinct shingles of such a block's documents.
+SHINGLES = 1 << 22
+#: Documents that follow one leader and are compared with it in one group.
+FOLLOWERS = 1024
+#: Of a block's rows, as many at a time.
 STRIPE = 512
 #: Slices that the table of document frequencies is summed in.
 SLICES = 64
@@ -104,9 +108,10 @@ def document_frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def sampled(rows: DataFrame, model, bands: int, per_band: int) -> DataFrame:
-    """``(id, samples, keys)``: each document's samples as bytes of 32-bit hashes, and a hash of the samples of each band.
+    """``(id, samples, size, keys)``: a byte of each sample, then two of each band's key; distinct shingles; the bands' keys.
 
-    Texts without words have no row.
+    Samples that differ have one byte in common once in 256 times, which only adds to a pair's estimate. Texts without
+    words have no row.
     """
 
     def hashing():
@@ -126,9 +131,10 @@ def sampled(rows: DataFrame, model, bands: int, per_band: int) -> DataFrame:
                     key = mixed(key * np.uint64(31) + found[:, i::per_band])
                 ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands)
                 keys = pa.ListArray.from_arrays(ends, pa.array(key.astype(np.int64).reshape(-1)))
-                short = found.astype(np.uint32)
-                return pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(pa.array(at)), pa.array([row.tobytes() for row in short], pa.binary()), keys], ["id", "samples", "keys"])
+                short = np.concatenate([found.astype(np.uint8), key.astype(np.uint16).view(np.uint8).reshape(len(sets), -1)], axis=1)
+                return pa.RecordBatch.from_arrays([
+                    batch.column("id").take(pa.array(at)), pa.array([row.tobytes() for row in short], pa.binary()),
+                    pa.array([len(s) for s, _ in sets], pa.int32()), keys], ["id", "samples", "size", "keys"])
 
             for i, text in enumerate(batch.column("text").to_pylist()):
                 shingles, times = shingler(text)
@@ -144,11 +150,11 @@ def sampled(rows: DataFrame, model, bands: int, per_band: int) -> DataFrame:
 
         return one
 
-    return rows.mapInArrow(per_batch(hashing), f"id {dict(rows.dtypes)['id']}, samples binary, keys array<long>")
+    return rows.mapInArrow(per_batch(hashing), f"id {dict(rows.dtypes)['id']}, samples binary, size int, keys array<long>")
 
 
-def led(members: DataFrame) -> DataFrame:
-    """``(leader, id)`` from rows ``(key, block, order, id, samples)``: pairs that are probably links.
+def led(members: DataFrame, samples: int) -> DataFrame:
+    """``(leader, id)`` from rows ``(key, block, order, id, samples)``: for each id, the likest of its buckets' leaders.
 
     A block's rows pass in their order, one after the other. A row that is probably like a leader follows the likest one,
     others lead those after them. This makes one class of most copies at little cost; ``crossing`` does the rest.
@@ -156,20 +162,18 @@ def led(members: DataFrame) -> DataFrame:
     id_type = dict(members.dtypes)["id"]
 
     def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, leaders, ids, count = None, None, [], 0
+        last, leaders, ids, count, follows = None, np.empty((16, samples), np.uint8), [], 0, FOLLOWS * samples
         for batch in batches:
-            samples = np.frombuffer(b"".join(batch.column("samples").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
-            keys, blocks, own = (batch.column(c).to_pylist() for c in ("key", "block", "id"))
-            follows = FOLLOWS * samples.shape[1]
+            own = byte_rows(batch)[:, :samples]
             out = []
-            for key, block, row, one in zip(keys, blocks, own, samples, strict=True):
+            for key, block, row, one in zip(*(batch.column(c).to_pylist() for c in ("key", "block", "id")), own, strict=True):
                 if (key, block) != last:
                     last, ids, count = (key, block), [], 0
-                    leaders = np.empty((16, len(one)), np.uint32)
                 if count:
                     equal = (leaders[:count] == one).sum(1)
-                    if equal.max() >= follows:
-                        out.append((ids[int(equal.argmax())], row))
+                    best = int(equal.argmax())
+                    if equal[best] >= follows:
+                        out.append((ids[best], row, int(equal[best])))
                         continue
                 if count == len(leaders):
                     leaders = np.concatenate([leaders, np.empty_like(leaders)])
@@ -177,11 +181,19 @@ def led(members: DataFrame) -> DataFrame:
                 ids.append(row)
                 count += 1
             if out:
+                kind = batch.schema.field("id").type
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[i] for o in out], batch.schema.field("id").type) for i in (0, 1)], ["leader", "id"])
+                    [pa.array([o[i] for o in out], t) for i, t in enumerate((kind, kind, pa.int32()))], ["leader", "id", "equal"])
 
     ordered = members.repartition("key", "block").sortWithinPartitions("key", "block", "order").select("key", "block", "id", "samples")
-    return ordered.mapInArrow(leading, f"leader {id_type}, id {id_type}")
+    each = ordered.mapInArrow(leading, f"leader {id_type}, id {id_type}, equal int")
+    likest = F.max_by("leader", F.struct("equal", F.xxhash64("leader")))
+    return each.groupBy("id").agg(likest.alias("leader")).select("leader", "id")
+
+
+def byte_rows(table: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """The ``samples`` of a table as rows of bytes."""
+    return np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint8).reshape(table.num_rows, -1)
 
 
 def likely(samples: np.ndarray, root: np.ndarray, block: np.ndarray, band: int, per_band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,7 +205,9 @@ def likely(samples: np.ndarray, root: np.ndarray, block: np.ndarray, band: int,
     within = block.min() == block.max()
     classes, number, times = np.unique(root, return_inverse=True, return_counts=True)
     minor = number != times.argmax()
-    columns = np.ascontiguousarray(samples.T)
+    count_of = samples.shape[1] * per_band // (per_band + 2)  # a byte for each sample, two for each band
+    columns = np.ascontiguousarray(samples[:, :count_of].T)
+    bands = np.concatenate([samples[:, :count_of].reshape(len(samples), -1, per_band), samples[:, count_of:].reshape(len(samples), -1, 2)], axis=2)
     found = []
     for left, right in [(first & minor, second), (first & ~minor, second & minor)][: 1 if within else 2]:
         left, right = np.flatnonzero(left), np.flatnonzero(right)
@@ -208,7 +222,7 @@ def likely(samples: np.ndarray, root: np.ndarray, block: np.ndarray, band: int,
             i, j, equal = i[keep], j[keep], equal[keep]
             for at in range(0, len(i), 1 << 16):
                 x, y, z = (c[at : at + (1 << 16)] for c in (i, j, equal))
-                met = (samples[x, : band * per_band] == samples[y, : band * per_band]).reshape(len(x), band, per_band).all(2).any(1)
+                met = (bands[x, :band] == bands[y, :band]).all(2).any(1)
                 found.append((x[~met], y[~met], z[~met]))
     if not found:
         nothing = np.zeros(0, np.int64)
@@ -218,7 +232,7 @@ def likely(samples: np.ndarray, root: np.ndarray, block: np.ndarray, band: int,
 
 
 def group_arrays(group: pa.Table, roots: str = "root") -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    samples = np.frombuffer(b"".join(group.column("samples").to_pylist()), np.uint32).reshape(group.num_rows, -1)
+    samples = byte_rows(group)
     _, root = np.unique(group.column(roots).to_numpy(), return_inverse=True)
     return samples, root, group.column("block").to_numpy(), group.column("band")[0].as_py()
 
@@ -281,45 +295,49 @@ def crossing_links(members: DataFrame, model, threshold: float, per_band: int) -
     return ordered.mapInArrow(meeting, f"a {kind}, b {kind}")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, model, threshold: float) -> DataFrame:
-    """``(a, b, near)`` of each pair: whether its weighted Jaccard similarity reaches the threshold."""
+def verified(pairs: DataFrame, rows: DataFrame, model, threshold: float, followers: int = FOLLOWERS) -> DataFrame:
+    """``(a, b)`` of those ``(leader, id)`` whose weighted Jaccard similarity reaches the threshold; ``pairs`` is written.
+
+    A leader's text is sent once to each ``followers`` of its followers, not with every pair.
+    """
+    kind = dict(pairs.dtypes)["id"]
 
     def comparing():
         documents, frequencies = model.value
         shingler = Shingler()
+        leader, of_leader = None, None
 
         def sets(text: str):
             shingles, times = shingler(text)
             return shingles, weights(levels(shingles, times, documents, frequencies))
 
         def one(batch: pa.RecordBatch):
-            last, of_last, near = None, None, []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                if x != last:
-                    last, of_last = x, sets(x)
-                near.append(similarity(*of_last, *sets(y)) >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
+            nonlocal leader, of_leader
+            out = []
+            for lead, follows, row, text in zip(*(batch.column(c).to_pylist() for c in ("leader", "follows", "id", "text")), strict=True):
+                own = sets(text)
+                if not follows:
+                    leader, of_leader = lead, own
+                elif lead == leader and similarity(*of_leader, *own) >= threshold:
+                    out.append((lead, row))
+            if out:
+                kinds = batch.schema.field("id").type
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kinds) for i in (0, 1)], ["a", "b"])
 
         return one
 
-    kind = dict(pairs.dtypes)["a"]
-    both = (
-        pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
-    )
-    return both.mapInArrow(per_batch(comparing), f"a {kind}, b {kind}, near boolean")
+    parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / followers).cast("int").alias("parts"))
+    leads = parts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("follows"), F.col("leader").alias("id"))
+    follow = pairs.join(parts, "leader").select("leader", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(True).alias("follows"), "id")
+    dealt = leads.unionByName(follow).join(texts_of(rows, written(pairs.select(F.explode(F.array("leader", "id")).alias("id")).distinct(), "wanted")), "id")
+    ordered = dealt.repartition("leader", "part").sortWithinPartitions("leader", "part", "follows").select("leader", "follows", "id", "text")
+    return ordered.mapInArrow(per_batch(comparing), f"a {kind}, b {kind}")
 
 
-def among(rows: DataFrame, wanted: DataFrame, slots: int = 1 << 16) -> DataFrame:
-    """Rows whose id may be wanted, without a shuffle of their texts: a broadcast table of ``slots`` 64-bit masks.
-
-    The table has one size whatever the corpus; the more ids are wanted, the more others pass, and an exact join follows.
-    """
-    h = F.xxhash64("id")
-    slot, bit = F.pmod(F.shiftright(h, 6), F.lit(slots)), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
-    masks = wanted.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("mask"))
-    met = rows.withColumn("slot", slot).join(F.broadcast(masks), "slot").where(F.col("mask").bitwiseAND(bit) != 0)
-    return met.select(*rows.columns)
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of the ids of ``wanted``, which is written; of rows that repeat an id, any."""
+    may = may_be_in(rows, F.xxhash64("id"), wanted.select(F.xxhash64("id").alias("h"))).where("__may").drop("__may")
+    return may.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
 def near_edges(rows: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, per_band: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -333,29 +351,30 @@ def near_edges(rows: DataFrame, firsts: DataFrame, threshold: float = THRESHOLD,
     spark = rows.sparkSession
     model = spark.sparkContext.broadcast(document_frequencies(rows))
     known = written(sampled(rows, model, bands, per_band).join(firsts, "id", "left_semi"), "samples")
-    keyed = known.select(F.posexplode("keys").alias("band", "key"), "id")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = known.select(F.posexplode("keys").alias("band", "key"), "id", "size")
+    # A bucket's blocks are bounded in rows, and in shingles for texts that are long.
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum(F.col("size").cast("long")) / SHINGLES)).cast("int").alias("blocks")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), blocks).where("n > 1").drop("n")
     samples = known.select("id", "samples")
-    order = F.xxhash64("id", "key")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    members = keyed.join(shared, "key").select("key", "id", order.alias("order"), F.pmod(order, blocks).cast("int").alias("block"))
-    pairs = led(members.join(samples, "id")).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-    pairs = written(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = among(rows, wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    links = written(verified(pairs, written(texts, "candidates"), model, threshold).where("near").select("a", "b"), "links")
+    block_of = F.pmod(F.xxhash64("id", "key"), "blocks").cast("int").alias("block")
+    members = keyed.join(shared, "key").select("key", "id", F.xxhash64("id").alias("order"), block_of)
+    pairs = written(led(members.join(samples, "id"), bands * per_band), "pairs")
+    links = written(verified(pairs, rows, model, threshold), "links")
+    drop(pairs)
 
     roots = connected_components(links, "a", "b").withColumnRenamed("node", "id")
     placed = written(keyed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
-    several = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    dealt = placed.join(several.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(order, "blocks").cast("int"))
+    several = placed.groupBy("key").agg(blocks, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key", "blocks")
+    dealt = placed.join(several, "key").withColumn("block", block_of)
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "band", "block", "id", "root")
     open_ = written(crossing(dealt.join(samples, "id"), per_band), "crossing")
-    wanted = open_.select("id").distinct()
-    texts = among(rows, wanted).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    further = crossing_links(open_.join(samples, "id").join(written(texts, "candidates"), "id"), model, threshold, per_band)
-    return links.unionByName(written(further, "links"))
+    drop(placed)
+    texts = texts_of(rows, written(open_.select("id").distinct(), "wanted"))
+    further = written(crossing_links(open_.join(samples, "id").join(texts, "id"), model, threshold, per_band), "links")
+    drop(open_)
+    drop(known)
+    return links.unionByName(further)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -369,8 +388,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     rows = id_and_text(docs, id_col, text_col)
     members = written(rows.where("id is not null").select("id", F.sha2("text", 256).alias("digest")), "members")
-    of_text = members.groupBy("digest").agg(F.min("id").alias("first"))
-    copies = members.join(of_text, "digest").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    of_text = written(members.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")), "texts")
+    copies = join_groups(members, of_text, ["digest"], "n", "inner").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
     links = near_edges(rows, of_text.select(F.col("first").alias("id")).distinct(), threshold)
     roots = written(connected_components(links.unionByName(copies), "a", "b"), "classes")
     found = rows.select("id").join(roots, F.col("id") == F.col("node"), "left")
@@ -379,9 +398,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that ``near_dedup`` keeps."""
-    dropped = near_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__dropped")).distinct()
-    return docs.join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
+    """The rows of ``docs``, all columns, that ``near_dedup`` keeps. Rows that surely stay don't move with their texts."""
+    dropped = written(near_dedup(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("__dropped")).distinct(), "dropped")
+    judged = may_be_in(docs, F.xxhash64(F.col(id_col)), dropped.select(F.xxhash64("__dropped").alias("h")))
+    stay = judged.where("__may").join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
+    return judged.where("not __may").unionByName(stay).drop("__may")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

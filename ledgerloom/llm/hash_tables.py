@@ -30,8 +30,8 @@ class Store:
     """Shards of tables as files in the shared folder: written whole by the task that made them, mapped by workers.
 
     The folder must be one that executors see as files (a mount). A task that runs again writes the same file anew and
-    puts it in place in one step. Of a key the upper 48 bits are kept, in a table of 32 and one of 16; values are numbers
-    of the shard's distinct rows of values.
+    puts it in place in one step. Of a key the upper 48 bits are kept: 16 of them as the place where keys that begin with
+    these start, 32 as a sorted array; values are numbers of the shard's distinct rows of values.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -41,7 +41,9 @@ class Store:
         self.path = where.path
 
     def put(self, kind: str, shard: int, keys: np.ndarray, *values: np.ndarray) -> None:
-        """Sorted keys and their columns of values."""
+        """Sorted keys and their columns of values; no keys, no table."""
+        if not len(keys):
+            return
         os.makedirs(self.path, exist_ok=True)
         rows = np.stack(values, 1).astype(np.int64)
         if all(v.max(initial=0) < 1 << (63 // len(values)) for v in values):
@@ -53,7 +55,8 @@ class Store:
         else:
             distinct, number = np.unique(rows, axis=0, return_inverse=True)
         number = number.reshape(-1).astype(np.uint8 if len(distinct) <= 1 << 8 else np.uint16 if len(distinct) <= 1 << 16 else np.uint32)
-        parts = {"high": (keys >> np.uint64(32)).astype(np.uint32), "low": (keys >> np.uint64(16)).astype(np.uint16), "number": number, "values": distinct}
+        starts = np.searchsorted(keys >> np.uint64(48), np.arange((1 << 16) + 1, dtype=np.uint64)).astype(np.uint32)
+        parts = {"starts": starts, "rest": (keys >> np.uint64(16)).astype(np.uint32), "number": number, "values": distinct}
         for name, array in parts.items():
             own = f"{self.path}/.{uuid.uuid4().hex}"
             with open(own, "wb") as file:
@@ -63,7 +66,7 @@ class Store:
     def get(self, kind: str, shard: int) -> list[np.ndarray] | None:
         if not os.path.exists(f"{self.path}/{kind}-{shard}-values.npy"):
             return None
-        return [np.load(f"{self.path}/{kind}-{shard}-{name}.npy", mmap_mode="r") for name in ("high", "low", "number", "values")]
+        return [np.load(f"{self.path}/{kind}-{shard}-{name}.npy", mmap_mode="r") for name in ("starts", "rest", "number", "values")]
 
 
 class Shards:
@@ -73,30 +76,26 @@ class Shards:
         self.store, self.kind, self.shards, self.missing = store, kind, shards, np.array(missing, np.int64)
         self.open: dict = {}
 
-    def __call__(self, context: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Rows of values of keys of contexts; ``missing`` where there are none."""
-        whole = (shard_of(context, self.shards).astype(np.uint64) << np.uint64(48)) | (key >> np.uint64(16))
-        whole, place = np.unique(whole, return_inverse=True)
-        out = np.broadcast_to(self.missing, (len(whole), len(self.missing))).copy()
-        edges = np.searchsorted(whole, np.arange(self.shards + 1, dtype=np.uint64) << np.uint64(48))
-        for shard in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-            if shard not in self.open:
-                self.open[shard] = self.store.get(self.kind, shard)
-            if self.open[shard] is None:
+    def __call__(self, hashes: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Rows of values of keys, in the shards of ``hashes``; ``missing`` where there are none."""
+        shard = shard_of(hashes, self.shards).astype(np.uint16)
+        order = np.argsort(shard, kind="stable")
+        edges = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        out = np.broadcast_to(self.missing, (len(key), len(self.missing))).copy()
+        for number in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+            if number not in self.open:
+                self.open[number] = self.store.get(self.kind, number)
+            if self.open[number] is None:
                 continue
-            high, low, number, values = self.open[shard]
-            part = slice(edges[shard], edges[shard + 1])
-            top, rest = (whole[part] >> np.uint64(16)).astype(np.uint32), whole[part].astype(np.uint16)
-            at = np.searchsorted(high, top)
-            row = np.full(len(top), -1, np.int64)
-            open_ = np.flatnonzero(at < len(high))
-            while len(open_):  # keys of equal upper parts lie one after the other
-                open_ = open_[high[at[open_]] == top[open_]]
-                met = low[at[open_]] == rest[open_]
-                row[open_[met]] = at[open_[met]]
-                open_ = open_[~met]
-                at[open_] += 1
-                open_ = open_[at[open_] < len(high)]
-            found = row >= 0
-            out[np.arange(part.start, part.stop)[found]] = values[number[row[found]]]
-        return out[place.reshape(-1)]
+            starts, rest, row, values = self.open[number]
+            own = order[edges[number] : edges[number + 1]]
+            first, wanted = (key[own] >> np.uint64(48)).astype(np.int64), (key[own] >> np.uint64(16)).astype(np.uint32)
+            low, end = starts[first].astype(np.int64), starts[first + 1].astype(np.int64)
+            high = end.copy()
+            for _ in range(int((end - low).max()).bit_length()):  # halve the keys that begin alike
+                middle = (low + high) >> 1
+                less = (middle < high) & (rest[np.minimum(middle, len(rest) - 1)] < wanted)
+                low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+            found = (low < end) & (rest[np.minimum(low, len(rest) - 1)] == wanted)
+            out[own[found]] = values[row[low[found]]]
+        return out

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import Bounded, id_and_text, load, remainder, small_batches
+from ledgerloom.llm.common import id_and_text, load, remainder, small_batches
 from ledgerloom.llm.hash_tables import Shards, Store, shard_of, shards_for
 from ledgerloom.llm.shingles import mixed
 
@@ -22,7 +22,7 @@ END, START = np.uint64(1), np.uint64(2)
 #: Words of an n-gram.
 ORDER = 3
 #: Tokens whose n-grams a task sums up before it hands them on.
-HOLD = 3_000_000
+HOLD = 5_000_000
 #: Bytes of text whose n-grams one shard holds, so that a shard stays of one size as the corpus grows.
 SHARD_BYTES = 48 << 20
 
@@ -33,8 +33,8 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def word_hashes() -> Callable[[list[bytes]], np.ndarray]:
-    known = Bounded(lambda word: max(xxhash.xxh64_intdigest(word), 3))
-    return lambda words: np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    least = np.uint64(3)  # lower ones are END and START
+    return lambda words: np.maximum(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), least)
 
 
 def extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -78,11 +78,28 @@ def planes(array: np.ndarray) -> bytes:
 
 
 def packed(words: list[np.ndarray], values: list[np.ndarray]) -> bytes:
-    """N-grams and their values as bytes: the words that they hold, once each, then numbers for these."""
-    known, number = np.unique(np.concatenate(words), return_inverse=True)
-    parts = [known.tobytes(), *map(planes, np.split(number, len(words))), *map(planes, values)]
-    sizes = np.array([len(words), len(known), len(values[0]), *map(len, parts)], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(np.int64(len(sizes)).tobytes() + sizes.tobytes() + b"".join(parts))
+    """N-grams and their values as bytes: the words that they hold, once each, then numbers for these.
+
+    Frequent words have low numbers and the n-grams are sorted by these, both for them to take little room.
+    """
+    known, number, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
+    frequent = np.argsort(-times, kind="stable")
+    rank = np.empty_like(frequent)
+    rank[frequent] = np.arange(len(known))
+    columns = np.split(rank[number.reshape(-1)], len(words))
+    bits = len(known).bit_length()
+    if bits * len(words) < 64:
+        place = columns[0].copy()
+        for column in columns[1:]:
+            place = (place << bits) | column
+        order = np.argsort(place)
+    else:
+        order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    columns[0] = np.diff(columns[0], prepend=0)
+    parts = [known[frequent].tobytes(), *map(planes, columns), *(planes(v[order]) for v in values)]
+    sizes = np.array([len(words), len(known), len(order), *map(len, parts)], np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(np.int64(len(sizes)).tobytes() + sizes.tobytes() + b"".join(parts))
 
 
 def unpacked(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -96,19 +113,18 @@ def unpacked(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
         width = raw[at]
         columns.append(np.frombuffer(raw, np.uint8, size - 1, at + 1).reshape(width, rows).T.copy().view(f"<u{width}").reshape(rows))
         at += size
+    columns[0] = np.cumsum(columns[0], dtype=np.int64)
     return [known[c] for c in columns[:words]], [c.astype(np.int64) for c in columns[words:]]
 
 
 def dealt(words: list[np.ndarray], values: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
-    """Distinct n-grams by shard, sorted by their words in each, for these to take little room."""
-    context = hash_of(words[:-1] or words, len(words[0]))
-    shard = shard_of(context, shards).astype(np.uint16)
-    order = np.lexsort((*reversed(words), shard))
+    """Distinct n-grams by the shard of their context: all of one context are in one."""
+    shard = shard_of(hash_of(words[:-1] or words, len(words[0])), shards).astype(np.uint16)
+    order = np.argsort(shard, kind="stable")
     edges = np.searchsorted(shard[order], np.arange(shards + 1))
-    for i in range(shards):
-        if edges[i] < edges[i + 1]:
-            own = order[edges[i] : edges[i + 1]]
-            yield i, packed([w[own] for w in words], [v[own] for v in values])
+    for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
+        own = order[edges[i] : edges[i + 1]]
+        yield i, packed([w[own] for w in words], [v[own] for v in values])
 
 
 @dataclass

@@ -118,7 +118,7 @@ def q_alias_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(o.chain(*o.TO_DOCS, ALIASES_SQL) + """
 SELECT client_id, canonical_normalized AS core, array_to_string(list_sort(list_distinct(list(alias))), ',') AS aliases FROM aliases GROUP BY client_id, canonical_normalized""")
 def q_alias_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.attached_aliases(aliases(spark, sf_dir)).withColumn("aliases", F.array_join("aliases", ","))
+    return blocking.attached_aliases(aliases(spark, sf_dir)).select("client_id", "core", F.array_join("aliases", ",").alias("aliases"))
 
 
 def some_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,6 +204,28 @@ def q_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
         text.normalize_identifier(F.concat(F.lit(" "), "c_name", F.lit("/"), "c_mktsegment", F.lit(" "))).alias("identifier"), text.normalize_currency(F.lit(" sar ")).alias("currency"))
 
 
+JSON_SQL = """CASE o_orderkey % 5 WHEN 0 THEN '{"amount": ' || (o_orderkey % 7)::VARCHAR || '.5, "date": "x", "card": null, "n": 3}' WHEN 1 THEN '["a", 1, "b' || o_orderkey::VARCHAR || '", null, {"c": "d"}]'
+    WHEN 2 THEN '{broken' WHEN 3 THEN '"text"' END"""
+
+
+@query(f"""WITH each AS (SELECT o_orderkey, {JSON_SQL} AS j FROM orders)
+    SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'amount=' || (o_orderkey % 7)::VARCHAR || '.5,n=3.0' ELSE '' END AS numbers, CASE o_orderkey % 5 WHEN 1 THEN 'a,b' || o_orderkey::VARCHAR ELSE '' END AS texts FROM each""")
+def q_tolerant_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    number = key.cast("string")
+    json = F.when(key % 5 == 0, F.concat(F.lit('{"amount": '), (key % 7).cast("string"), F.lit('.5, "date": "x", "card": null, "n": 3}'))).when(
+        key % 5 == 1, F.concat(F.lit('["a", 1, "b'), number, F.lit('", null, {"c": "d"}]'))).when(key % 5 == 2, "{broken").when(key % 5 == 3, '"text"')
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries(text.numeric_entries(json))), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return views.load(spark, sf_dir, "orders").select("o_orderkey", shown.alias("numbers"), F.array_join(text.text_items(json), ",").alias("texts"))
+
+
+@query("""WITH each AS (SELECT DISTINCT o_custkey % 40 AS n FROM orders) SELECT 'Café Ñandú ' || chr((65 + n % 20)::INTEGER) || 'ß Çelik' AS name,
+    'CAFE NANDU ' || chr((65 + n % 20)::INTEGER) || 'SS CELIK' AS core FROM each GROUP BY ALL""")
+def q_unicode_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = views.load(spark, sf_dir, "orders").select(F.concat(F.lit("Café Ñandú "), F.char(F.lit(65) + F.col("o_custkey") % 40 % 20), F.lit("ß Çelik")).alias("doc_merchant")).distinct()
+    return views.with_names(names, "doc").select(F.col("doc_merchant").alias("name"), F.col("doc_core").alias("core"))
+
+
 @query("""SELECT o_orderkey, printf('%.2f', floor(o_totalprice * 100 + 0.5e0)::BIGINT / 100e0) || ' SAR' AS money,
     CASE WHEN (o_orderkey % 101) / 100e0 >= 0.9e0 THEN 'strong' WHEN (o_orderkey % 101) / 100e0 <= 0.05e0 THEN 'conflict' ELSE 'partial' END AS label FROM orders""")
 def q_format_money(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,8 +326,8 @@ def q_owner_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(o.chain(*o.TO_DOCS) + f""" SELECT doc_id, sha256(CASE WHEN doc_auth IS NOT NULL THEN 'AUTH:' || {o.IDENTIFIER.format(c='doc_auth')}
     WHEN doc_invoice IS NOT NULL THEN 'INVOICE:' || coalesce(nullif({o.IDENTIFIER.format(c="coalesce(doc_vat, '')")}, ''), {o.normalized('doc_merchant')}) || ':' || {o.IDENTIFIER.format(c='doc_invoice')} END) AS fingerprint FROM docs""")
 def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = views.receipts(spark, sf_dir).where("extraction_confidence >= 0.3")
-    return docs.select("doc_id", dedup.fingerprint(*[F.col(f"doc_{c}") for c in ("auth", "invoice", "vat", "merchant")], F.lit(None).cast("string")).alias("fingerprint"))
+    docs = text.with_normalized(views.receipts(spark, sf_dir).where("extraction_confidence >= 0.3"), "doc_merchant", "doc_core")
+    return docs.select("doc_id", dedup.fingerprint(*[F.col(f"doc_{c}") for c in ("auth", "invoice", "vat", "core")], F.lit(None).cast("string")).alias("fingerprint"))
 
 
 @query("SELECT doc_id AS id, nullif(min(doc_id) OVER (PARTITION BY source, text), doc_id) AS duplicate_of FROM documents")
@@ -375,6 +397,14 @@ def q_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.threshold(predictions(spark, sf_dir), target=0.9)
 
 
+@query("WITH " + o.PREDICTIONS + """, tails AS (SELECT t.score AS threshold, count(*) AS n, count_if(p.correct) AS hits FROM (SELECT DISTINCT score FROM predictions) t JOIN predictions p ON p.score >= t.score GROUP BY t.score)
+    SELECT (SELECT count(*) FROM predictions) AS examples, (SELECT min(threshold) FROM tails WHERE hits / n >= 0.9) AS threshold, CASE WHEN (SELECT count(*) FROM predictions) < 100 THEN 'fewer than 100 labelled examples' END AS warning""")
+def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = F.from_json("report", "metrics struct<examples bigint>, recommended_threshold struct<threshold double>")
+    return evaluation.report(predictions(spark, sf_dir), target=0.9).select(
+        report["metrics"]["examples"].alias("examples"), report["recommended_threshold"]["threshold"].alias("threshold"), "warning")
+
+
 @query()
 def q_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.isotonic_points(predictions(spark, sf_dir))
@@ -428,6 +458,20 @@ def q_review_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queue.select("doc_id", "top", "gap", text.round3(F.col("priority")).alias("priority"))
 
 
+@query(o.chain(o.LEDGER) + """ SELECT tx_id // 3 AS document_id, count_if(tx_id % 4 = 0)::BIGINT AS remaining, count_if(tx_id % 4 = 3)::BIGINT AS rejected
+    FROM ledger GROUP BY tx_id // 3""")
+def q_candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.element_at(F.array(*map(F.lit, ("CANDIDATE", "CONFIRMED", "AUTO_CONFIRMED", "REJECTED"))), (F.col("tx_id") % 4 + 1).cast("int"))
+    return review.candidate_counts(views.ledger(spark, sf_dir).select(F.floor(F.col("tx_id") / 3).alias("document_id"), state.alias("status")))
+
+
+@query(o.chain(*o.TO_RANKED) + """, best AS (SELECT doc_id, max(decision_confidence) AS top FROM ranked GROUP BY doc_id),
+    tops AS (SELECT b.doc_id, b.top, count(*) AS n FROM best b JOIN ranked r ON r.doc_id = b.doc_id AND r.decision_confidence = b.top GROUP BY b.doc_id, b.top)
+    SELECT r.doc_id, r.tx_id, n > 1 AND r.decision_confidence = top AS tied_for_best, n = 1 AND r.decision_confidence = top AS recommended FROM ranked r JOIN tops t ON t.doc_id = r.doc_id""")
+def q_highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.highlighted(decision.ranked(scored_pairs(spark, sf_dir))).select("doc_id", "tx_id", "tied_for_best", "recommended")
+
+
 @query()
 def q_decision_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of every receipt, two for each, all decided, by turns; neighbours compete for a transaction."""

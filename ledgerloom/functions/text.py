@@ -81,6 +81,34 @@ def merchant_dictionary(names: DataFrame, name: str) -> DataFrame:
     return plain.unionByName(other).select("name", normalize_merchant("decomposed").alias("normalized"))
 
 
+def with_normalized(rows: DataFrame, name: str, out: str) -> DataFrame:
+    """``rows`` with the normalised form of the column ``name``; each distinct name is looked at once, null stays null."""
+    known = merchant_dictionary(rows, name).select(F.col("name").alias(f"__{out}"), F.col("normalized").alias(out))
+    return rows.join(known, F.col(name) == F.col(f"__{out}"), "left").drop(f"__{out}")
+
+
+def lenient_base64(c: Column | str) -> Column:
+    """Bytes of base64 text in either alphabet: up to its padding, other signs skipped, a lone last sign left out."""
+    plain = F.regexp_replace(F.translate(F.substring_index(column(c), "=", 1), "-_", "+/"), "[^A-Za-z0-9+/]", "")
+    whole = F.when(F.length(plain) % 4 == 1, F.left(plain, F.length(plain) - 1)).otherwise(plain)
+    return F.unbase64(F.concat(whole, F.repeat(F.lit("="), F.pmod(-F.length(whole), F.lit(4)))))
+
+
+def numeric_entries(json: Column | str) -> Column:
+    """The entries of a JSON object whose values are numbers; empty for anything else."""
+    entries = F.try_variant_get(F.try_parse_json(column(json)), "$", "map<string,variant>")
+    kind = lambda v: F.schema_of_variant(v)
+    numbers = F.map_filter(entries, lambda _, v: kind(v).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"))
+    return F.coalesce(F.transform_values(numbers, lambda _, v: F.try_variant_get(v, "$", "double")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
+
+
+def text_items(json: Column | str) -> Column:
+    """The strings of a JSON array; empty for anything else."""
+    items = F.try_variant_get(F.try_parse_json(column(json)), "$", "array<variant>")
+    texts = F.filter(items, lambda v: F.schema_of_variant(v) == "STRING")
+    return F.coalesce(F.transform(texts, lambda v: F.try_variant_get(v, "$", "string")), F.array().cast("array<string>"))
+
+
 def merchant_city(c: Column | str) -> Column:
     upper = F.regexp_replace(F.upper(column(c)), r"[^A-Z0-9؀-ۿ\s]", " ")
     out = None

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.constants import MATCHER as M
-from ledgerloom.functions.text import normalize_card, normalize_merchant, normalize_phone
+from ledgerloom.functions.text import normalize_card, normalize_phone, with_normalized
 
 #: Days of one step of the date key that range joins are dealt by.
 STEP_DAYS = 31
@@ -76,7 +76,7 @@ def amount_pairs(docs: DataFrame, ledger: DataFrame, days: int) -> DataFrame:
 def alias_pairs(docs: DataFrame, ledger: DataFrame, aliases: DataFrame, days: int = M.safety_days) -> DataFrame:
     """Pairs met through a learned alias: the document's name, to the merchant it stands for, to that merchant's rows."""
     known = aliases.select(F.col("client_id").alias("alias_client"), F.col("normalized_alias").alias("doc_core"), F.col("canonical_merchant_name").alias("tx_merchant"))
-    named = docs.withColumn("doc_core", normalize_merchant("doc_merchant")).join(known, "doc_core")
+    named = with_normalized(docs, "doc_merchant", "doc_core").join(known, "doc_core")
     own = ledger.withColumnRenamed("client_id", "alias_client")
     joined = named.join(own.select("tx_id", "tx_at", "scope", "alias_client", "tx_merchant"), ["scope", "alias_client", "tx_merchant"])
     near = F.col("doc_date").isNull() | (F.abs(F.unix_micros("doc_date") - F.unix_micros("tx_at")) <= days * 86_400_000_000)
@@ -114,8 +114,9 @@ def with_frequencies(pairs: DataFrame, merchant_core: str = "tx_core", amount: s
 
 
 def attached_aliases(aliases: DataFrame) -> DataFrame:
-    """``(client_id, core, aliases)``: the aliases of each client's merchant, in order."""
-    return aliases.groupBy("client_id", F.col("canonical_normalized").alias("core")).agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+    """``(client_id, core, aliases, alias_cores)``: the aliases of each client's merchant, in order, and normalised."""
+    return aliases.groupBy("client_id", F.col("canonical_normalized").alias("core")).agg(
+        F.array_sort(F.collect_set("alias")).alias("aliases"), F.collect_set("normalized_alias").alias("alias_cores"))
 
 
 def confirmed_marks(ledger: DataFrame, matches: DataFrame) -> DataFrame:

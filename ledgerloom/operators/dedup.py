@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import normalize_merchant, normalize_phone
+from ledgerloom.functions.text import normalize_phone
 from ledgerloom.scratch import drop, written
 
 
@@ -26,11 +26,14 @@ def content_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def fingerprint(auth: Column, invoice: Column, vat: Column, merchant: Column, qr: Column) -> Column:
-    """Hash of what names a purchase: its authorization, else seller and invoice, else the QR code; null without any."""
+def fingerprint(auth: Column, invoice: Column, vat: Column, merchant_core: Column, qr: Column) -> Column:
+    """Hash of what names a purchase: its authorization, else seller and invoice, else the QR code; null without any.
+
+    ``merchant_core`` is the normalised name, as ``text.with_normalized`` gives it.
+    """
     plain = lambda c: F.regexp_replace(F.upper(F.trim(F.coalesce(c, F.lit("")))), r"[^A-Z0-9؀-ۿ]", "")
     has = lambda c: F.coalesce(c, F.lit("")) != ""
-    seller = F.when(plain(vat) != "", plain(vat)).otherwise(normalize_merchant(F.coalesce(merchant, F.lit(""))))
+    seller = F.when(plain(vat) != "", plain(vat)).otherwise(F.coalesce(merchant_core, F.lit("")))
     identity = (
         F.when(has(auth), F.concat(F.lit("AUTH:"), plain(auth)))
         .when(has(invoice), F.concat(F.lit("INVOICE:"), seller, F.lit(":"), plain(invoice)))

@@ -55,6 +55,15 @@ def metrics(predictions: DataFrame) -> DataFrame:
         F.coalesce("brier", F.lit(0.0)).alias("brier_score"), F.coalesce(c("missed") / c("all"), F.lit(0.0)).alias("expected_calibration_error"))
 
 
+def report(predictions: DataFrame, target: float = 0.995, enough: int = 100) -> DataFrame:
+    """``(report, warning)``, one row: metrics and the recommended threshold as JSON; a warning below ``enough`` examples."""
+    found = metrics(predictions)
+    best = threshold(predictions, target).agg(F.first(F.struct("threshold", "precision", "coverage")).alias("recommended_threshold"))
+    both = found.crossJoin(F.broadcast(best))  # one row each
+    text = F.to_json(F.struct(F.struct(*found.columns).alias("metrics"), "recommended_threshold"))
+    return both.select(text.alias("report"), F.when(F.col("examples") < enough, f"fewer than {enough} labelled examples").alias("warning"))
+
+
 def threshold(predictions: DataFrame, target: float = 0.995) -> DataFrame:
     """The lowest score from which on the share correct reaches the target: (threshold, precision, coverage), or no row.
 

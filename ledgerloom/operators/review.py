@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.constants import MATCHER as M
-from ledgerloom.functions.text import normalize_merchant
+from ledgerloom.functions.text import with_normalized
 
 #: Why a candidate was rejected.
 REJECTIONS = {
@@ -82,14 +82,45 @@ def document_status(matches: DataFrame) -> DataFrame:
         F.when(has("CONFIRMED"), "HUMAN_CONFIRMED").when(has("AUTO_CONFIRMED"), "AUTO_MATCHED").when(has("CANDIDATE"), "AMBIGUOUS_MATCH").otherwise("ALL_CANDIDATES_REJECTED").alias("status_reason"))
 
 
+def candidate_counts(matches: DataFrame) -> DataFrame:
+    """``(document_id, remaining, rejected)``: each document's open and rejected candidates."""
+    return matches.groupBy("document_id").agg(
+        F.count_if(F.col("status") == "CANDIDATE").alias("remaining"), F.count_if(F.col("status") == "REJECTED").alias("rejected"))
+
+
+def highlighted(candidates: DataFrame) -> DataFrame:
+    """Candidates with tied_for_best and recommended: those that share the best score, or the first if none does."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("decision_confidence"), "rank")
+    everyone = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    best, second = F.first("decision_confidence").over(everyone), F.nth_value("decision_confidence", 2).over(everyone)
+    tie = F.coalesce(best == second, F.lit(False))
+    return candidates.withColumn("tied_for_best", tie & (F.col("decision_confidence") == best)).withColumn(
+        "recommended", ~tie & (F.row_number().over(order) == 1))
+
+
+def queue_with_matches(documents: DataFrame, matches: DataFrame) -> DataFrame:
+    """The review queue as it is shown: documents under review, most urgent first, each with its open candidates.
+
+    ``documents`` have id, status and received_at, ``matches`` the columns of stored matches.
+    """
+    open_ = visible_matches(documents.where("status = 'NEEDS_REVIEW'"), matches).withColumnRenamed("document_id", "doc_id")
+    marked = highlighted(open_.withColumn("rank", F.coalesce("rank", F.lit(999))))
+    entry = F.struct("rank", "id", "transaction_id", "confidence", "decision_confidence", "evidence_coverage", "contradictions", "tied_for_best", "recommended")
+    listed = marked.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("candidates"))
+    received = documents.select(F.col("id").alias("doc_id"), "received_at")
+    queue = review_queue(marked.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank", "id"))).join(received, "doc_id"))
+    return queue.join(listed, "doc_id").orderBy(F.desc("priority"), F.desc("received_at"), "doc_id")
+
+
 def learned_aliases(confirmations: DataFrame) -> DataFrame:
     """Aliases from confirmations ``(client_id, document_merchant, transaction_merchant, decided_at, id)``.
 
     One row per client, normalised alias and normalised merchant: how often, when last, and the last spellings. Names
     that normalise to nothing teach nothing.
     """
-    keyed = confirmations.select(
-        "client_id", normalize_merchant("document_merchant").alias("normalized_alias"), normalize_merchant("transaction_merchant").alias("canonical_normalized"),
+    named = with_normalized(with_normalized(confirmations, "document_merchant", "normalized_alias"), "transaction_merchant", "canonical_normalized")
+    keyed = named.select(
+        "client_id", "normalized_alias", "canonical_normalized",
         "document_merchant", "transaction_merchant", F.struct("decided_at", "id").alias("at"))
     known = keyed.where((F.coalesce("normalized_alias", F.lit("")) != "") & (F.coalesce("canonical_normalized", F.lit("")) != ""))
     return known.groupBy("client_id", "normalized_alias", "canonical_normalized").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.constants import MATCHER as M
 from ledgerloom.functions.scoring import score_merchant, score_pairs, score_prepared
-from ledgerloom.functions.text import merchant_city, normalize_merchant
+from ledgerloom.functions.text import merchant_city, normalize_phone
 from ledgerloom.operators import assignment, blocking, decision
 from ledgerloom.plans import views
 
@@ -30,10 +30,10 @@ def scored(docs: DataFrame, ledger: DataFrame, pairs: DataFrame, aliases: DataFr
     if aliases is None:
         with_alias = scored_names.withColumn("alias_score", F.lit(None).cast("double"))
     else:
-        listed = blocking.attached_aliases(aliases).select(F.col("client_id").alias("_client"), F.col("core").alias("_core"), "aliases")
+        listed = blocking.attached_aliases(aliases).select(F.col("client_id").alias("_client"), F.col("core").alias("_core"), "alias_cores")
         met = scored_names.join(listed, (F.col("client_id") == F.col("_client")) & (F.col("tx_core") == F.col("_core")), "left")
-        scores = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: score_merchant(F.col("doc_core"), normalize_merchant(a)))
-        with_alias = met.withColumn("alias_score", F.array_max(scores)).drop("_client", "_core", "aliases")
+        scores = F.transform(F.coalesce("alias_cores", F.array().cast("array<string>")), lambda a: score_merchant(F.col("doc_core"), a))
+        with_alias = met.withColumn("alias_score", F.array_max(scores)).drop("_client", "_core", "alias_cores")
     return score_pairs(with_alias)
 
 
@@ -67,6 +67,18 @@ def match(docs: DataFrame, ledger: DataFrame, client_email: DataFrame, matches:
     return decision.one_document_each(decided, audit_rate)
 
 
+def rematch_scope(documents: DataFrame, client_email: DataFrame, transactions: DataFrame) -> DataFrame:
+    """The unmatched documents that new ``transactions`` may concern: of senders listed for their clients, or of their drivers' phones.
+
+    No transactions, no documents. A sender set is the union of both, each sender once.
+    """
+    mails = client_email.join(transactions.select("client_id").distinct(), "client_id", "left_semi").select(F.lower("email").alias("_sender"))
+    phones = transactions.where("driver_phone is not null").select(normalize_phone("driver_phone").alias("_sender"))
+    senders = mails.unionByName(phones).distinct()
+    own = F.when(F.col("source") == "WHATSAPP", normalize_phone("sender_identifier")).otherwise(F.lower("sender_identifier"))
+    return documents.where("status = 'UNMATCHED'").withColumn("_sender", own).join(senders, "_sender", "left_semi").drop("_sender")
+
+
 def rematch(unmatched: DataFrame, ledger: DataFrame, client_email: DataFrame, matches: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Unmatched documents matched anew, with one transaction each: ``(doc_id, status, status_reason, tx_id, score)``.
 

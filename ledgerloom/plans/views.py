@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scoring import prepared_name
-from ledgerloom.functions.text import merchant_branch, merchant_city, normalize_merchant
+from ledgerloom.functions.text import merchant_branch, merchant_city, merchant_dictionary
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,8 +69,8 @@ NAME_PARTS = ("grams", "latin", "latin_grams", "plain", "latin_plain")
 def with_names(rows: DataFrame, side: str) -> DataFrame:
     """Rows with the normalised core, city and branch of their merchant, and what comparing it takes; each distinct name is looked at once."""
     name = f"{side}_merchant"
-    each = rows.select(name).where(f"{name} is not null").distinct()
-    known = each.select(name, normalize_merchant(name).alias(f"{side}_core"), merchant_city(name).alias(f"{side}_city"), merchant_branch(name).alias(f"{side}_branch"))
+    known = merchant_dictionary(rows, name).select(
+        F.col("name").alias(name), F.col("normalized").alias(f"{side}_core"), merchant_city("name").alias(f"{side}_city"), merchant_branch("name").alias(f"{side}_branch"))
     prepared = [p.alias(f"{side}_{n}") for p, n in zip(prepared_name(F.col(f"{side}_core")), NAME_PARTS, strict=True)]
     return rows.join(known.select("*", *prepared), name, "left")
 

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; on one machine, where that is unset, one of our own."""
     configured = spark.conf.get("spark.checkpoint.dir", "") or ""
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.conf.get("spark.ledgerloom.scratch", ""):
         spark.conf.set("spark.ledgerloom.scratch", tempfile.mkdtemp(prefix="ledgerloom-"))
     return spark.conf.get("spark.ledgerloom.scratch")

@@ -5,31 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.text import lenient_base64
+
 #: Tags of the fields.
 TAGS = {1: "seller", 2: "vat", 3: "timestamp", 4: "total", 5: "vat_amount"}
 
 
+#: Records that are stepped through first; payloads with more go on through a fold over as many as their bytes allow.
+USUAL_RECORDS = 8
+
+
 def decoded(payload: Column) -> Column:
     """Tag to text of a base64 payload; null if it is shorter than a record or a length runs over its end.
 
-    One left fold over the bytes' places: at each place where a record starts, its value is cut out and the next start
-    is set after it. The last of equal tags counts.
+    A fold from record to record. The last of equal tags counts; bytes that aren't UTF-8 become replacement characters.
     """
-    raw = F.unbase64(F.trim(payload))
-    size = F.length(raw)
-    byte = lambda at: F.conv(F.hex(F.substring(raw, at, F.lit(1))), 16, 10).cast("int")
-    start = F.struct(F.lit(1).alias("next"), F.lit(False).alias("bad"), F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>")).alias("found"))
-
-    def step(state: Column, at: Column) -> Column:
-        length = byte(at + 1)
-        over = (at + 1 > size) | (at + 1 + F.coalesce(length, F.lit(0)) > size)
-        value = F.decode(F.substring(raw, at + 2, length), "UTF-8")
-        kept = F.map_concat(F.map_filter(state["found"], lambda k, _: k != byte(at)), F.create_map(F.coalesce(byte(at), F.lit(0)), value))
-        return F.when(state["bad"] | (at != state["next"]), state).otherwise(F.struct(
-            F.when(over, state["next"]).otherwise(at + 2 + length).alias("next"), over.alias("bad"), F.when(over, state["found"]).otherwise(kept).alias("found")))
-
-    last = F.aggregate(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), start, step)
-    return F.when((size >= 2) & ~last["bad"], last["found"])
+    empty = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<string>"))
+
+    def of_bytes(raw: Column) -> Column:
+        size = F.length(raw)
+        byte = lambda at: F.conv(F.hex(F.substring(raw, at, F.lit(1))), 16, 10).cast("int")
+        start = F.struct(F.lit(1).alias("next"), F.lit(False).alias("bad"), empty.alias("found"))
+
+        def step(state: Column, _: Column) -> Column:
+            at = state["next"]
+            length = F.coalesce(byte(at + 1), F.lit(0))
+            over = (at + 1 > size) | (at + 1 + length > size)
+            value = F.make_valid_utf8(F.substring(raw, at + 2, length).cast("string"))
+            kept = F.map_concat(F.map_filter(state["found"], lambda k, _: k != byte(at)), F.create_map(F.coalesce(byte(at), F.lit(0)), value))
+            return F.when(state["bad"] | (at > size), state).when(over, F.struct(at.alias("next"), F.lit(True).alias("bad"), state["found"].alias("found"))).otherwise(
+                F.struct((at + 2 + length).alias("next"), F.lit(False).alias("bad"), kept.alias("found")))
+
+        first = F.aggregate(F.sequence(F.lit(1), F.lit(USUAL_RECORDS)), start, step)
+        rest = F.greatest(F.lit(1), F.ceil(size / 2).cast("int") - USUAL_RECORDS)
+        end = lambda state: F.when(state["bad"] | (state["next"] > size), state).otherwise(
+            F.aggregate(F.sequence(F.lit(1), rest), state, step))
+        done = F.get(F.transform(F.array(first), end), F.lit(0))
+        return F.when(size >= 2, F.get(F.transform(F.array(done), lambda state: F.when(~state["bad"], state["found"])), F.lit(0)))
+
+    return F.get(F.transform(F.array(lenient_base64(F.trim(payload))), of_bytes), F.lit(0))
 
 
 def decimal_to_minor(text: Column) -> Column:

@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.text import normalize_phone
+from ledgerloom.functions.text import lenient_base64, normalize_phone
 from ledgerloom.sources.schemas import EMAIL_PAYLOAD, EXTRACTED, MESSAGE_PAYLOAD
 
 
+#: The last second that payloads' dates can name.
+LAST_SECOND = 8_640_000_000_000
+
+
 def hmac_sha256(body: Column, secret: str) -> Column:
     """Hex HMAC of a text or binary column; the key's pads are made once, the hashing stays in the JVM."""
     import hashlib
@@ -41,6 +45,11 @@ def _email(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.lit(False))
 
 
+def _epoch(c: Column) -> Column:
+    """Whether a text is a number of seconds that a date can hold."""
+    return F.coalesce(c.rlike("^[0-9]+$") & (c.try_cast("long") <= LAST_SECOND), F.lit(False))
+
+
 def email_documents(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
     """Valid and rejected mails: valid ones as a document for each attachment, rejected ones as they came.
 
@@ -56,7 +65,7 @@ def email_documents(raw: DataFrame, body: str = "body") -> tuple[DataFrame, Data
         F.lit("EMAIL").alias("source"),
         F.when(F.size("p.attachments") == 1, F.col("p.messageId")).otherwise(F.concat("p.messageId", F.lit("::"), "place")).alias("external_id"),
         F.lower("p.from").alias("sender_identifier"), F.try_to_timestamp("p.receivedAt").alias("received_at"),
-        F.unbase64("a.contentBase64").alias("content"), F.col("a.contentType").alias("mime_type"))
+        lenient_base64("a.contentBase64").alias("content"), F.col("a.contentType").alias("mime_type"))
     return documents, parsed.where(~valid).drop("p")
 
 
@@ -66,11 +75,11 @@ def message_images(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataF
     nested = F.flatten(F.flatten(F.transform("p.entry", lambda e: F.transform(e["changes"], lambda c: c["value"]["messages"]))))
     listed = parsed.withColumn("m", nested)
     valid = F.coalesce(
-        (F.size("m") > 0) & F.forall("m", lambda m: _filled(m["id"]) & _filled(m["from"]) & F.coalesce(m["timestamp"].rlike("^[0-9]+$"), F.lit(False)) & (m["type"] == "image") & _filled(m["image"]["id"]) & _filled(m["image"]["mime_type"])), F.lit(False))
+        (F.size("m") > 0) & F.forall("m", lambda m: _filled(m["id"]) & _filled(m["from"]) & _epoch(m["timestamp"]) & (m["type"] == "image") & _filled(m["image"]["id"]) & _filled(m["image"]["mime_type"])), F.lit(False))
     each = listed.where(valid).select(F.explode("m").alias("m"))
     images = each.select(
         F.lit("WHATSAPP").alias("source"), F.col("m.id").alias("external_id"), normalize_phone("m.from").alias("sender_identifier"),
-        F.timestamp_seconds(F.col("m.timestamp").cast("long")).alias("received_at"), F.col("m.image.id").alias("media_id"), F.col("m.image.mime_type").alias("mime_type"))
+        F.timestamp_seconds(F.col("m.timestamp").try_cast("long")).alias("received_at"), F.col("m.image.id").alias("media_id"), F.col("m.image.mime_type").alias("mime_type"))
     return images, listed.where(~valid).drop("p", "m")
 
 
@@ -98,21 +107,26 @@ def extracted_by(documents: DataFrame, extractor: Callable[[bytes], dict], secon
     names = [f.name for f in EXTRACTED.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from concurrent.futures import ThreadPoolExecutor
+        import queue
+        import threading
+
+        def one(content: bytes, answer: queue.Queue) -> None:
+            try:
+                answer.put((extractor(content), None))
+            except Exception as failure:  # any failure of one document stays its own
+                answer.put((None, str(failure) or type(failure).__name__))
 
         for batch in batches:
             rows = []
             for key, content in zip(batch.external_id, batch.content, strict=True):
-                pool = ThreadPoolExecutor(1)
+                answer: queue.Queue = queue.Queue(1)
+                # A call that runs on ends with its worker and doesn't keep it.
+                threading.Thread(target=one, args=(bytes(content), answer), daemon=True).start()
                 try:
-                    found = pool.submit(extractor, bytes(content)).result(timeout=seconds)
-                    rows.append((key, {n: found.get(n) for n in names}, None))
-                except TimeoutError:
-                    rows.append((key, None, "extraction timed out"))
-                except Exception as failure:  # any failure of one document stays its own
-                    rows.append((key, None, str(failure) or type(failure).__name__))
-                finally:
-                    pool.shutdown(wait=False)
+                    found, error = answer.get(timeout=seconds)
+                except queue.Empty:
+                    found, error = None, "extraction timed out"
+                rows.append((key, found and {n: found.get(n) for n in names}, error))
             yield pd.DataFrame(rows, columns=["external_id", "extracted", "error"])
 
     schema = T.StructType([T.StructField("external_id", T.StringType()), T.StructField("extracted", EXTRACTED), T.StructField("error", T.StringType())])

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.dedup import unseen
-from ledgerloom.sources.webhooks import email_documents
+from ledgerloom.operators.dedup import owner_keys, unseen
+from ledgerloom.sources.webhooks import email_documents, message_images, with_media
 
 
 def read_payloads(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
@@ -17,17 +17,32 @@ def read_payloads(spark: SparkSession, path: str, files_at_once: int = 100) -> D
     return spark.readStream.schema("value STRING").option("maxFilesPerTrigger", files_at_once).text(path).select(F.col("value").alias("body"))
 
 
-def batch_documents(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents of a batch, the first of each provider id and of each content, and the rejected payloads."""
-    documents, rejected = email_documents(payloads)
-    hashed = documents.withColumn("content_hash", F.sha2("content", 256)).withColumn("owner_key", F.concat(F.lit("email:"), "sender_identifier"))
+def batch_documents(payloads: DataFrame, owners: tuple[DataFrame, DataFrame] | None = None, media: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents of a batch, the first of each provider id and of each content, and the rejected payloads.
+
+    ``owners`` are the clients' addresses and the ledger: documents of one client have one owner, whichever its sender.
+    With ``media`` (media_id, content), chat payloads are read too; those whose media are missing are rejected.
+    """
+    is_chat = F.get_json_object("body", "$.entry").isNotNull() if media is not None else F.lit(False)
+    documents, rejected = email_documents(payloads.where(~is_chat))
+    if media is not None:
+        images, refused = message_images(payloads.where(is_chat))
+        met = with_media(images, media)
+        documents = documents.unionByName(met.where("error is null").select(*documents.columns))
+        lost = met.where("error is not null").select(F.to_json(F.struct("external_id", "media_id", "error")).alias("body"))
+        rejected = rejected.unionByName(refused).unionByName(lost, allowMissingColumns=True)
+    hashed = documents.withColumn("content_hash", F.sha2("content", 256))
+    if owners:
+        hashed = owner_keys(hashed, *owners)
+    else:
+        hashed = hashed.withColumn("owner_key", F.concat(F.when(F.col("source") == "EMAIL", "email:").otherwise("phone:"), "sender_identifier"))
     by_id = Window.partitionBy("source", "external_id").orderBy("received_at", "content_hash")
     once = hashed.withColumn("rn", F.row_number().over(by_id)).where("rn = 1").drop("rn")
     by_content = Window.partitionBy("owner_key", "content_hash").orderBy("received_at", "external_id")
     return once.withColumn("rn", F.row_number().over(by_content)).where("rn = 1").drop("rn"), rejected
 
 
-def start(payloads: DataFrame, documents_path: str, rejected_path: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, once: bool = True) -> StreamingQuery:
+def start(payloads: DataFrame, documents_path: str, rejected_path: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, once: bool = True, owners: tuple[DataFrame, DataFrame] | None = None, media: DataFrame | None = None) -> StreamingQuery:
     """Append each batch's new documents, and its rejected payloads, as parquet; ``then`` gets the new documents.
 
     A batch has a folder of its own that a repeated run overwrites, so a payload is stored once whatever fails. New is
@@ -37,7 +52,7 @@ def start(payloads: DataFrame, documents_path: str, rejected_path: str, checkpoi
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        found, rejected = batch_documents(batch)
+        found, rejected = batch_documents(batch, owners, media)
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(documents_path)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
             stored = spark.read.schema(found.schema.add("batch", "long")).parquet(documents_path).where(F.col("batch") != number)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import itertools
 
 import numpy as np
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from conftest import SF
 from ledgerloom import catalog
 from ledgerloom.functions import scoring, text
-from ledgerloom.operators import assignment, dedup, evaluation
+from ledgerloom.operators import assignment, dedup, evaluation, review
 from ledgerloom.operators.components import connected_components
-from ledgerloom.plans import matching, views
+from ledgerloom.plans import ingestion, matching, views
+from ledgerloom.sources import webhooks
 
 AMOUNTS = [  # document, transaction, tip allowed, score
     (10000, 10000, True, 1.0), (9900, 10000, True, 1.0), (9899, 10000, True, 1 - (0.0101 / 0.3) * 0.5), (7000, 10000, True, 0.5), (6999, 10000, True, 0.0), (9000, 10000, False, 0.0),
@@ -186,3 +188,52 @@ def test_isotonic(spark):
     assert [(p.max_score, p.calibrated_probability) for p in points.orderBy("ord").collect()] == [(0.1, 0.0), (0.3, 0.5), (0.8, 1.0)]
     scores = spark.createDataFrame([(0.05,), (0.25,), (0.9,)], "score double")
     assert [r.calibrated for r in evaluation.calibrated(scores, points).orderBy("score").collect()] == [0.0, 0.5, 1.0]
+
+
+def test_names_beyond_ascii(spark):
+    docs = documents(spark).where("doc_id = 5").withColumn("doc_merchant", F.lit("Café Ñandú"))
+    rows = ledger(spark).where("tx_id in (16, 17)").withColumn("tx_merchant", F.when(F.col("tx_id") == 16, "CAFE NANDU RUH").otherwise("CAF DU"))
+    final = matching.match(docs, rows, emails(spark), audit_rate=0).first()
+    assert final.candidates[0].tx_id == 16 and dict(final.candidates[0].signals)["merchant"] == 1
+    one = spark.createDataFrame([(1, "Café Ñandú", "Çelik", dt.datetime(2025, 1, 1), 1)], "client_id long, document_merchant string, transaction_merchant string, decided_at timestamp, id long")
+    learned = review.learned_aliases(one).first()
+    assert (learned.normalized_alias, learned.canonical_normalized) == ("CAFE NANDU", "CELIK")
+    scored = matching.match(docs, rows.withColumn("tx_merchant", F.lit("Çelik")), emails(spark), aliases=review.learned_aliases(one), audit_rate=0).first()
+    assert dict(scored.candidates[0].signals)["merchant"] > 0.8
+
+
+def test_ingestion_to_stored_match_and_late_transaction(spark):
+    received = dt.datetime(2025, 6, 21, 9)
+    rows = [("EMAIL", "m1", "fleet@alrashed.example", b"one"), ("EMAIL", "m1", "fleet@alrashed.example", b"one"), ("EMAIL", "m2", "Fleet@alrashed.example", b"one"),
+            ("EMAIL", "m3", "fleet@alrashed.example", b"two"), ("EMAIL", "m4", "fleet@alrashed.example", b"unreadable"), ("EMAIL", "m5", "fleet@alrashed.example", b"same invoice")]
+    docs = spark.createDataFrame([(*r, received, "image/png") for r in rows], "source string, external_id string, sender_identifier string, content binary, received_at timestamp, mime_type string")
+    fields = {b"one": ("TAX_INVOICE", "Alrajhi Auto Service", 120000, "2025-06-20 10:04:00", "AR-1"), b"two": ("RECEIPT", "Late Garage", 7700, "2025-05-01 12:00:00", None), b"unreadable": ("UNKNOWN", None, None, None, None), b"same invoice": ("TAX_INVOICE", "Alrajhi Auto Service", 120000, "2025-06-20 10:04:00", "AR-1")}
+    known = spark.createDataFrame([(hashlib.sha256(c).hexdigest(), kind, name, amount, date, invoice, "SAR", "4411", 0.9) for c, (kind, name, amount, date, invoice) in fields.items()],
+        "content_hash string, document_type string, merchant_name string, total_amount long, document_date string, invoice_number string, currency string, card_last4 string, extraction_confidence double")
+    for field in webhooks.EXTRACTED.fields:
+        if field.name not in known.columns:
+            known = known.withColumn(field.name, F.lit(None).cast(field.dataType))
+    final, stored = ingestion.ingested(docs, lambda d: webhooks.extracted_by_hash(d.drop("content_hash"), known), emails(spark), ledger(spark), audit_rate=0)
+    status = {r.external_id: (r.status, r.status_reason) for r in final.collect()}
+    assert status == {"m1": ("MATCHED", "AUTO_MATCHED"), "m2": ("DUPLICATE", None), "m3": ("UNMATCHED", status["m3"][1]), "m4": ("FAILED", "LOW_QUALITY_EXTRACTION"), "m5": ("DUPLICATE", None)}
+    assert [(r.transaction_id, r.match_status) for r in stored.collect()] == [(4, "AUTO_CONFIRMED")]
+    again, none = ingestion.ingested(docs, lambda d: webhooks.extracted_by_hash(d.drop("content_hash"), known), emails(spark), ledger(spark), stored=final, audit_rate=0)
+    assert again.count() == 0 and none.count() == 0
+    late = ledger(spark).where("tx_id = 4").withColumn("tx_id", F.lit(99).cast("long")).withColumn("tx_merchant", F.lit("LATE GARAGE RUH")).withColumn("tx_amount", F.lit(7700).cast("long")).withColumn(
+        "tx_at", F.to_timestamp(F.lit("2025-05-01 12:05:00"))).withColumn("tx_vat", F.lit(None).cast("string"))
+    waiting = matching.rematch_scope(final, emails(spark), late)
+    assert [r.external_id for r in waiting.collect()] == ["m3"]
+    assert matching.rematch_scope(final, emails(spark), late.limit(0)).count() == 0
+    held = stored.select(F.lit(1).cast("long").alias("id"), F.col("document_id"), F.col("transaction_id"), F.col("match_status").alias("status"))
+    met = matching.rematch(ingestion.matchable(waiting), ledger(spark).unionByName(late), emails(spark), held).first()
+    assert (met.status, met.tx_id, met.status_reason) == ("MATCHED", 99, "AUTO_MATCHED_AFTER_REMATCH")
+
+
+def test_queue_with_matches(spark):
+    documents_ = spark.createDataFrame([(1, "NEEDS_REVIEW", dt.datetime(2025, 1, 1)), (2, "MATCHED", dt.datetime(2025, 1, 1))], "id long, status string, received_at timestamp")
+    rows = [(10, 1, 5, 1, 0.8), (11, 1, 6, 2, 0.8), (12, 1, 7, 3, 0.6), (13, 2, 5, 1, 0.9)]
+    matches = spark.createDataFrame(rows, "id long, document_id long, transaction_id long, rank int, decision_confidence double").select(
+        "*", F.lit(0.7).alias("confidence"), F.lit(0.7).alias("evidence_coverage"), F.array().cast("array<string>").alias("contradictions"), F.lit("CANDIDATE").alias("status"))
+    (row,) = review.queue_with_matches(documents_, matches).collect()
+    assert row.doc_id == 1 and [(c.id, c.tied_for_best, c.recommended) for c in row.candidates] == [(10, True, False), (11, True, False), (12, False, False)]
+    assert review.candidate_counts(matches).where("document_id = 1").first().remaining == 3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ ORDER = 3
 #: Tokens whose n-grams a task sums up before it hands them on.
 HOLD = 5_000_000
 #: Bytes of text whose n-grams one shard holds, so that a shard stays of one size as the corpus grows.
-SHARD_BYTES = 48 << 20
+SHARD_BYTES = 56 << 20
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -42,7 +42,7 @@ def extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(context * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def hash_of(words: list[np.ndarray], size: int) -> np.ndarray:
+def hash_of(words: Iterable[np.ndarray], size: int) -> np.ndarray:
     """Hash of n-grams, a column for each place; zeros for none."""
     out = np.zeros(size, np.uint64)
     for column in words:
@@ -50,10 +50,10 @@ def hash_of(words: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-def grams(documents: list[np.ndarray], order: int) -> list[np.ndarray]:
-    """Columns of all n-grams that end in a token, document after document; each begins with START as often as it takes."""
-    pad, end = np.full(order - 1, START), np.array([END])
-    flat = np.concatenate([part for words in documents for part in (pad, words, end)] or [np.zeros(0, np.uint64)])
+def grams(documents: list[np.ndarray], order: int, start: np.unsignedinteger = START, end: np.unsignedinteger = END) -> list[np.ndarray]:
+    """Columns of all n-grams that end in a token, document after document; each begins with ``start`` as often as it takes."""
+    pad, last = np.full(order - 1, start), np.array([end])
+    flat = np.concatenate([part for words in documents for part in (pad, words, last)] or [last[:0]])
     sizes = np.array([len(words) + order for words in documents], np.int64)
     place = np.ones(len(flat), bool)
     starts = np.cumsum(sizes) - sizes
@@ -77,18 +77,28 @@ def planes(array: np.ndarray) -> bytes:
     return array.itemsize.to_bytes(1, "little") + raw
 
 
-def packed(words: list[np.ndarray], values: list[np.ndarray]) -> bytes:
-    """N-grams and their values as bytes: the words that they hold, once each, then numbers for these.
+def within_runs(columns: list[np.ndarray], place: int) -> np.ndarray:
+    """Where sorted rows are like the row before in all columns left of ``place``."""
+    same = np.ones(len(columns[0]), bool)
+    same[:1] = False
+    for column in columns[:place]:
+        same[1:] &= column[1:] == column[:-1]
+    return same
 
-    Frequent words have low numbers and the n-grams are sorted by these, both for them to take little room.
+
+def packed(known: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+    """N-grams, as numbers of ``known`` words, and their values as bytes: the words that they hold, then small numbers.
+
+    Frequent words have low numbers, the n-grams are sorted by these, and only steps from row to row are kept.
     """
-    known, number, times = np.unique(np.concatenate(words), return_inverse=True, return_counts=True)
-    frequent = np.argsort(-times, kind="stable")
-    rank = np.empty_like(frequent)
-    rank[frequent] = np.arange(len(known))
-    columns = np.split(rank[number.reshape(-1)], len(words))
-    bits = len(known).bit_length()
-    if bits * len(words) < 64:
+    times = sum(np.bincount(column, minlength=len(known)) for column in columns)
+    used = np.flatnonzero(times)
+    used = used[np.argsort(-times[used], kind="stable")]
+    rank = np.zeros(len(known), np.int64)
+    rank[used] = np.arange(len(used))
+    columns = [rank[column] for column in columns]
+    bits = len(used).bit_length()
+    if bits * len(columns) < 64:
         place = columns[0].copy()
         for column in columns[1:]:
             place = (place << bits) | column
@@ -96,35 +106,55 @@ def packed(words: list[np.ndarray], values: list[np.ndarray]) -> bytes:
     else:
         order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
-    columns[0] = np.diff(columns[0], prepend=0)
-    parts = [known[frequent].tobytes(), *map(planes, columns), *(planes(v[order]) for v in values)]
-    sizes = np.array([len(words), len(known), len(order), *map(len, parts)], np.int64)
+    steps = [np.where(within_runs(columns, i), np.diff(c, prepend=0), c) for i, c in enumerate(columns)]
+    parts = [known[used].tobytes(), *map(planes, steps), *(planes(v[order]) for v in values)]
+    sizes = np.array([len(columns), len(used), len(order), *map(len, parts)], np.int64)
     return zstandard.ZstdCompressor(level=3).compress(np.int64(len(sizes)).tobytes() + sizes.tobytes() + b"".join(parts))
 
 
-def unpacked(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def unpacked(blob: bytes) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """What ``packed`` was given, in another order."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     sizes = np.frombuffer(raw, np.int64, int(np.frombuffer(raw, np.int64, 1)[0]), 8)
-    at, columns = 8 + 8 * len(sizes), []
+    at, numbers = 8 + 8 * len(sizes), []
     words, distinct, rows = sizes[:3].tolist()
     known = np.frombuffer(raw, np.uint64, distinct, at)
     at += int(sizes[3])
     for size in sizes[4:].tolist():
         width = raw[at]
-        columns.append(np.frombuffer(raw, np.uint8, size - 1, at + 1).reshape(width, rows).T.copy().view(f"<u{width}").reshape(rows))
+        numbers.append(np.frombuffer(raw, np.uint8, size - 1, at + 1).reshape(width, rows).T.copy().view(f"<u{width}").reshape(rows))
         at += size
-    columns[0] = np.cumsum(columns[0], dtype=np.int64)
-    return [known[c] for c in columns[:words]], [c.astype(np.int64) for c in columns[words:]]
-
-
-def dealt(words: list[np.ndarray], values: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
+    columns: list[np.ndarray] = []
+    for i, steps in enumerate(numbers[:words]):
+        starts = np.flatnonzero(~within_runs(columns or [steps], i))
+        total = np.cumsum(steps, dtype=np.int64)
+        columns.append(total - np.repeat(total[starts] - steps[starts], np.diff(np.append(starts, rows))))
+    return known, [c.astype(np.uint32) for c in columns], [v.astype(np.uint32 if v.itemsize <= 4 else np.int64) for v in numbers[words:]]
+
+
+def merged(parts: list[tuple]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Unpacked n-grams of several tasks with one list of words; ``parts`` is emptied."""
+    known = np.unique(np.concatenate([k for k, _, _ in parts]))
+    columns = [[] for _ in parts[0][1]]
+    values = [[] for _ in parts[0][2]]
+    while parts:
+        own, numbers, counts = parts.pop()
+        place = np.searchsorted(known, own).astype(np.uint32)
+        for into, column in zip(columns, numbers, strict=True):
+            into.append(place[column])
+        for into, column in zip(values, counts, strict=True):
+            into.append(column)
+    return known, [np.concatenate(columns.pop(0)) for _ in range(len(columns))], [np.concatenate(values.pop(0)) for _ in range(len(values))]
+
+
+def dealt(known: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
     """Distinct n-grams by the shard of their context: all of one context are in one."""
-    shard = shard_of(hash_of(words[:-1] or words, len(words[0])), shards).astype(np.uint16)
+    shard = shard_of(hash_of((known[c] for c in columns[:-1] or columns), len(columns[0])), shards).astype(np.uint16)
     order = np.argsort(shard, kind="stable")
     edges = np.searchsorted(shard[order], np.arange(shards + 1))
     for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
         own = order[edges[i] : edges[i + 1]]
-        yield i, packed([w[own] for w in words], [v[own] for v in values])
+        yield i, packed(known, [c[own] for c in columns], [v[own] for v in values])
 
 
 @dataclass
@@ -161,10 +191,13 @@ def corpus_counts(rows: DataFrame, shards: int, order: int) -> DataFrame:
         hashes, held, size = word_hashes(), [], 0
 
         def out() -> pa.RecordBatch:
-            words = grams(held, order)
-            by, starts = runs(hash_of(words, len(words[0])))
+            known, number = np.unique(np.concatenate([*held, np.array([START, END])]), return_inverse=True)
+            number = np.split(number.astype(np.uint32), np.cumsum([len(words) for words in held]))
+            columns = grams(number[:-1], order, *number[-1])
+            by, starts = runs(hash_of((known[c] for c in columns), len(columns[0])))
             count = np.diff(np.append(starts, len(by)))
-            found = list(dealt([w[by[starts]] for w in words], [count], shards))
+            by = by[starts]
+            found = list(dealt(known, [c[by] for c in columns], [count], shards))
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], ["shard", "blob"])
 
         for batch in batches:
@@ -199,30 +232,30 @@ def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Ite
                     parts.append(unpacked(blob))
         out: list[tuple[int, bytes]] = []
         if parts:
-            words = [np.concatenate(column) for column in zip(*(w for w, _ in parts), strict=True)]
-            values = [np.concatenate(column) for column in zip(*(v for _, v in parts), strict=True)]
-            parts.clear()
-            key = hash_of(words, len(words[0]))
+            words, columns, values = merged(parts)
+            key = hash_of((words[c] for c in columns), len(columns[0]))
             by, starts = runs(key)
             first = by[starts]
-            count, *often = (np.add.reduceat(v[by], starts) for v in values)
+            count, *often = (np.add.reduceat(v[by], starts, dtype=np.int64) for v in values)
             often = often[0] if often else count
-            key, words = key[first], [w[first] for w in words]
+            key, columns = key[first], [c[first] for c in columns]
+            del by, first, values
             if level == 1:
                 store.put("grams-1", shard, key, often, count)
                 sums[-1] += often.sum()
             else:
                 store.put(f"grams-{level}", shard, key, count)
-                context = hash_of(words[:-1], len(key))
+                context = hash_of((words[c] for c in columns[:-1]), len(key))
                 by, starts = runs(context)
                 each = count[by]
-                of = np.stack([np.add.reduceat(v, starts) for v in (each, each == 1, each == 2, each > 2)], 1)
+                of = np.stack([np.add.reduceat(v, starts, dtype=np.int64) for v in (each, each == 1, each == 2, each > 2)], 1)
                 more = (of[:, 0] > 1) | (of[:, 1] != 1)  # a context not kept was seen once
                 store.put(f"contexts-{level}", shard, context[by[starts]][more], *of[more].T)
-                ends = words[1:]
-                by, starts = runs(hash_of(ends, len(key)))
-                ends = [w[by[starts]] for w in ends]
-                out += dealt(ends, [np.diff(np.append(starts, len(by))), np.add.reduceat(often[by], starts)], shards)
+                del context, each, of
+                columns = columns[1:]
+                by, starts = runs(hash_of((words[c] for c in columns), len(key)))
+                columns = [c[by[starts]] for c in columns]
+                out += dealt(words, columns, [np.diff(np.append(starts, len(by))), np.add.reduceat(often[by], starts)], shards)
             sums[5 * (level - 1) : 5 * level] += [*np.bincount(np.minimum(count, 5), minlength=6)[1:5], len(count)]
         out.append((-1, sums.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["shard", "blob"])

@@ -23,8 +23,10 @@ END, START = np.uint64(1), np.uint64(2)
 ORDER = 3
 #: Tokens whose n-grams a task sums up before it hands them on.
 HOLD = 5_000_000
+#: Words that are numbered by how frequent they are among the n-grams handed to a shard.
+FREQUENT = 4096
 #: Bytes of text whose n-grams one shard holds, so that a shard stays of one size as the corpus grows.
-SHARD_BYTES = 56 << 20
+SHARD_BYTES = 44 << 20
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -89,11 +91,14 @@ def within_runs(columns: list[np.ndarray], place: int) -> np.ndarray:
 def packed(known: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
     """N-grams, as numbers of ``known`` words, and their values as bytes: the words that they hold, then small numbers.
 
-    Frequent words have low numbers, the n-grams are sorted by these, and only steps from row to row are kept.
+    The most frequent words have the lowest numbers, the others are in order; the n-grams are sorted by these, and of
+    both only steps from row to row are kept.
     """
     times = sum(np.bincount(column, minlength=len(known)) for column in columns)
     used = np.flatnonzero(times)
-    used = used[np.argsort(-times[used], kind="stable")]
+    frequent = np.argsort(-times[used], kind="stable")[:FREQUENT]
+    others = np.delete(used, frequent)
+    used = np.concatenate([used[frequent], others])
     rank = np.zeros(len(known), np.int64)
     rank[used] = np.arange(len(used))
     columns = [rank[column] for column in columns]
@@ -107,7 +112,9 @@ def packed(known: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray
         order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     steps = [np.where(within_runs(columns, i), np.diff(c, prepend=0), c) for i, c in enumerate(columns)]
-    parts = [known[used].tobytes(), *map(planes, steps), *(planes(v[order]) for v in values)]
+    words = known[used]
+    words[len(frequent) + 1 :] = np.diff(words[len(frequent) :])
+    parts = [words.view(np.uint8).reshape(-1, 8).T.tobytes(), *map(planes, steps), *(planes(v[order]) for v in values)]
     sizes = np.array([len(columns), len(used), len(order), *map(len, parts)], np.int64)
     return zstandard.ZstdCompressor(level=3).compress(np.int64(len(sizes)).tobytes() + sizes.tobytes() + b"".join(parts))
 
@@ -118,7 +125,8 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray
     sizes = np.frombuffer(raw, np.int64, int(np.frombuffer(raw, np.int64, 1)[0]), 8)
     at, numbers = 8 + 8 * len(sizes), []
     words, distinct, rows = sizes[:3].tolist()
-    known = np.frombuffer(raw, np.uint64, distinct, at)
+    known = np.frombuffer(raw, np.uint8, 8 * distinct, at).reshape(8, distinct).T.copy().view(np.uint64).reshape(distinct)
+    known[FREQUENT:] = np.cumsum(known[FREQUENT:])
     at += int(sizes[3])
     for size in sizes[4:].tolist():
         width = raw[at]
@@ -217,7 +225,7 @@ def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Ite
     """What writes a shard's n-grams of ``level`` words and their contexts, and hands on the ends of the n-grams.
 
     An n-gram's count is how often it occurs, below the highest order how many different words it follows. Handed on are
-    n-grams of a word less, each with how many it ends here and how often. Sums over the corpus are handed on as shard -1:
+    n-grams of a word less, each with how many it ends here and how much more often. Sums over the corpus are handed on as shard -1:
     for each level the counts that are 1, 2, 3 and 4 and all, then all tokens.
     """
 
@@ -230,6 +238,7 @@ def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Ite
                     sums += np.frombuffer(blob, np.int64)
                 else:
                     parts.append(unpacked(blob))
+        batch = blob = None  # what was read isn't held on to
         out: list[tuple[int, bytes]] = []
         if parts:
             words, columns, values = merged(parts)
@@ -237,7 +246,7 @@ def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Ite
             by, starts = runs(key)
             first = by[starts]
             count, *often = (np.add.reduceat(v[by], starts, dtype=np.int64) for v in values)
-            often = often[0] if often else count
+            often = count + often[0] if often else count
             key, columns = key[first], [c[first] for c in columns]
             del by, first, values
             if level == 1:
@@ -255,7 +264,8 @@ def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Ite
                 columns = columns[1:]
                 by, starts = runs(hash_of((words[c] for c in columns), len(key)))
                 columns = [c[by[starts]] for c in columns]
-                out += dealt(words, columns, [np.diff(np.append(starts, len(by))), np.add.reduceat(often[by], starts)], shards)
+                ends = np.diff(np.append(starts, len(by)))
+                out += dealt(words, columns, [ends, np.add.reduceat(often[by], starts) - ends], shards)
             sums[5 * (level - 1) : 5 * level] += [*np.bincount(np.minimum(count, 5), minlength=6)[1:5], len(count)]
         out.append((-1, sums.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["shard", "blob"])

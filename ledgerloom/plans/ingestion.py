@@ -34,14 +34,14 @@ def matchable(documents: DataFrame) -> DataFrame:
 def identified(received: DataFrame, client_email: DataFrame, ledger: DataFrame) -> DataFrame:
     """Received documents with doc_id, owner_key and content_hash, one for each provider id."""
     owned = dedup.owner_keys(received, client_email, ledger).withColumn("content_hash", dedup.content_hash(F.col("content"))).withColumn(
-        "doc_id", F.xxhash64("source", "external_id"))
+        "doc_id", F.shiftrightunsigned(F.xxhash64("source", "external_id"), 3))  # graphs of documents double their ids
     first = Window.partitionBy("source", "external_id").orderBy("received_at", "content_hash")
     return owned.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
 
 
 def marked_duplicates(documents: DataFrame, stored: DataFrame | None, key: str) -> DataFrame:
     """``documents`` with duplicate_of: the stored document, or the first of these, of the same owner and ``key``."""
-    order = Window.partitionBy("owner_key", key).orderBy("received_at", "doc_id")
+    order = Window.partitionBy("owner_key", key).orderBy("received_at", "external_id", "doc_id")
     first = F.when(F.col(key).isNotNull(), F.first("doc_id").over(order))
     found = documents.withColumn("_first", F.when(first != F.col("doc_id"), first))
     if stored is not None:

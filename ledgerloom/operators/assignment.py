@@ -58,7 +58,7 @@ def assign(edges: DataFrame, minimum: float = M.assignment_minimum) -> DataFrame
         F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))).alias("score"))
     ends = best.select((F.col("document_id") * 2).alias("a"), (F.col("transaction_id") * 2 + 1).alias("b"))
     roots = connected_components(ends, "a", "b")
-    grouped = best.join(roots.select((F.col("node") / 2).cast("long").alias("document_id"), "root").where("node % 2 = 0"), "document_id")
+    grouped = best.join(roots.select(F.shiftright("node", 1).alias("document_id"), "root").where("node % 2 = 0"), "document_id")
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
         documents, transactions = sorted(set(group.document_id)), sorted(set(group.transaction_id))

@@ -42,7 +42,7 @@ def fold_decisions(matches: DataFrame, decisions: DataFrame) -> DataFrame:
     own = matches.join(touched, "document_id", "left_semi")
     edges = own.select((F.col("document_id") * 2).alias("a"), (F.col("transaction_id") * 2 + 1).alias("b"))
     holders = matches.where(F.col("status").isin("CONFIRMED", "AUTO_CONFIRMED")).select("transaction_id", F.col("document_id").alias("holder"))
-    roots = connected_components(edges, "a", "b").where("node % 2 = 0").select((F.col("node") / 2).cast("long").alias("document_id"), "root")
+    roots = connected_components(edges, "a", "b").where("node % 2 = 0").select(F.shiftright("node", 1).alias("document_id"), "root")
     held = own.join(holders.groupBy("transaction_id").agg(F.min("holder").alias("holder")), "transaction_id", "left")
     kind = "root long, id long, document_id long, transaction_id long, status string, holder long, action string, decided_at timestamp, seq long"
     rows = held.join(roots, "document_id").select("root", "id", "document_id", "transaction_id", "status", "holder", F.lit(None).cast("string").alias("action"), F.lit(None).cast("timestamp").alias("decided_at"), F.lit(None).cast("long").alias("seq"))

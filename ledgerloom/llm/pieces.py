@@ -20,8 +20,10 @@ SHIFT = 10
 BYTE = -15.0
 #: Edges that stand for a character's bytes have this bit set, and the character's code.
 SPELT = 1 << 24
-#: Characters of a run whose lattice is filtered at once; longer runs are few and pass in smaller blocks.
+#: Characters of runs of one length whose lattices are filtered at once.
 BLOCK = 1 << 17
+#: Characters of a longer run's lattice that are held at once.
+STRETCH = 1 << 12
 #: Characters of the texts that are encoded together, unless one text has more.
 TOGETHER = 4_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -102,35 +104,73 @@ class Pieces:
         self.alpha = alpha
         self.surfaces = Surfaces(surfaces)
 
+    def ending(self, codes: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and weights of the pieces that end at places ``low + 1`` to ``high``: for each run, place and length less one."""
+        runs, length = codes.shape
+        width = min(length, self.longest)
+        first = max(0, low + 1 - width)
+        own = codes[:, first:high].astype(np.uint64)
+        ids = np.full((runs, high - low, width), -1, np.int32)
+        h = np.zeros(own.shape, np.uint64)
+        for more in range(min(width, high - first)):
+            h = self.surfaces.grow(h[:, : high - first - more], own[:, more:])
+            before = max(0, low - first - more)  # starts whose piece of this length ends at low or earlier
+            ids[:, first + before + more - low :, more] = self.surfaces(h[:, before:])
+        weight = self.weight[ids]
+        spelt, characters = ids[:, :, 0] < 0, codes[:, low:high]
+        ids[:, :, 0] = np.where(spelt, characters | SPELT, ids[:, :, 0])
+        weight[:, :, 0] = np.where(spelt, self.alpha * BYTE * utf8_bytes(characters), weight[:, :, 0])
+        return ids, weight
+
     def filtered(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward filtering of runs of one length, a row of character codes each.
 
-        Returns, for each run, place and length of the piece that ends there, less one: the share of what arrives there
-        that pieces up to this length bring, and the piece's id. Shares past the last length are over 1.
+        Returns, for each run, place less one and length of the piece that ends there, less one: the share of what arrives
+        there that pieces up to this length bring, and the piece's id. Shares past the last length are over 1.
         """
         runs, length = codes.shape
-        width = min(length, self.longest)
-        ids = np.full((runs, length + 1, width), -1, np.int32)
-        for begin in range(length):
-            h = np.zeros(runs, np.uint64)
-            for end in range(begin, min(begin + width, length)):
-                h = self.surfaces.grow(h, codes[:, end].astype(np.uint64))
-                ids[:, end + 1, end - begin] = self.surfaces(h)
-        weight = self.weight[ids]
-        spelt = ids[:, 1:, 0] < 0
-        ids[:, 1:, 0] = np.where(spelt, codes | SPELT, ids[:, 1:, 0])
-        weight[:, 1:, 0] = np.where(spelt, self.alpha * BYTE * utf8_bytes(codes), weight[:, 1:, 0])
+        ids, weight = self.ending(codes, 0, length)
+        width = ids.shape[2]
         total = np.zeros((runs, length + 1))
-        upto = np.full((runs, length + 1, width), 2.0)
+        upto = np.full((runs, length, width), 2.0)
         for end in range(1, length + 1):
             sizes = min(end, width)
-            score = total[:, end - sizes : end][:, ::-1] + weight[:, end, :sizes]
+            score = total[:, end - sizes : end][:, ::-1] + weight[:, end - 1, :sizes]
             top = score.max(1, keepdims=True)
             share = np.exp(score - top).cumsum(1)
-            upto[:, end, :sizes] = share / share[:, -1:]
+            upto[:, end - 1, :sizes] = share / share[:, -1:]
             total[:, end] = top[:, 0] + np.log(share[:, -1])
         return upto, ids
 
+    def totals(self, codes: np.ndarray) -> np.ndarray:
+        """Forward filtering of one long run, stretch by stretch: what arrives at each place, after as many places that nothing reaches as the longest piece has characters."""
+        length, width = codes.shape[1], min(codes.shape[1], self.longest)
+        total = np.full(width + length + 1, -np.inf)
+        total[width] = 0.0
+        for low in range(0, length, STRETCH):
+            weight = self.ending(codes, low, min(low + STRETCH, length))[1][0]
+            for end, own in enumerate(weight, low + 1):
+                score = total[end : end + width][::-1] + own
+                top = score.max()
+                total[width + end] = top + np.log(np.exp(score - top).sum())
+        return total
+
+    def long_run(self, occurrences: np.ndarray, codes: np.ndarray, key: np.ndarray, emitted: np.ndarray) -> list:
+        """What ``sampled`` gives for the occurrences of one long run; the shares of one stretch are held at a time."""
+        total = self.totals(codes)
+        length, width = codes.shape[1], min(codes.shape[1], self.longest)
+        windows = np.lib.stride_tricks.sliding_window_view(total, width)
+        state = (occurrences, np.zeros(len(occurrences), np.int64), np.full(len(occurrences), length), np.zeros(len(occurrences), np.uint64))
+        out = []
+        for low in reversed(range(0, length, STRETCH)):
+            high = min(low + STRETCH, length)
+            ids, weight = self.ending(codes, low, high)
+            score = windows[low + 1 : high + 1, ::-1] + weight[0]
+            share = np.exp(score - score.max(1, keepdims=True)).cumsum(1)
+            records, state = self.sampled(state, low, (share / share[:, -1:])[None], ids, key, emitted)
+            out += records
+        return out
+
     def encode(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """Ids of a sampled segmentation of each text; the same text and key give the same. Empty texts have none.
 
@@ -156,36 +196,51 @@ class Pieces:
         for length, start, end, low, high in zip(sizes, starts, [*starts[1:], len(runs)], edges, [*edges[1:], len(in_order)], strict=True) if len(runs) else ():
             own = by_length[start:end]
             own_occurrences = in_order[low:high]
-            block = max(1, BLOCK // int(length))
             row_of[own] = np.arange(len(own))
+            if length > STRETCH:
+                for i in own:
+                    codes = np.frombuffer(runs[i].encode("utf-32-le"), "<u4").astype(np.int64)[None]
+                    records += self.long_run(own_occurrences[occurrence[own_occurrences] == i], codes, key, emitted)
+                continue
+            block = BLOCK // int(length)
             row = row_of[occurrence[own_occurrences]]
             for begin in range(0, len(own), block):
                 part = own[begin : begin + block]
                 raw = "".join([runs[i] for i in part]).encode("utf-32-le")
                 upto, ids = self.filtered(np.frombuffer(raw, "<u4").astype(np.int64).reshape(len(part), length))
                 here = np.flatnonzero((row >= begin) & (row < begin + len(part))) if len(own) > block else slice(None)
-                records += self.sampled(own_occurrences[here], row[here] - begin, int(length), upto, ids, key, emitted)
+                met = own_occurrences[here]
+                state = (met, row[here] - begin, np.full(len(met), int(length)), np.zeros(len(met), np.uint64))
+                records += self.sampled(state, 0, upto, ids, key, emitted)[0]
         return self.assembled(records, emitted, count)
 
-    def sampled(self, occurrence, row, length, upto, ids, key, emitted) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Backward sampling of the occurrences: ``(occurrence, id, ids emitted before it from the end)`` of each step."""
-        place, step, out = np.full(len(occurrence), length), 0, []
+    def sampled(self, state, low: int, upto, ids, key, emitted) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], tuple]:
+        """Backward sampling of occurrences, down to place ``low``, which shares and ids begin after.
+
+        ``state`` is ``(occurrence, row, place, steps made)``. Returns ``(occurrence, id, ids emitted before it from the
+        end)`` of each step, and the state of the occurrences at ``low``.
+        """
+        occurrence, row, place, step = state
+        out, there = [], []
         while len(occurrence):
-            draw = (mixed(key[occurrence] + np.uint64(step + 1)) >> np.uint64(11)).astype(np.float64) / 2.0**53
-            size = (upto[row, place] <= draw[:, None]).sum(1)
-            n = ids[row, place, size].astype(np.int64)
+            step = step + np.uint64(1)
+            draw = (mixed(key[occurrence] + step) >> np.uint64(11)).astype(np.float64) / 2.0**53
+            size = (upto[row, place - low - 1] <= draw[:, None]).sum(1)
+            n = ids[row, place - low - 1, size].astype(np.int64)
             out.append((occurrence, n, emitted[occurrence]))
             emitted[occurrence] += np.where(n & SPELT, utf8_bytes(n & (SPELT - 1)), 1)
             place = place - size - 1
-            on = place > 0
-            occurrence, row, place, step = occurrence[on], row[on], place[on], step + 1
-        return out
+            on = place > low
+            if low and not on.all():
+                there.append((occurrence[~on], row[~on], place[~on], step[~on]))
+            occurrence, row, place, step = occurrence[on], row[on], place[on], step[on]
+        return out, tuple(map(np.concatenate, zip(*there, strict=True))) if there else state
 
     def assembled(self, records, emitted: np.ndarray, count: np.ndarray) -> list[np.ndarray]:
         """The sampled ids in the order of the texts, one array for each text."""
         end = np.cumsum(emitted)
         out = np.zeros(int(end[-1]) if len(end) else 0, np.int32)
-        for occurrence, n, before in records:
+        for occurrence, n, before in [tuple(map(np.concatenate, zip(*records, strict=True)))] if records else ():
             spelt = (n & SPELT) > 0
             plain = ~spelt
             out[end[occurrence[plain]] - before[plain] - 1] = n[plain]

@@ -88,13 +88,20 @@ def usable_rows(vectors: list) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.asarray(usable, np.int64), found
 
 
+def bytes_kind(vectors: DataFrame) -> type:
+    """The type in which components travel: that of the input, where it is floating."""
+    return np.float32 if dict(vectors.dtypes)["vector"] == "array<float>" else np.float64
+
+
 def hashed(vectors: DataFrame, tables: int, joined: int, probes: int) -> DataFrame:
-    """``(id, label, size, unit, codes)`` of the usable vectors; unit has the bytes of doubles."""
+    """``(id, label, size, raw, codes)`` of the usable vectors; raw has the bytes of their components."""
+    kind = bytes_kind(vectors)
 
     def hashing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: dict[int, CrossPolytope] = {}
         for batch in batches:
-            usable, found = usable_rows(batch.column("vector").to_pylist())
+            given = batch.column("vector").to_pylist()
+            usable, found = usable_rows(given)
             sizes = np.array([len(x) for x in found], np.int64)
             for size in map(int, np.unique(sizes)):
                 at = np.flatnonzero(sizes == size)
@@ -105,11 +112,11 @@ def hashed(vectors: DataFrame, tables: int, joined: int, probes: int) -> DataFra
                 rows = pa.array(usable[at])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").take(rows), batch.column("label").take(rows), pa.array(sizes[at].astype(np.int32)),
-                    pa.array([row.tobytes() for row in x], pa.binary()), pa.array(list(codes), pa.list_(pa.int64())),
-                ], ["id", "label", "size", "unit", "codes"])
+                    pa.array([np.asarray(given[i], kind).tobytes() for i in usable[at]], pa.binary()), pa.array(list(codes), pa.list_(pa.int64())),
+                ], ["id", "label", "size", "raw", "codes"])
 
     kinds = dict(vectors.dtypes)
-    return vectors.mapInArrow(hashing, f"id {kinds['id']}, label {kinds['label']}, size int, unit binary, codes array<long>")
+    return vectors.mapInArrow(hashing, f"id {kinds['id']}, label {kinds['label']}, size int, raw binary, codes array<long>")
 
 
 def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
@@ -160,10 +167,11 @@ def roots_of(size: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def links(candidates: DataFrame, tables: int, probes: int, threshold: float) -> DataFrame:
+def links(candidates: DataFrame, tables: int, probes: int, threshold: float, kind: type) -> DataFrame:
     """``(id, n, other)``: for each block of a bucket and vector in it, its links first met there, and one it connects to.
 
-    Rows are ``(key, p, q, block, table, code, id, unit, codes)``; blocks p and q of bucket ``key`` meet in one group.
+    Rows are ``(key, p, q, block, id, raw, keys)``; blocks p and q of bucket ``key`` meet in one group. ``keys`` are all of
+    the vector's buckets, table by table.
     """
     id_type = dict(candidates.dtypes)["id"]
 
@@ -171,16 +179,19 @@ def links(candidates: DataFrame, tables: int, probes: int, threshold: float) ->
         for group in groups(batches, ["key", "p", "q"]):
             ids, block = group.column("id"), group.column("block").to_numpy()
             p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-            table, code = group.column("table")[0].as_py(), group.column("code")[0].as_py()
-            unit = np.stack([np.frombuffer(x, np.float64) for x in group.column("unit").to_pylist()])
-            codes = np.array(group.column("codes").to_pylist(), np.int64).reshape(len(unit), tables, 1 + probes)
+            unit = np.stack([np.frombuffer(x, kind) for x in group.column("raw").to_pylist()]).astype(np.float64)
+            unit /= np.abs(unit).max(1, keepdims=True)
+            unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+            keys = np.array(group.column("keys").to_pylist(), np.int64).reshape(len(unit), tables, 1 + probes)
+            key = group.column("key")[0].as_py()
+            table = int(np.argwhere(keys[0] == key)[0, 0])
             left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
             met = unit[left] @ unit[right].T >= threshold
             if p == q:
                 met = np.triu(met, 1)
             i, j = np.nonzero(met)
             i, j = left[i], right[j]
-            keep = first_met(i, j, codes, codes, table, code)
+            keep = first_met(i, j, keys, keys, table, key)
             i, j = i[keep], j[keep]
             if not len(i):
                 continue
@@ -212,21 +223,21 @@ def vector_dedup(
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     one = rows.where("id is not null").groupBy("id").agg(F.min(F.struct("label", "vector")).alias("least"))
     one = one.select("id", "least.label", "least.vector")
-    units = written(hashed(one.where("label is not null"), tables, joined, probes), "units")
+    usable = hashed(one.where("label is not null"), tables, joined, probes)
     width = 1 + probes
-    spread = units.select("id", "label", "size", F.posexplode("codes").alias("place", "code")).select(
-        "id", F.floor(F.col("place") / width).cast("int").alias("table"), "code",
-        F.xxhash64("label", "size", F.floor(F.col("place") / width), "code").alias("key")).distinct()
+    keys = F.transform("codes", lambda code, place: F.xxhash64("label", "size", F.floor(place / width), code))
+    units = written(usable.select("id", "raw", keys.alias("keys")), "units")
+    spread = units.select("id", F.explode(F.array_distinct("keys")).alias("key"))
     shared = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = spread.join(shared, "key").withColumn("blocks", blocks).withColumn(
         "block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with")).select(
-        "key", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "table", "code", "id")
+        "key", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), "block", "id")
     candidates = (
-        met.join(units.select("id", "unit", "codes"), "id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+        met.join(units, "id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     )
-    found = written(links(candidates, tables, probes, threshold), "links")
+    found = written(links(candidates, tables, probes, threshold, bytes_kind(one)), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     roots = written(connected_components(found, "id", "other"), "classes").withColumnRenamed("node", "id")
     ids = one.select("id").unionByName(rows.where("id is null").select("id"))

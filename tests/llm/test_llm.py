@@ -236,6 +236,17 @@ def test_consistent_sampling_estimates_similarity():
     assert abs((one == two).mean() - want) < 0.05
 
 
+def test_pieces_of_long_runs(monkeypatch):
+    encoder = pieces.Pieces(token_counts.model_path())
+    run = "".join(np.random.default_rng(3).choice(list("abcdefgh漢字é"), 3000))
+    own, keys = [run, f"x {run}", run], [1, 2, 3]
+    want = encoder.encode(own, keys)
+    for stretch in (100, 1024):
+        monkeypatch.setattr(pieces, "STRETCH", stretch)
+        for text, a, b in zip(own, want, encoder.encode(own, keys), strict=True):
+            assert encoder.decode(b) == text and a.tolist() == b.tolist()
+
+
 def test_vector_dedup(spark):
     rng = np.random.default_rng(5)
     rows = []

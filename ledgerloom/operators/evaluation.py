@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,23 +87,37 @@ def threshold(predictions: DataFrame, target: float = 0.995) -> DataFrame:
 def isotonic_points(predictions: DataFrame) -> DataFrame:
     """``(ord, max_score, calibrated_probability)``: pool-adjacent-violators over predictions in order of score.
 
-    Rows are summed by distinct score and label before they meet, so what one task pools is the distinct scores, which
-    three decimal places bound to two thousand.
+    Of equal scores the incorrect come first, neighbours of an equal share stay apart, null scores don't count. Rows are
+    summed by distinct score and label. What violates the order within a range of scores does so in the whole, so each
+    range is pooled by a task of its own, and only the blocks that are left of the ranges meet in one.
     """
-    each = predictions.groupBy("score", "correct").agg(F.count("*").alias("n"))
-
-    def pool(group: pd.DataFrame) -> pd.DataFrame:
-        blocks: list[list[float]] = []  # largest score, correct, rows
-        # Of equal scores the incorrect come first.
-        for row in group.sort_values(["score", "correct"]).itertuples():
-            hits = row.n if row.correct else 0
-            blocks.append([min(1.0, max(0.0, row.score)), hits, row.n])
-            while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] > blocks[-1][1] * blocks[-2][2]:
-                last = blocks.pop()
-                blocks[-1] = [last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
-        return pd.DataFrame({"ord": range(len(blocks)), "max_score": [b[0] for b in blocks], "calibrated_probability": [b[1] / b[2] for b in blocks]})
-
-    return each.withColumn("every", F.lit(1)).groupBy("every").applyInPandas(pool, "ord long, max_score double, calibrated_probability double")
+    columns = ["score", "correct", "hits", "n"]
+    kind = "score double, correct boolean, hits long, n long"
+
+    def add(blocks: list[list], rows: pd.DataFrame) -> None:
+        for score, correct, hits, n in rows[columns].itertuples(index=False):
+            blocks.append([score, correct, hits, n])
+            while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] > blocks[-1][2] * blocks[-2][3]:
+                _, _, hits, n = blocks.pop(-2)
+                blocks[-1][2] += hits
+                blocks[-1][3] += n
+
+    def pool_range(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        blocks: list[list] = []
+        for frame in frames:
+            add(blocks, frame)
+        yield pd.DataFrame(blocks, columns=columns)
+
+    def pool_all(group: pd.DataFrame) -> pd.DataFrame:
+        blocks: list[list] = []
+        add(blocks, group.sort_values(["score", "correct"]))
+        return pd.DataFrame({"ord": range(len(blocks)), "max_score": [min(1.0, max(0.0, b[0])) for b in blocks], "calibrated_probability": [b[2] / b[3] for b in blocks]})
+
+    correct = F.coalesce("correct", F.lit(False))
+    each = predictions.where("score is not null").groupBy("score", correct.alias("correct")).agg(F.count("*").alias("n"))
+    summed = each.select("score", "correct", F.when(F.col("correct"), F.col("n")).otherwise(0).alias("hits"), "n")
+    ranges = summed.repartitionByRange("score", "correct").sortWithinPartitions("score", "correct").mapInPandas(pool_range, kind)
+    return ranges.withColumn("every", F.lit(1)).groupBy("every").applyInPandas(pool_all, "ord long, max_score double, calibrated_probability double")
 
 
 def calibrated(rows: DataFrame, points: DataFrame) -> DataFrame:

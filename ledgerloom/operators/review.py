@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.constants import MATCHER as M
 from ledgerloom.functions.text import with_normalized
+from ledgerloom.scratch import drop, written
 
 #: Why a candidate was rejected.
 REJECTIONS = {
@@ -33,44 +33,43 @@ def fold_decisions(matches: DataFrame, decisions: DataFrame) -> DataFrame:
 
     Decisions ``(match_id, action, decided_at, seq)`` apply in order. A confirmation needs an open candidate whose
     transaction no other document holds; it rejects the document's other candidates. A rejection needs an open
-    candidate. Repeating a decision that stands does nothing. Decisions meet in groups that share documents or
-    transactions, so only what reviewers touched passes through Python.
+    candidate. Repeating a decision that stands does nothing.
+
+    Decisions are taken in rounds of joins: in each, those that are the first left of their document, and confirmations
+    only as the first left of their transaction too. No decision of a round bears on another one of it. There are as
+    many rounds as the longest chain of decisions of which each waits for the one before; only documents that
+    reviewers touched are gone through.
     """
-    from ledgerloom.operators.components import connected_components
-
-    touched = matches.join(decisions.select(F.col("match_id").alias("id")).distinct(), "id", "left_semi").select("document_id").distinct()
-    own = matches.join(touched, "document_id", "left_semi")
-    edges = own.select((F.col("document_id") * 2).alias("a"), (F.col("transaction_id") * 2 + 1).alias("b"))
-    holders = matches.where(F.col("status").isin("CONFIRMED", "AUTO_CONFIRMED")).select("transaction_id", F.col("document_id").alias("holder"))
-    roots = connected_components(edges, "a", "b").where("node % 2 = 0").select(F.shiftright("node", 1).alias("document_id"), "root")
-    held = own.join(holders.groupBy("transaction_id").agg(F.min("holder").alias("holder")), "transaction_id", "left")
-    kind = "root long, id long, document_id long, transaction_id long, status string, holder long, action string, decided_at timestamp, seq long"
-    rows = held.join(roots, "document_id").select("root", "id", "document_id", "transaction_id", "status", "holder", F.lit(None).cast("string").alias("action"), F.lit(None).cast("timestamp").alias("decided_at"), F.lit(None).cast("long").alias("seq"))
-    acts = decisions.join(held.join(roots, "document_id"), F.col("match_id") == F.col("id")).select("root", "id", "document_id", "transaction_id", "status", "holder", "action", "decided_at", "seq")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        state = {r.id: r for r in group[group.action.isna()].itertuples()}
-        status = {i: r.status for i, r in state.items()}
-        error: dict = {}
-        holder = {r.transaction_id: r.holder for r in state.values() if pd.notna(r.holder)}
-        for act in group[group.action.notna()].sort_values(["decided_at", "seq"]).itertuples():
-            now, want = status[act.id], "CONFIRMED" if act.action == "CONFIRM" else "REJECTED"
-            if now == want or (now == "AUTO_CONFIRMED" and want == "CONFIRMED"):
-                continue
-            if now != "CANDIDATE":
-                error[act.id] = "NOT_OPEN"
-            elif want == "CONFIRMED" and holder.get(act.transaction_id, act.document_id) != act.document_id:
-                error[act.id] = "TRANSACTION_TAKEN"
-            else:
-                status[act.id] = want
-                if want == "CONFIRMED":
-                    holder[act.transaction_id] = act.document_id
-                    for other, row in state.items():
-                        if row.document_id == act.document_id and status[other] == "CANDIDATE":
-                            status[other] = "REJECTED"
-        return pd.DataFrame({"id": list(status), "folded": list(status.values()), "error": [error.get(i) for i in status]}).astype({"id": "int64"})
-
-    folded = rows.unionByName(acts).select(*[c.split()[0] for c in kind.split(", ")]).groupBy("root").applyInPandas(fold, "id long, folded string, error string")
+    held = lambda rows: rows.where(F.col("status").isin("CONFIRMED", "AUTO_CONFIRMED")).select("transaction_id", "document_id")
+    acts = decisions.select("match_id", "action", F.struct("decided_at", "seq", "match_id", "action").alias("place")).distinct()
+    pending = written(acts.join(matches.select(F.col("id").alias("match_id"), "document_id", "transaction_id"), "match_id"), "decisions")
+    touched = pending.select("document_id").distinct()
+    before = held(matches).join(touched, "document_id", "left_anti")
+    state = written(matches.join(touched, "document_id", "left_semi").select(
+        "id", "document_id", "transaction_id", "status", F.lit(None).cast("string").alias("error")), "decided")
+    confirms = F.col("action") == "CONFIRM"
+    while not pending.isEmpty():
+        of_document = pending.groupBy("document_id").agg(F.min("place").alias("first"))
+        of_transaction = pending.where(confirms).groupBy("transaction_id").agg(F.min("place").alias("first_confirmed"))
+        ready = (F.col("place") == F.col("first")) & (~confirms | (F.col("place") == F.col("first_confirmed")))
+        marked = written(pending.join(of_document, "document_id").join(of_transaction, "transaction_id", "left").select(*pending.columns, ready.alias("ready")), "decisions")
+        now = marked.where("ready").select("document_id", F.col("match_id").alias("acted"), F.when(confirms, "CONFIRMED").otherwise("REJECTED").alias("want"))
+        holders = held(state).unionByName(before).groupBy("transaction_id").agg(F.min("document_id").alias("holder"))
+        stands = (F.col("status") == F.col("want")) | ((F.col("status") == "AUTO_CONFIRMED") & (F.col("want") == "CONFIRMED"))
+        taken = (F.col("want") == "CONFIRMED") & (F.col("holder") != F.col("document_id"))
+        result = F.when(F.col("acted") == F.col("id"), F.when(stands, None).when(F.col("status") != "CANDIDATE", "NOT_OPEN").when(taken, "TRANSACTION_TAKEN").otherwise(F.col("want")))
+        met = state.join(holders, "transaction_id", "left").join(now, "document_id", "left").withColumn("result", result)
+        confirmed = F.coalesce(F.max(F.col("result") == "CONFIRMED").over(Window.partitionBy("document_id")), F.lit(False))
+        step = written(met.withColumn("confirmed", confirmed).select(
+            "id", "document_id", "transaction_id",
+            F.when(F.col("result").isin("CONFIRMED", "REJECTED"), F.col("result"))
+            .when(F.col("confirmed") & F.col("result").isNull() & (F.col("status") == "CANDIDATE"), "REJECTED").otherwise(F.col("status")).alias("status"),
+            F.when(F.col("result").isin("NOT_OPEN", "TRANSACTION_TAKEN"), F.col("result")).otherwise(F.col("error")).alias("error")), "decided")
+        left = written(marked.where("not ready").drop("ready"), "decisions")
+        for old in (state, pending, marked):
+            drop(old)
+        state, pending = step, left
+    folded = state.select("id", F.col("status").alias("folded"), "error")
     return matches.join(folded, "id", "left").withColumn("status", F.coalesce("folded", "status")).drop("folded")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -22,6 +22,10 @@ from ledgerloom.llm.toxicity import scored
 VOCABULARY, LEAST_DOCS, SIZE, PLACES = 20_000, 5, 64, 6
 #: Neighbours on either side that a word's vector adds up.
 WINDOW = 2
+#: Tokens whose neighbours are added up at a time, and distinct words that a task counts before it hands them on.
+BLOCK, HELD_WORDS = 1 << 19, 500_000
+#: What a word's neighbours are counted by: each place, positive and negative, and one for those without a vector.
+SLOTS = 2 * SIZE + 1
 HIDDEN = 32
 THRESHOLD = 0.3
 SLICES = 16
@@ -29,6 +33,22 @@ SLICES = 16
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
+def plane_class(belongs: Callable[[str], bool]) -> str:
+    """The characters up to U+FFFF that belong, as a class of ranges, which is matched by one lookup a character."""
+    edges = [c for c in range(1 << 16) if belongs(chr(c)) != (c > 0 and belongs(chr(c - 1)))] + [1 << 16]
+    return "[" + "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in zip(edges[::2], edges[1::2], strict=False)) + "]"
+
+
+#: The same tokens in texts without characters beyond U+FFFF.
+PLANE_TOKEN = re.compile("|".join(plane_class(kind) + "+" for kind in (
+    lambda c: c.isalnum() and not c.isdecimal(), str.isdecimal, lambda c: not (c.isalnum() or c.isspace() or c == "_"))) + "|_+")
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def tokens(text: str) -> list[str]:
+    return (TOKEN if BEYOND.search(text) else PLANE_TOKEN).findall(text)
+
+
 def shape(token: str) -> str:
     """What stands for a word without a vector of its own."""
     if token.isalpha():
@@ -48,36 +68,56 @@ def index_vector(word: str) -> np.ndarray:
     return out
 
 
+def slots_of(vocabulary: list[str]) -> np.ndarray:
+    """The slots that each word's index vector fills; two last rows for what has no vector and for the gaps between texts."""
+    index = np.stack([index_vector(word) for word in vocabulary])
+    places = np.argsort(index == 0, axis=1, kind="stable")[:, :PLACES]
+    filled = 2 * places + (np.take_along_axis(index, places, 1) < 0)
+    return np.concatenate([filled, np.full((2, PLACES), SLOTS - 1)])
+
+
 class Words:
     """Numbers of a text's tokens: the vocabulary's, or of the shape that stands for others."""
 
     def __init__(self, vocabulary: list[str]):
         known = {word: i for i, word in enumerate(vocabulary)}
         other = len(vocabulary)
-        self.number = Bounded(lambda token: known.get(token, known.get(shape(token), other)))
+        self.number = Bounded(lambda token: known[token] if token in known else known.get(shape(token), other))
 
     def __call__(self, text: str) -> tuple[np.ndarray, list[float]]:
         """The numbers, and how often a token is the one before it or the one before that, and the share of distinct ones."""
-        found = TOKEN.findall(text)
+        found = tokens(text)
         n = max(len(found), 1)
         again = [sum(map(eq, found, found[step:])) / n for step in (1, 2)]
-        return np.fromiter(map(self.number.__getitem__, found), np.int64, len(found)), [*again, len(set(found)) / n]
+        return self.numbered(found), [*again, len(set(found)) / n]
+
+    def numbers(self, text: str) -> np.ndarray:
+        return self.numbered(tokens(text))
+
+    def numbered(self, found: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
 
 
 def learn_vocabulary(rows: DataFrame, size: int = VOCABULARY) -> list[str]:
     """The words of most documents and all shapes; counted in Spark, ``size`` of them come to the driver."""
 
-    def counting():
-        def one(batch: pa.RecordBatch):
-            count: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                own = {t for t in TOKEN.findall(text) if len(t) <= 40}
-                count.update(own | {s for s in map(shape, own) if s[1:6] == "signs"})
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
 
-        return one
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
-    counts = rows.select("text").mapInArrow(per_batch(counting), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                own = {t for t in tokens(text) if len(t) <= 40}
+                count.update(own)
+                count.update({shape(t) for t in own if not (t.isalpha() or t.isdigit())} - own)
+            if len(count) > HELD_WORDS:
+                yield out()
+                count.clear()
+        yield out()
+
+    counts = rows.select("text").mapInArrow(counting, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     best = counts.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "word").limit(size)
     return sorted({r["word"] for r in best.collect()} | set(SHAPES))
 
@@ -89,16 +129,33 @@ def learn_vectors(rows: DataFrame, vocabulary: list[str]) -> np.ndarray:
     """
     count = len(vocabulary) + 1
     width = -(-count // SLICES)
+    shared = rows.sparkSession.sparkContext.broadcast(slots_of(vocabulary))  # six numbers a word
 
     def adding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, index = Words(vocabulary), np.stack([*map(index_vector, vocabulary), np.zeros(SIZE, np.float32)])
-        table, seen = np.zeros((count, SIZE), np.float32), False
+        slots, numbers, gap = shared.value, Words(vocabulary), np.full(WINDOW, count, np.int64)
+        times, seen = np.zeros((count + 1) * SLOTS, np.int64), False
+
+        def add(parts: list[np.ndarray]) -> None:
+            ids, other = np.concatenate(parts), count + 1
+            for at in range(0, len(ids), BLOCK):
+                own = ids[at : at + BLOCK + WINDOW]
+                ends = [own[:BLOCK][: len(own) - step] * other + own[step : step + BLOCK] for step in range(1, WINDOW + 1)]
+                pairs, often = np.unique(np.concatenate(ends), return_counts=True)
+                left, right = np.divmod(pairs, other)
+                met = np.concatenate([left[:, None] * SLOTS + slots[right], right[:, None] * SLOTS + slots[left]])
+                times[:] += np.bincount(met.reshape(-1), np.tile(np.repeat(often, PLACES), 2), len(times)).astype(np.int64)
+
+        parts, held = [gap], 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                (ids, _), seen = numbers(text), True
-                for step in range(1, WINDOW + 1):
-                    np.add.at(table, ids[:-step], index[ids[step:]])
-                    np.add.at(table, ids[step:], index[ids[:-step]])
+                parts += numbers.numbers(text), gap
+                held, seen = held + len(parts[-2]), True
+                if held >= BLOCK:
+                    add(parts)
+                    parts, held = [gap], 0
+        add(parts)
+        signed = times.reshape(-1, SLOTS)[:count]
+        table = (signed[:, 0:-1:2] - signed[:, 1::2]).astype(np.float32)
         for i in range(SLICES if seen else 0):
             part = table[i * width : (i + 1) * width]
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "sums"])

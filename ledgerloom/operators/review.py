@@ -44,7 +44,7 @@ def fold_decisions(matches: DataFrame, decisions: DataFrame) -> DataFrame:
     acts = decisions.select("match_id", "action", F.struct("decided_at", "seq", "match_id", "action").alias("place")).distinct()
     pending = written(acts.join(matches.select(F.col("id").alias("match_id"), "document_id", "transaction_id"), "match_id"), "decisions")
     touched = pending.select("document_id").distinct()
-    before = held(matches).join(touched, "document_id", "left_anti")
+    before = written(held(matches).join(touched, "document_id", "left_anti"), "held")
     state = written(matches.join(touched, "document_id", "left_semi").select(
         "id", "document_id", "transaction_id", "status", F.lit(None).cast("string").alias("error")), "decided")
     confirms = F.col("action") == "CONFIRM"

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import (
     exact_dedup,
+    fill_in_middle,
+    filter_audit,
     language_model,
     licenses,
     near_dedup,
@@ -30,10 +32,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": quality.op8_quality,
     "op9_vector_dedup": vector_dedup.op9_vector_dedup,
     "op10_language_model": language_model.op10_language_model,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op7_license_scan": licenses.SQL,
     "op9_vector_dedup": vector_dedup.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_fill_in_middle": fill_in_middle.SQL,
 }

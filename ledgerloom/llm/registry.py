@@ -16,6 +16,7 @@ from ledgerloom.llm import (
     packing,
     pieces,
     quality,
+    substring_dedup,
     token_counts,
     toxicity,
     vector_dedup,
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_model": language_model.op10_language_model,
     "op11_filter_audit": filter_audit.op11_filter_audit,
     "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -42,4 +44,5 @@ SQL: dict[str, str] = {
     "op9_vector_dedup": vector_dedup.SQL,
     "op11_filter_audit": filter_audit.SQL,
     "op12_fill_in_middle": fill_in_middle.SQL,
+    "op13_substring_dedup": substring_dedup.SQL,
 }

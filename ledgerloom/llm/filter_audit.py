@@ -13,22 +13,18 @@ from ledgerloom.scratch import written
 
 FILTERS = "ABCDE"
 MASKS = range(1 << len(FILTERS))
-#: What separates words.
-WHITE = " \t\n\x0b\f\r"
 
 
 def word_totals(rows: DataFrame) -> DataFrame:
     """``(id, h, words, distinct_words)`` of each ``(id, h)`` of ``(id, h, text)`` that has words; h is a hash of the text.
 
-    Every row gives one empty word beside its own: their number tells how often a row of one id and text is repeated.
-    A document's words are counted in the task that reads it; what is shuffled is one row for each of its distinct words.
+    Documents are dealt once, by id and text, and rows that repeat both are made one in each task before. Their words are
+    exploded and aggregated where they then are: no words are shuffled.
     """
-    words = F.split(F.concat(F.lit(" "), F.rtrim("text", F.lit(WHITE))), "[\\x20\\x09-\\x0D]+")
-    each = rows.select("id", "h", F.explode(words).alias("word")).groupBy("id", "h", "word").agg(F.count("*").alias("n"))
-    own = F.col("word") != ""
-    return each.groupBy("id", "h").agg(
-        F.sum(F.when(own, F.col("n"))).alias("all"), F.sum(F.when(~own, F.col("n"))).alias("rows"), F.count_if(own).alias("distinct_words")
-    ).select("id", "h", F.floor(F.col("all") / F.col("rows")).alias("words"), "distinct_words")
+    one = rows.groupBy("id", "h").agg(F.first("text").alias("text"))
+    words = one.select("id", "h", F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word")).where("word <> ''")
+    each = words.groupBy("id", "h", "word").agg(F.count("*").alias("n"))
+    return each.groupBy("id", "h").agg(F.sum("n").alias("words"), F.count("*").alias("distinct_words"))
 
 
 def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:

@@ -77,10 +77,29 @@ def q_amount_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(candidates_sql("doc_auth = tx_auth OR doc_invoice = tx_invoice OR doc_vat = tx_vat"))
 def q_identifier_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scoped, _ = matching.scoped_tables(spark, sf_dir)
-    return counted(blocking.identifier_pairs(docs, scoped).distinct())
+    return counted(blocking.identifier_pairs(docs, scoped))
 
 
-@query(candidates_sql(o.NEAR.format(days=30) + " OR doc_auth = tx_auth OR doc_invoice = tx_invoice OR doc_vat = tx_vat"))
+def newest_sql(condition: str, cap: int) -> str:
+    return o.chain(*o.TO_DOCS) + f""" SELECT doc_id, tx_id FROM (
+        SELECT doc_id, tx_id, row_number() OVER (PARTITION BY doc_id ORDER BY tx_at DESC, tx_id) AS place FROM {o.SCOPED} WHERE {condition}) WHERE place <= {cap}"""
+
+
+@query(newest_sql(o.NEAR.format(days=30), 7))
+def q_newest_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seven newest transactions within 30 days of each receipt."""
+    docs, scoped, _ = matching.scoped_tables(spark, sf_dir)
+    return blocking.newest_within(docs, scoped, M.safety_days, [("scope", "scope")], 7).select("doc_id", "tx_id")
+
+
+@query(newest_sql(o.IDENTIFIED, 3))
+def q_newest_by_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three newest transactions that share an identifier with each receipt, each once whatever it shares."""
+    docs, scoped, _ = matching.scoped_tables(spark, sf_dir)
+    return blocking.newest_by_identifier(docs, scoped, 3).select("doc_id", "tx_id")
+
+
+@query(o.chain(*o.TO_DOCS, o.CAPPED) + " SELECT doc_id, count(*) AS n, min(tx_id) AS first_tx, max(tx_id) AS last_tx FROM chosen GROUP BY doc_id")
 def q_block_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scoped, _ = matching.scoped_tables(spark, sf_dir)
     return counted(blocking.candidate_pairs(docs, scoped))

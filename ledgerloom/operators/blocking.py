@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.constants import MATCHER as M
 from ledgerloom.functions.text import normalize_card, normalize_phone, with_normalized
+from ledgerloom.scratch import written
 
 #: Days of one step of the date key that range joins are dealt by.
 STEP_DAYS = 31
@@ -31,11 +34,15 @@ def scoped_ledger(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("scope", F.explode(scopes))
 
 
-def date_steps(ts: Column, days: int) -> Column:
+def date_step(ts: Column, step: int = STEP_DAYS) -> Column:
+    """The step of ``step`` days that a time lies in."""
+    return F.floor(F.unix_seconds(ts) / (86400 * step))
+
+
+def date_steps(ts: Column, days: int, step: int = STEP_DAYS) -> Column:
     """The steps that a window of ``days`` around a time touches."""
-    day = lambda t: F.floor(F.unix_seconds(t) / (86400 * STEP_DAYS))
     around = F.expr(f"INTERVAL {days} DAYS")
-    return F.sequence(day(ts - around), day(ts + around))
+    return F.sequence(date_step(ts - around, step), date_step(ts + around, step))
 
 
 def window_pairs(docs: DataFrame, ledger: DataFrame, days: int, extra_keys: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -45,7 +52,7 @@ def window_pairs(docs: DataFrame, ledger: DataFrame, days: int, extra_keys: list
     tenant with much of the ledger is dealt over its time and each pair is met once.
     """
     left = docs.where("doc_date is not null").select("doc_id", "scope", "doc_date", F.explode(date_steps(F.col("doc_date"), days)).alias("step"), *[d for d, _ in extra_keys or []])
-    right = ledger.select("tx_id", "scope", "tx_at", F.floor(F.unix_seconds("tx_at") / (86400 * STEP_DAYS)).alias("step"), *[t for _, t in extra_keys or []])
+    right = ledger.select("tx_id", "scope", "tx_at", date_step(F.col("tx_at")).alias("step"), *[t for _, t in extra_keys or []])
     apart = F.abs(F.unix_micros("doc_date") - F.unix_micros("tx_at"))
     joined = left.join(right, ["scope", "step"]).where(apart <= days * 86_400_000_000)
     for d, t in extra_keys or []:
@@ -53,34 +60,105 @@ def window_pairs(docs: DataFrame, ledger: DataFrame, days: int, extra_keys: list
     return joined.select("doc_id", "tx_id", "tx_at")
 
 
+IDENTIFIERS = ("auth", "invoice", "vat")
+
+
+def identifiers(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+    """A row for each identifier that a row of ``rows`` has: ``columns``, field and value."""
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{side}_{f}").alias("value")) for f in IDENTIFIERS])
+    return rows.select(*columns, F.inline(each)).where(F.coalesce("value", F.lit("")) != "")
+
+
 def identifier_pairs(docs: DataFrame, ledger: DataFrame) -> DataFrame:
     """Pairs of one scope with an equal authorization code, invoice number or VAT number, as written, at any date."""
-    parts = []
-    for field in ("auth", "invoice", "vat"):
-        left = docs.where(F.coalesce(F.col(f"doc_{field}"), F.lit("")) != "").select("doc_id", "scope", F.col(f"doc_{field}").alias("value"))
-        right = ledger.where(F.col(f"tx_{field}").isNotNull()).select("tx_id", "tx_at", "scope", F.col(f"tx_{field}").alias("value"))
-        parts.append(left.join(right, ["scope", "value"]).select("doc_id", "tx_id", "tx_at"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    left, right = identifiers(docs, "doc", "doc_id", "scope"), identifiers(ledger, "tx", "tx_id", "tx_at", "scope")
+    return left.join(right, ["scope", "field", "value"]).select("doc_id", "tx_id", "tx_at").distinct()
+
+
+def newest_by_identifier(docs: DataFrame, ledger: DataFrame, cap: int = M.block_cap) -> DataFrame:
+    """Of ``identifier_pairs`` the newest ``cap`` transactions of each document, the smaller id first of equal times.
+
+    The newest of a union are among the newest of each of its parts: the ledger is cut down to ``cap`` rows for each
+    scope, field and value before documents meet it, so a VAT number that a tenant repeats costs ``cap`` rows a document.
+    The group limit runs in each task before the shuffle.
+    """
+    newest = Window.partitionBy("scope", "field", "value").orderBy(F.desc("tx_at"), "tx_id")
+    index = identifiers(ledger, "tx", "tx_id", "tx_at", "scope").withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= cap).drop("rn")
+    met = identifiers(docs, "doc", "doc_id", "scope").join(index, ["scope", "field", "value"]).select("doc_id", "tx_id", "tx_at").distinct()
+    return capped(met.withColumn("block", F.lit(0)), cap).drop("block")
+
+
+def newest_within(docs: DataFrame, ledger: DataFrame, days: int, keys: list[tuple[str, str]], cap: int = M.block_cap) -> DataFrame:
+    """``(doc_id, tx_id, tx_at)``: the newest ``cap`` transactions within ``days`` of a document's date and equal in ``keys``.
+
+    Rows without a date or with a null key meet nothing. The smaller id comes first of equal times. No more than twice
+    ``cap`` rows are joined for a document, however many transactions its window holds: transactions are numbered by
+    time within their key, from counts of each day and places within it, and dealt in runs of ``cap`` numbers. The end of
+    a document's window has a number too, and the ``cap`` transactions up to it lie in two runs. A window function sees
+    one key's rows of one day at a time, or its counts by day.
+    """
+    names = [f"key{i}" for i in range(len(keys))]
+    micros, day = days * 86_400_000_000, F.floor(F.col("at") / 86_400_000_000).alias("day")
+    date = F.unix_micros("doc_date")
+    asked = docs.select(
+        "doc_id", F.lit(None).cast("long").alias("tx_id"), (date + micros).alias("at"), (date - micros).alias("low"), F.lit(0).alias("one"),
+        *[F.col(d).alias(n) for (d, _), n in zip(keys, names, strict=True)])
+    # What a ledger under several scopes repeats is told apart by the keys.
+    known = ledger.select(
+        F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("tx_id").cast("long").alias("tx_id"), F.unix_micros("tx_at").alias("at"), F.lit(None).cast("long").alias("low"), F.lit(1).alias("one"),
+        *[F.col(t).alias(n) for (_, t), n in zip(keys, names, strict=True)])
+    both = asked.unionByName(known).dropna(subset=["at", *names]).select("*", day)
+    sums = both.groupBy(*names, "day").agg(F.sum("one").alias("n"))
+    before = sums.select(*names, "day", (F.sum("n").over(Window.partitionBy(*names).orderBy("day")) - F.col("n")).alias("before"))
+    place = F.sum("one").over(Window.partitionBy(*names, "day").orderBy("at", F.desc("one"), F.desc("tx_id")).rowsBetween(Window.unboundedPreceding, 0))
+    numbered = written(both.withColumn("place", place).join(before, [*names, "day"]).withColumn("number", F.col("before") + F.col("place")).drop("before", "place", "day"), "numbered")
+    run = lambda number: F.floor((number - 1) / cap)
+    ends = numbered.where("one = 0 and number > 0").select("doc_id", "low", *names, F.col("number").alias("last"))
+    ends = ends.select("*", F.explode(F.sequence(run(F.greatest(F.col("last") - cap + 1, F.lit(1))), run(F.col("last")))).alias("run"))
+    dealt = numbered.where("one = 1").select("tx_id", "at", "number", *names, run(F.col("number")).alias("run"))
+    met = ends.join(dealt, [*names, "run"]).where((F.col("number") <= F.col("last")) & (F.col("number") > F.col("last") - cap) & (F.col("at") >= F.col("low")))
+    return met.select("doc_id", "tx_id", F.timestamp_micros("at").alias("tx_at"))
+
+
+#: Ratio of the ends of a cell of amounts, and days of one.
+CELL_RATIO, CELL_DAYS = 1.25, 14
+
+
+def amount_cell(amount: Column) -> Column:
+    """The cell of an amount: logarithmic above the absolute tolerance, one below it."""
+    floor_ = F.greatest(amount.cast("double"), F.lit(float(M.absolute_tolerance)))
+    return F.floor(F.log(floor_) / F.lit(math.log(CELL_RATIO)))
 
 
 def amount_pairs(docs: DataFrame, ledger: DataFrame, days: int) -> DataFrame:
-    """Pairs within the window whose transaction lies in the band of 30 % around the document's amount, 100 at least."""
+    """Pairs within the window whose transaction lies in the band of 30 % around the document's amount, 100 at least.
+
+    Both ranges are joined as one grid of days and amounts beside the scope: a band takes up to five cells of amounts and
+    a window two or three of days, so that what is joined is about twice what is found. A document of no date or no
+    amount, or with an empty band, meets nothing.
+    """
     tolerance = F.greatest(F.lit(M.absolute_tolerance), F.floor(F.col("doc_amount") * F.lit(M.tip) + F.lit(0.5)))
-    banded = docs.where("doc_amount is not null").withColumn("low", F.greatest(F.lit(1), F.col("doc_amount") - tolerance)).withColumn("high", F.col("doc_amount") + tolerance)
-    left = banded.where("doc_date is not null").select("doc_id", "scope", "doc_date", "low", "high", F.explode(date_steps(F.col("doc_date"), days)).alias("step"))
-    right = ledger.select("tx_id", "scope", "tx_at", "tx_amount", F.floor(F.unix_seconds("tx_at") / (86400 * STEP_DAYS)).alias("step"))
+    banded = docs.where("doc_amount is not null and doc_date is not null").withColumn("low", F.greatest(F.lit(1), F.col("doc_amount") - tolerance)).withColumn("high", F.col("doc_amount") + tolerance)
+    left = banded.where("low <= high").select("doc_id", "scope", "doc_date", "low", "high", F.explode(date_steps(F.col("doc_date"), days, CELL_DAYS)).alias("step"))
+    left = left.select("*", F.explode(F.sequence(amount_cell(F.col("low")), amount_cell(F.col("high")))).alias("cell"))
+    right = ledger.select("tx_id", "scope", "tx_at", "tx_amount", date_step(F.col("tx_at"), CELL_DAYS).alias("step"), amount_cell(F.col("tx_amount")).alias("cell"))
     apart = F.abs(F.unix_micros("doc_date") - F.unix_micros("tx_at"))
-    return left.join(right, ["scope", "step"]).where((apart <= days * 86_400_000_000) & F.col("tx_amount").between(F.col("low"), F.col("high"))).select("doc_id", "tx_id", "tx_at")
+    return left.join(right, ["scope", "step", "cell"]).where((apart <= days * 86_400_000_000) & F.col("tx_amount").between(F.col("low"), F.col("high"))).select("doc_id", "tx_id", "tx_at")
+
+
+def through_aliases(docs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Documents, once for each merchant that a learned alias of their name stands for: alias_client and alias_merchant."""
+    known = aliases.select(
+        F.col("client_id").alias("alias_client"), F.col("normalized_alias").alias("doc_core"), F.col("canonical_merchant_name").alias("alias_merchant")).distinct()
+    return with_normalized(docs, "doc_merchant", "doc_core").join(known, "doc_core")
+
+
+ALIAS_KEYS = [("scope", "scope"), ("alias_client", "client_id"), ("alias_merchant", "tx_merchant")]
 
 
 def alias_pairs(docs: DataFrame, ledger: DataFrame, aliases: DataFrame, days: int = M.safety_days) -> DataFrame:
     """Pairs met through a learned alias: the document's name, to the merchant it stands for, to that merchant's rows."""
-    known = aliases.select(F.col("client_id").alias("alias_client"), F.col("normalized_alias").alias("doc_core"), F.col("canonical_merchant_name").alias("tx_merchant"))
-    named = with_normalized(docs, "doc_merchant", "doc_core").join(known, "doc_core")
-    own = ledger.withColumnRenamed("client_id", "alias_client")
-    joined = named.join(own.select("tx_id", "tx_at", "scope", "alias_client", "tx_merchant"), ["scope", "alias_client", "tx_merchant"])
-    near = F.col("doc_date").isNull() | (F.abs(F.unix_micros("doc_date") - F.unix_micros("tx_at")) <= days * 86_400_000_000)
-    return joined.where(near).select("doc_id", "tx_id", "tx_at")
+    return window_pairs(through_aliases(docs, aliases), ledger, days, ALIAS_KEYS[1:])
 
 
 def capped(pairs: DataFrame, cap: int = M.block_cap) -> DataFrame:
@@ -90,21 +168,26 @@ def capped(pairs: DataFrame, cap: int = M.block_cap) -> DataFrame:
 
 
 def candidate_pairs(docs: DataFrame, ledger: DataFrame, aliases: DataFrame | None = None, cap: int = M.block_cap) -> DataFrame:
-    """The union of all blocks as distinct ``(doc_id, tx_id)``.
+    """The union of all blocks as distinct ``(doc_id, tx_id)``: of each block the newest ``cap`` transactions of a document.
 
-    ``doc_date`` is the printed date or else the time of receipt; without either only identifiers are looked up.
+    ``doc_date`` is the printed date or else the time of receipt; without either only identifiers are looked up. All
+    blocks but that of amounts are cut before their pairs are made. The union is dealt by document once, for the caps of
+    documents of several scopes and for what blocks share.
     """
+    scope = [("scope", "scope")]
+    with_card = docs.withColumn("doc_card4", normalize_card("doc_card"))
     blocks = [
-        identifier_pairs(docs, ledger),
-        window_pairs(docs.withColumn("doc_card4", normalize_card("doc_card")), ledger, M.max_days, [("doc_card4", "tx_card")]),
-        amount_pairs(docs, ledger, M.max_days),
-        window_pairs(docs, ledger, M.safety_days),
-    ] + ([alias_pairs(docs, ledger, aliases)] if aliases is not None else [])
+        newest_by_identifier(docs, ledger, cap),
+        newest_within(with_card, ledger, M.max_days, [*scope, ("doc_card4", "tx_card")], cap),
+        capped(amount_pairs(docs, ledger, M.max_days).distinct().withColumn("block", F.lit(2)), cap).drop("block"),
+        newest_within(docs, ledger, M.safety_days, scope, cap),
+    ] + ([newest_within(through_aliases(docs, aliases), ledger, M.safety_days, ALIAS_KEYS, cap)] if aliases is not None else [])
     union = None
     for number, block in enumerate(blocks):
         part = block.withColumn("block", F.lit(number))
         union = part if union is None else union.unionByName(part)
-    return capped(union, cap).select("doc_id", "tx_id").distinct()
+    dealt = union.repartition("doc_id").dropDuplicates(["doc_id", "block", "tx_id"])
+    return capped(dealt, cap).select("doc_id", "tx_id").distinct()
 
 
 def with_frequencies(pairs: DataFrame, merchant_core: str = "tx_core", amount: str = "tx_amount") -> DataFrame:

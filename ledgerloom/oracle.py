@@ -73,8 +73,19 @@ core_scores AS (SELECT *, {round3("CASE WHEN doc_core = '' OR tx_core = '' THEN
 NEAR = "abs(epoch_us(doc_date) - epoch_us(tx_at)) <= {days} * 86400000000"
 BAND = "tx_amount BETWEEN greatest(1, doc_amount - greatest(100, floor(doc_amount * 0.3e0 + 0.5e0))) AND doc_amount + greatest(100, floor(doc_amount * 0.3e0 + 0.5e0))"
 SCOPED = "docs JOIN ledger ON client_id = doc_client"
-PAIRS = f"""
-pairs AS (SELECT docs.*, ledger.* EXCLUDE (part_name, cust, driver_phone) FROM {SCOPED} WHERE {NEAR.format(days=30)} OR doc_auth = tx_auth OR doc_invoice = tx_invoice OR doc_vat = tx_vat)"""
+IDENTIFIED = "(doc_auth = tx_auth OR doc_invoice = tx_invoice OR doc_vat = tx_vat)"
+# Of each block the newest 200 transactions of a document.
+CAPPED = f"""
+blocks AS (
+    SELECT doc_id, tx_id, tx_at, 0 AS block FROM {SCOPED} WHERE {IDENTIFIED}
+    UNION ALL SELECT doc_id, tx_id, tx_at, 1 FROM {SCOPED} WHERE {NEAR.format(days=14)} AND doc_card = tx_card
+    UNION ALL SELECT doc_id, tx_id, tx_at, 2 FROM {SCOPED} WHERE {NEAR.format(days=14)} AND {BAND}
+    UNION ALL SELECT doc_id, tx_id, tx_at, 3 FROM {SCOPED} WHERE {NEAR.format(days=30)}),
+chosen AS (
+    SELECT DISTINCT doc_id, tx_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, block ORDER BY tx_at DESC, tx_id) AS place FROM blocks) WHERE place <= 200)"""
+PAIRS = CAPPED + """,
+pairs AS (
+    SELECT docs.*, ledger.* EXCLUDE (part_name, cust, driver_phone) FROM chosen JOIN docs ON docs.doc_id = chosen.doc_id JOIN ledger ON ledger.tx_id = chosen.tx_id)"""
 FREQUENT = """
 frequent AS (
     SELECT p.*, doc_core, doc_city, doc_branch, tx_core, tx_city, tx_branch, merchant_score,

@@ -23,10 +23,11 @@ def scored(docs: DataFrame, ledger: DataFrame, pairs: DataFrame, aliases: DataFr
     if "tx_city_name" in extra:
         # The city of the ledger's own column counts behind the one in the name.
         right = right.withColumn("tx_city", F.coalesce("tx_city", merchant_city(F.coalesce("tx_city_name", F.lit("")))))
-    named = pairs.join(left, "doc_id").join(right, "tx_id").withColumn("merchant_score", score_prepared()).drop(*[f"{side}_{part}" for side in ("doc", "tx") for part in views.NAME_PARTS])
     # A document's candidates are bounded by the blocks' caps. Dealt by document once, they stay where they are for the
-    # frequencies, the ranking and the outcome.
-    scored_names = blocking.with_frequencies(named.repartition("doc_id"))
+    # document's columns, the frequencies, the ranking and the outcome.
+    dealt = pairs.join(right, "tx_id").repartition("doc_id").join(left, "doc_id")
+    named = dealt.withColumn("merchant_score", score_prepared()).drop(*[f"{side}_{part}" for side in ("doc", "tx") for part in views.NAME_PARTS])
+    scored_names = blocking.with_frequencies(named)
     if aliases is None:
         with_alias = scored_names.withColumn("alias_score", F.lit(None).cast("double"))
     else:

@@ -1,74 +1,126 @@
-"""One transaction for each document, of the largest total score."""
+"""One transaction for each document, of the largest total score: an auction in rounds over the cluster."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.constants import MATCHER as M
-from ledgerloom.operators.components import connected_components
+from ledgerloom.scratch import drop, written
 
+#: Scores count in thousandths, bids in parts of one. The last prices differ from the best ones by a part at most.
+STEPS, PARTS = 1000, 16
+#: The least raise of the first bids, and the part that it is cut to in each phase.
+START, FINER = 32 * PARTS, 8
+#: Kinds of those who bid and of what they bid for.
+DOCUMENT, TRANSACTION = 0, 1
 
-def best_assignment(score: np.ndarray) -> list[int]:
-    """For each row the column it gets, -1 for none, so that the sum of scores is largest; scores are 0 or more.
 
-    Shortest augmenting paths with potentials; a row may always stay alone, at no score.
+def best_edges(edges: DataFrame) -> DataFrame:
+    """``(document_id, transaction_id, score, value)``: the best of repeated edges, clamped to [0, 1]; none that are null or nothing."""
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
+    best = edges.where("document_id is not null and transaction_id is not null and score is not null").groupBy("document_id", "transaction_id").agg(F.max(score).alias("score"))
+    return best.withColumn("value", F.round(F.col("score") * STEPS).cast("long") * PARTS).where("value > 0")
+
+
+def settled_alone(edges: DataFrame) -> DataFrame:
+    """Edges that are in a best assignment for certain: worth as much as the next best edges of both their ends together."""
+    by = lambda a, b: Window.partitionBy(a).orderBy(F.desc("value"), b)
+    ends = []
+    for own, other in (("document_id", "transaction_id"), ("transaction_id", "document_id")):
+        two = edges.withColumn("place", F.row_number().over(by(own, other))).where("place <= 2")
+        first = F.max_by(other, -F.col("place")).alias(other)
+        ends.append(two.groupBy(own).agg(first, F.coalesce(F.max(F.when(F.col("place") == 2, F.col("value"))), F.lit(0)).alias(f"next_{own}")))
+    return edges.join(ends[0], ["document_id", "transaction_id"]).join(ends[1], ["document_id", "transaction_id"]).where(
+        "value >= next_document_id + next_transaction_id").select(*edges.columns)
+
+
+def auction_graph(edges: DataFrame) -> DataFrame:
+    """``(side, bidder, kind, item, value)``: documents bid for transactions, and the same once more mirrored, worth nothing.
+
+    A document may take its own mirror and a transaction's mirror that transaction, so that nobody need go without: an
+    assignment of all bidders is one of some documents, worth as much.
     """
-    rows, columns = score.shape
-    cost = np.hstack([-score, np.zeros((rows, rows))])
-    width = columns + rows
-    u, v = np.zeros(rows + 1), np.zeros(width + 1)
-    owner = np.zeros(width + 1, int)  # of each column, one more than its row
-    for row in range(1, rows + 1):
-        owner[0] = row
-        at, least, before, done = 0, np.full(width + 1, np.inf), np.zeros(width + 1, int), np.zeros(width + 1, bool)
-        while owner[at]:
-            done[at] = True
-            reduced = cost[owner[at] - 1] - u[owner[at]] - v[1:]
-            better = ~done[1:] & (reduced < least[1:])
-            least[1:][better] = reduced[better]
-            before[1:][better] = at
-            free = np.where(done, np.inf, least)
-            free[0] = np.inf
-            following = int(np.argmin(free))
-            delta = free[following]
-            u[owner[done]] += delta
-            v[done] -= delta
-            least[~done] -= delta
-            at = following
-        while at:
-            owner[at] = owner[before[at]]
-            at = before[at]
-    out = [-1] * rows
-    for column in range(1, columns + 1):
-        if owner[column] and score[owner[column] - 1, column - 1] > 0:
-            out[owner[column] - 1] = column - 1
+    row = lambda side, bidder, kind, item, value: F.struct(
+        F.lit(side).alias("side"), F.col(bidder).alias("bidder"), F.lit(kind).alias("kind"), F.col(item).alias("item"), value.cast("long").alias("value"))
+    d, t = "document_id", "transaction_id"
+    both = F.array(row(DOCUMENT, d, TRANSACTION, t, F.col("value")), row(TRANSACTION, t, DOCUMENT, d, F.lit(0)))
+    own = lambda a, side, kind: edges.select(a).distinct().select(F.inline(F.array(row(side, a, kind, a, F.lit(0)))))
+    return edges.select(F.inline(both)).unionByName(own(d, DOCUMENT, DOCUMENT)).unionByName(own(t, TRANSACTION, TRANSACTION))
+
+
+BIDDER, ITEM = ["side", "bidder"], ["kind", "item"]
+
+
+def offers(graph: DataFrame, held: DataFrame, bidders: DataFrame) -> DataFrame:
+    """What each of ``bidders`` likes best at today's prices, and what the second best is worth to it."""
+    open_ = graph.join(bidders, BIDDER, "left_semi").join(held.select(*ITEM, "price"), ITEM).withColumn("gain", F.col("value") - F.col("price"))
+    two = open_.withColumn("place", F.row_number().over(Window.partitionBy(*BIDDER).orderBy(F.desc("gain"), *ITEM))).where("place <= 2")
+    first: Column = F.col("place") == 1
+    return two.groupBy(*BIDDER).agg(
+        *[F.max(F.when(first, F.col(c))).alias(c) for c in (*ITEM, "price", "gain")], F.max(F.when(~first, F.col("gain"))).alias("next"))
+
+
+def auction(graph: DataFrame, start: int = START, most_rounds: int = 2000) -> DataFrame:
+    """``(kind, item, side, bidder)``: what everyone holds in the end, worth the best total less a part for each bidder.
+
+    In a round, all who hold nothing bid for what they like best, by what it is worth to them above their second best and
+    the least raise; each item goes to the highest bid, and whoever held it is free again. Prices never fall. The least
+    raise is large first and cut in phases; who would not hold what he holds at the finer one bids anew. What moves in a
+    round is an edge of a free bidder, a bid, an item: no group is gathered, and bids on one item are combined in each
+    task before they meet.
+    """
+    nobody = [F.lit(None).cast("int").alias("side"), F.lit(None).cast(graph.schema["bidder"].dataType).alias("bidder")]
+    held = written(graph.select(*ITEM).distinct().select(*ITEM, F.lit(0).cast("long").alias("price"), *nobody), "held")
+    bidders = written(graph.select(*BIDDER).distinct(), "bidders")
+    everyone, raise_, rounds = bidders.count(), start, 0
+    while True:
+        while held.where("bidder is not null").count() < everyone:
+            rounds += 1
+            if rounds > most_rounds:
+                raise RuntimeError(f"the auction did not end in {most_rounds} rounds")
+            free = bidders.join(held.where("bidder is not null").select(*BIDDER), BIDDER, "left_anti")
+            bids = offers(graph, held, free).select(*BIDDER, *ITEM, (F.col("price") + F.col("gain") - F.col("next") + raise_).alias("bid"))
+            won = bids.groupBy(*ITEM).agg(F.max(F.struct("bid", *BIDDER)).alias("won"))
+            held = replaced(held, held.join(won, ITEM, "left").select(
+                *ITEM, F.coalesce("won.bid", "price").alias("price"), *[F.coalesce(F.col(f"won.{c}"), F.col(c)).alias(c) for c in BIDDER]))
+        if raise_ <= 1:
+            return held
+        raise_ = max(1, raise_ // FINER)
+        likes = offers(graph, held, bidders).select(*BIDDER, F.col("gain").alias("best"))
+        leaves = held.join(graph, [*ITEM, *BIDDER]).join(likes, BIDDER).where(F.col("value") - F.col("price") < F.col("best") - raise_).select(*ITEM, F.lit(True).alias("leaves"))
+        held = replaced(held, held.join(leaves, ITEM, "left").select(*ITEM, "price", *[F.when(F.col("leaves").isNull(), F.col(c)).alias(c) for c in BIDDER]))
+
+
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` written, and the table it was made from deleted."""
+    out = written(new, "held")
+    drop(old)
     return out
 
 
 def assign(edges: DataFrame, minimum: float = M.assignment_minimum) -> DataFrame:
     """``(document_id, transaction_id, score)`` of the best one-to-one assignment, without scores below ``minimum``.
 
-    Edges are clamped to [0, 1] and the best of repeated ones counts. Documents that share no candidate, directly or by
-    way of others, don't affect one another: each connected component is solved by itself, a group of its own.
+    Edges are clamped to [0, 1], the best of repeated ones counts, null ends or scores are ignored; an empty table gives
+    an empty table. Documents may stay alone. Scores count in thousandths. The sum is the largest there is for documents
+    that compete, directly or by way of others, with fewer than 16 documents and transactions, and within a 16th of a
+    thousandth for each of them beyond. Edges that nothing else can outbid are settled first, until there are none.
     """
-    best = edges.groupBy("document_id", "transaction_id").agg(
-        F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))).alias("score"))
-    ends = best.select((F.col("document_id") * 2).alias("a"), (F.col("transaction_id") * 2 + 1).alias("b"))
-    roots = connected_components(ends, "a", "b")
-    grouped = best.join(roots.select(F.shiftright("node", 1).alias("document_id"), "root").where("node % 2 = 0"), "document_id")
-
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        documents, transactions = sorted(set(group.document_id)), sorted(set(group.transaction_id))
-        row = {d: i for i, d in enumerate(documents)}
-        column = {t: i for i, t in enumerate(transactions)}
-        score = np.zeros((len(documents), len(transactions)))
-        for d, t, s in zip(group.document_id, group.transaction_id, group.score, strict=True):
-            score[row[d], column[t]] = s
-        chosen = [(documents[i], transactions[j], score[i, j]) for i, j in enumerate(best_assignment(score)) if j >= 0]
-        return pd.DataFrame([c for c in chosen if c[2] >= minimum], columns=["document_id", "transaction_id", "score"]).astype(
-            {"document_id": "int64", "transaction_id": "int64", "score": "float64"})
-
-    return grouped.groupBy("root").applyInPandas(solve, "document_id long, transaction_id long, score double")
+    left = written(best_edges(edges), "edges")
+    done = None
+    while True:
+        sure = written(settled_alone(left), "settled")
+        done = sure if done is None else done.unionByName(sure)
+        if sure.isEmpty():
+            break
+        rest = written(left.join(sure.select("document_id"), "document_id", "left_anti").join(sure.select("transaction_id"), "transaction_id", "left_anti"), "edges")
+        drop(left)
+        left = rest
+    if not left.isEmpty():
+        graph = written(auction_graph(left), "graph")
+        held = auction(graph)
+        drop(graph)
+        pairs = held.where(f"kind = {TRANSACTION} and side = {DOCUMENT}").select(F.col("bidder").alias("document_id"), F.col("item").alias("transaction_id"))
+        done = done.unionByName(left.join(pairs, ["document_id", "transaction_id"]))
+    return done.where(F.col("score") >= minimum).select("document_id", "transaction_id", "score")

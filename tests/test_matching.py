@@ -5,11 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import itertools
+import random
 
-import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -139,19 +137,46 @@ def test_rematch_and_fold_take_all_receipts(spark):
     assert folded == {r.doc_id for r in views.receipts(spark, SF).collect()}
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.lists(st.integers(0, 9), min_size=4, max_size=4), min_size=1, max_size=4))
-def test_assignment_is_best(rows):
-    score = np.array(rows) / 10
-    chosen = assignment.best_assignment(score)
-    taken = [c for c in chosen if c >= 0]
-    assert len(set(taken)) == len(taken)
-    best = 0.0
-    for columns in itertools.product(range(-1, 4), repeat=len(rows)):
-        own = [c for c in columns if c >= 0]
-        if len(set(own)) == len(own):
-            best = max(best, sum(score[i, c] for i, c in enumerate(columns) if c >= 0))
-    assert sum(score[i, c] for i, c in enumerate(chosen) if c >= 0) == pytest.approx(best)
+def best_total(scores):
+    """The largest sum of scores, by trying every assignment of a few documents."""
+    documents, best = sorted({d for d, _ in scores}), 0.0
+    for chosen in itertools.product(*[[None, *(t for e, t in scores if e == d)] for d in documents]):
+        taken = [t for t in chosen if t is not None]
+        if len(set(taken)) == len(taken):
+            best = max(best, sum(scores[d, t] for d, t in zip(documents, chosen, strict=True) if t is not None))
+    return best
+
+
+def test_assignment_is_best(spark):
+    """Many small groups of competitors, with ties, in one auction, against every assignment of each."""
+    rng, rows = random.Random(4), []
+    for group in range(80):
+        few = [round(rng.random(), 3) for _ in range(rng.choice([1, 2, 5]))] + [0.0, 1.0, 0.001]
+        rows += [(group * 10 + d, group * 10 + t, rng.choice(few) if rng.random() < 0.7 else round(rng.random(), 3))
+                 for d in range(rng.randint(1, 4)) for t in range(rng.randint(1, 4)) if rng.random() < 0.8]
+    groups = {}
+    for d, t, s in rows:
+        own = groups.setdefault(d // 10, {})
+        own[d, t] = max(s, own.get((d, t), 0.0))
+    odd = [(None, 1, 0.9), (1, None, 0.9), (5000, 5001, None), (6000, 6001, 7.5), (6000, 6001, 0.2), (6002, 6003, -1.0)]
+    edges = spark.createDataFrame(rows + rows[::3] + odd, "document_id long, transaction_id long, score double")
+    got = assignment.assign(edges, minimum=0.0).collect()
+    assert len({r.document_id for r in got}) == len({r.transaction_id for r in got}) == len(got)
+    for group, scores in groups.items():
+        own = [r for r in got if r.document_id < 5000 and r.document_id // 10 == group]
+        assert all(scores[r.document_id, r.transaction_id] == r.score for r in own)
+        assert sum(r.score for r in own) == pytest.approx(best_total(scores)), group
+    assert [(r.document_id, r.score) for r in got if r.document_id >= 5000] == [(6000, 1.0)]
+    assert assignment.assign(edges.limit(0)).count() == 0
+
+
+def test_assignment_of_a_ring(spark):
+    """One group as long as all documents: everyone's second choice is the next one's first; within a part for each."""
+    n = 12
+    rows = [(i, i, 0.9) for i in range(n)] + [(i, (i + 1) % n, 0.9 if i % 2 else 0.8) for i in range(n)] + [(n + i, i, 0.85) for i in range(0, n, 6)]
+    got = assignment.assign(spark.createDataFrame(rows, "document_id long, transaction_id long, score double"), minimum=0.0).collect()
+    assert len({r.transaction_id for r in got}) == len(got) == n
+    assert sum(r.score for r in got) >= 0.9 * n - n * 2 / 1000 / 16
 
 
 def test_assignment_example(spark):

@@ -226,11 +226,11 @@ def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Ite
 
     An n-gram's count is how often it occurs, below the highest order how many different words it follows. Handed on are
     n-grams of a word less, each with how many it ends here and how much more often. Sums over the corpus are handed on as shard -1:
-    for each level the counts that are 1, 2, 3 and 4 and all, then all tokens.
+    for each level the counts that are 1, 2, 3 and 4 and all, then all tables written, then all tokens.
     """
 
     def writing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, parts, sums = 0, [], np.zeros(5 * order + 1, np.int64)
+        shard, parts, sums = 0, [], np.zeros(5 * order + 2, np.int64)
         for batch in batches:
             for number, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 shard = number
@@ -250,16 +250,16 @@ def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Ite
             key, columns = key[first], [c[first] for c in columns]
             del by, first, values
             if level == 1:
-                store.put("grams-1", shard, key, often, count)
+                sums[-2] += store.put("grams-1", shard, key, often, count)
                 sums[-1] += often.sum()
             else:
-                store.put(f"grams-{level}", shard, key, count)
+                sums[-2] += store.put(f"grams-{level}", shard, key, count)
                 context = hash_of((words[c] for c in columns[:-1]), len(key))
                 by, starts = runs(context)
                 each = count[by]
                 of = np.stack([np.add.reduceat(v, starts, dtype=np.int64) for v in (each, each == 1, each == 2, each > 2)], 1)
                 more = (of[:, 0] > 1) | (of[:, 1] != 1)  # a context not kept was seen once
-                store.put(f"contexts-{level}", shard, context[by[starts]][more], *of[more].T)
+                sums[-2] += store.put(f"contexts-{level}", shard, context[by[starts]][more], *of[more].T)
                 del context, each, of
                 columns = columns[1:]
                 by, starts = runs(hash_of((words[c] for c in columns), len(key)))
@@ -283,9 +283,19 @@ def train(rows: DataFrame, shards: int, order: int) -> tuple[Store, Totals]:
     handed = corpus_counts(rows, shards, order)
     for level in range(order, 0, -1):
         handed = handed.groupBy("shard").applyInArrow(level_of(store, level, order, shards), "shard int, blob binary")
-    # A row of a few numbers for each shard.
-    sums = np.sum([np.zeros(5 * order + 1, np.int64), *(np.frombuffer(row["blob"], np.int64) for row in handed.collect())], axis=0)
-    levels = sums[:-1].reshape(order, 5)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(5 * order + 2, np.int64)
+        for batch in batches:
+            for blob in batch.column("blob").to_pylist():
+                sums += np.frombuffer(blob, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["blob"])
+
+    # A row of a few numbers for each task.
+    each = handed.select("blob").mapInArrow(summed, "blob binary").collect()
+    sums = np.sum([np.zeros(5 * order + 2, np.int64), *(np.frombuffer(row["blob"], np.int64) for row in each)], axis=0)
+    store.seal(shards, int(sums[-2]))
+    levels = sums[:-2].reshape(order, 5)
     of_words = discounts(levels[0, :4])
     pairs, distinct = int(levels[1, 4]), int(levels[0, 4])
     freed = float(of_words[1:] @ [levels[0, 0], levels[0, 1], distinct - levels[0, 0] - levels[0, 1]]) / max(pairs, 1)
@@ -348,7 +358,8 @@ def model_scores(
     columns other than id and text are not looked at.
 
     Words and n-grams are known by hashes of 64 bits, of which the stored tables keep 48 within each shard. A shard is a
-    range of contexts' hashes; their number follows the bytes of the texts, so that a shard's size doesn't.
+    range of contexts' hashes; their number follows the bytes of the texts, so that a shard's size doesn't. A table that
+    has been lost since it was written is an error.
     """
     if order < 2:
         raise ValueError("order is the number of words of an n-gram, two or more")

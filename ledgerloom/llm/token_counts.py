@@ -96,11 +96,10 @@ def count_pieces(rows: DataFrame, model: str, shards: int) -> Store:
         kept = keys >> np.uint64(16)  # what the table keeps of a key
         first = np.concatenate([[True], kept[1:] != kept[:-1]])
         pieces[first & np.concatenate([kept[1:] == kept[:-1], [False]])] = 0  # of several pre-tokens: none counts here
-        store.put("pieces", shard, keys[first], pieces[first])
-        yield pa.RecordBatch.from_arrays([pa.array([len(listed)], pa.int64())], ["n"])
+        yield pa.RecordBatch.from_arrays([pa.array([store.put("pieces", shard, keys[first], pieces[first])], pa.int64())], ["n"])
 
     each = rows.select("text").mapInArrow(finding, "shard int, pre_tokens string")
-    each.groupBy("shard").applyInArrow(counting, "n long").agg(F.sum("n")).collect()
+    store.seal(shards, each.groupBy("shard").applyInArrow(counting, "n long").agg(F.sum("n")).first()[0] or 0)
     return store
 
 

@@ -50,6 +50,16 @@ def plain(token: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1", word)
 
 
+def near_by(places: list[int], others: list[int], most: int) -> int:
+    """How many of ``places`` have one of ``others``, both in order, within ``most``."""
+    if not places or not others:
+        return 0
+    at, known = np.array(places), np.array(others)
+    after = np.searchsorted(known, at)
+    gap = np.minimum(np.abs(at - known[np.maximum(after - 1, 0)]), np.abs(known[np.minimum(after, len(known) - 1)] - at))
+    return int((gap <= most).sum())
+
+
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
     """Dense features of a text; a text without words has zeros."""
     tokens = WORD.findall(text)
@@ -63,7 +73,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     whole = {w for w in weight if w in lexicon}
     at = [i for i, w in enumerate(words) if w in weight] if weight else []
     persons = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-    close = sum(1 for i in at if any(abs(i - j) <= NEAR for j in persons)) if at and persons else 0
+    close = near_by(at, persons, NEAR)
     odd = {t for t in set(tokens) if not t.isalpha()}
     disguised = {t for t in odd if bare(t) not in weight and any(c.isalpha() for c in t) and INNER.search(t.strip(EDGE)) or any(c.isdigit() for c in t) and any(c.isalpha() for c in t)}
     hidden = {t for t in disguised if any(k in lexicon for k in keys(plain(t)))}

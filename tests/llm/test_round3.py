@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from compare import differences, oracle
 from conftest import SF
-from ledgerloom.llm import fill_in_middle, filter_audit, registry, substring_dedup
+from ledgerloom.llm import fill_in_middle, filter_audit, hash_tables, registry, substring_dedup, toxicity
 from test_llm import empty, odd_documents
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -204,3 +208,88 @@ def test_substring_dedup_odd(spark):
     repeated = spark.createDataFrame([(5, long), (5, long), (5, long + " tail"), (None, long), (9, long)], "doc_id long, text string")
     rows = [(r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(repeated).collect()]
     assert sorted(rows, key=repr) == sorted([(5, 40, 40), (5, 40, 40), (5, 41, 40), (None, 40, 0), (9, 40, 40)], key=repr)
+
+
+# --- tables of hashes -------------------------------------------------------------------------------------------------
+
+
+def test_tables_that_are_lost_or_not_shared(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    store, shards = hash_tables.Store(spark, "test"), 700
+    keys = np.unique(rng.integers(0, 1 << 64, 5000, np.uint64))
+    keys = keys[np.append(True, np.diff(keys >> np.uint64(16)) > 0)]
+    shard = hash_tables.shard_of(keys, shards)
+    files = sum(store.put("k", s, keys[shard == s], np.arange(len(keys))[shard == s], shard[shard == s]) for s in range(shards))
+    assert store.put("k", 5, keys[:0], keys[:0]) == 0
+    with pytest.raises(FileNotFoundError, match="share"):
+        store.seal(shards, files + 1)
+    store.seal(shards, files)
+    monkeypatch.setattr(hash_tables, "MOST_OPEN", 20)
+    look = hash_tables.Shards(store, "k", shards, (-1, -1))
+    wanted = np.concatenate([keys, rng.integers(0, 1 << 64, 5000, np.uint64)])
+    known = {k: i for i, k in enumerate((keys >> np.uint64(16)).tolist())}
+    want = [known.get(k, -1) for k in (wanted >> np.uint64(16)).tolist()]
+    assert look(wanted, wanted)[:, 0].tolist() == want and len(look.open) <= 20
+    assert look(wanted[:0], wanted[:0]).shape == (0, 2)
+    assert (hash_tables.Shards(store, "other", shards, (7,))(keys, keys) == 7).all()
+    os.remove(f"{store.path}/k.{shard[0]}")
+    with pytest.raises(FileNotFoundError):
+        hash_tables.Shards(store, "k", shards, (-1, -1))(keys, keys)
+
+
+# --- toxicity ---------------------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)), st.integers(0, 9))
+def test_second_person_proximity(places, others, most):
+    a, b = sorted(places), sorted(others)
+    assert toxicity.near_by(a, b, most) == sum(any(abs(i - j) <= most for j in b) for i in a)
+
+
+def test_features_of_very_long_texts():
+    began = time.time()
+    toxicity.features("you idiot " * 200_000, {"idiot": 2.0})
+    assert time.time() - began < 30  # every hit beside every second person took hours
+
+
+def test_trees_against_force():
+    """Rows fall through the trees by their raw values, and the first split is the best of all by its gain."""
+    rng = np.random.default_rng(0)
+    x = np.round(rng.random((400, 3)), 2)
+    y = ((x[:, 1] > 0.6) ^ (rng.random(400) < 0.1)).astype(float)
+    model = toxicity.Boosted.fit(x, y, rounds=6, depth=2)
+
+    def walked(row):
+        score = model.start
+        for feature, cut, value in model.trees:
+            node = 0
+            for _ in range(2):
+                edges = model.edges[feature[node]]
+                node = 2 * node + 1 + (cut[node] < len(edges) and row[feature[node]] > edges[cut[node]])
+            score += value[node - 3]
+        return score
+
+    assert model(x) == pytest.approx([walked(row) for row in x])
+    p = 1 / (1 + math.exp(-model.start))
+    part = lambda rows: sum(y[rows] - p) ** 2 / (rows.sum() * p * (1 - p) + 2.0)
+    gains = {(f, c): part(x[:, f] <= e) + part(x[:, f] > e) for f in range(3) for c, e in enumerate(model.edges[f]) if min((x[:, f] <= e).sum(), (x[:, f] > e).sum()) >= 10}
+    feature, cut, _ = model.trees[0]
+    assert gains[feature[0], cut[0]] == pytest.approx(max(gains.values()))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.booleans()), min_size=1, max_size=40))
+def test_isotonic_against_force(rows):
+    """A block's rate is, at each of its scores, the largest over beginnings of the least mean over ends."""
+    score, y = np.array([s for s, _ in rows], float), np.array([h for _, h in rows], float)
+    middle, rate = toxicity.isotonic(score, y)
+    known = np.unique(score)
+    force = [max(min(y[(score >= a) & (score <= b)].mean() for b in known[known >= k]) for a in known[known <= k]) for k in known]
+    want = {}
+    for k, f in zip(known, force, strict=True):
+        own = score == k
+        hits, n, total = want.get(round(f, 12), (0, 0, 0))
+        want[round(f, 12)] = (hits + y[own].sum(), n + own.sum(), total + score[own].sum())
+    assert middle == pytest.approx([t / n for _, n, t in want.values()])
+    assert rate == pytest.approx(np.maximum.accumulate([(h + 0.01) / (n + 0.02) for h, n, _ in want.values()]))

@@ -42,12 +42,20 @@ def fingerprint(auth: Column, invoice: Column, vat: Column, merchant_core: Colum
 
 
 def first_of(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """``rows`` with duplicate_of: the first row's id where the key came before; null keys never collide."""
-    known = F.lit(True)
-    for k in key:
-        known = known & F.col(k).isNotNull()
-    first = F.first("id").over(Window.partitionBy(*key).orderBy(*order))
-    return rows.withColumn("duplicate_of", F.when(known & (first != F.col("id")), first))
+    """``rows`` with duplicate_of: the first row's id where the key came before; null keys never collide.
+
+    ``order`` names columns that tell rows of one key apart. The first row of a key is an aggregate, combined in each
+    task; only rows with a key that others share look it up. A key that a third of all rows share is one row there, so
+    the join can be split.
+    """
+    place = F.struct(*[F.col(c) for c in order], F.col("id").alias("_id"))
+    firsts = rows.dropna(subset=key).groupBy(*key).agg(F.min(place).alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    # Rows of null keys meet nothing; they are dealt by their id, not all to one task.
+    known = F.least(F.lit(True), *[F.col(k).isNotNull() for k in key])
+    salted = rows.withColumn("_salt", F.when(known, F.lit(0).cast("long")).otherwise(F.xxhash64("id")))
+    met = salted.join(firsts.withColumn("_salt", F.lit(0).cast("long")), [*key, "_salt"], "left")
+    first = F.col("_first")["_id"]
+    return met.select(*rows.columns, F.when(first != F.col("id"), first).alias("duplicate_of"))
 
 
 def survivors(rows: DataFrame, keys: list[list[str]], order: str = "id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.constants import MATCHER as M
@@ -31,6 +31,11 @@ def matchable(documents: DataFrame) -> DataFrame:
         *[F.try_element_at(e["field_confidences"], F.lit(key)).alias(f"conf_{name}") for name, key in RELIABILITIES.items()])
 
 
+def unreadable_date(printed: Column) -> Column:
+    """Whether a date is printed but none that can be read; no date at all is another thing."""
+    return (F.trim(F.coalesce(printed, F.lit(""))) != "") & F.try_to_timestamp(printed).isNull()
+
+
 def identified(received: DataFrame, client_email: DataFrame, ledger: DataFrame) -> DataFrame:
     """Received documents with doc_id, owner_key and content_hash, one for each provider id."""
     owned = dedup.owner_keys(received, client_email, ledger).withColumn("content_hash", dedup.content_hash(F.col("content"))).withColumn(
@@ -40,16 +45,17 @@ def identified(received: DataFrame, client_email: DataFrame, ledger: DataFrame)
 
 
 def marked_duplicates(documents: DataFrame, stored: DataFrame | None, key: str) -> DataFrame:
-    """``documents`` with duplicate_of: the stored document, or the first of these, of the same owner and ``key``."""
-    order = Window.partitionBy("owner_key", key).orderBy("received_at", "external_id", "doc_id")
-    first = F.when(F.col(key).isNotNull(), F.first("doc_id").over(order))
-    found = documents.withColumn("_first", F.when(first != F.col("doc_id"), first))
+    """``documents`` with duplicate_of: the stored document, or the first of these, of the same owner and ``key``.
+
+    The first is an aggregate, so that a key that many documents share is a row a task; null keys meet nothing.
+    """
+    own = dedup.first_of(documents.withColumn("id", F.col("doc_id")), ["owner_key", key], ["received_at", "external_id", "id"]).drop("id")
     if stored is not None:
         old = stored.where(F.col(key).isNotNull() & F.col("duplicate_of").isNull()).groupBy("owner_key", key).agg(F.min("doc_id").alias("_old"))
-        found = found.join(old, ["owner_key", key], "left")
+        own = own.join(old, ["owner_key", key], "left")
     else:
-        found = found.withColumn("_old", F.lit(None).cast("long"))
-    return found.withColumn("duplicate_of", F.coalesce("_old", "_first")).drop("_old", "_first")
+        own = own.withColumn("_old", F.lit(None).cast("long"))
+    return own.withColumn("duplicate_of", F.coalesce("_old", "duplicate_of")).drop("_old")
 
 
 def ingested(
@@ -61,12 +67,12 @@ def ingested(
     ``received`` are (source, external_id, sender_identifier, received_at, content, mime_type); ``extract`` adds
     ``extracted`` and, where it failed, ``error``. ``stored`` are earlier results of this function. A document whose
     provider id is stored is left out; one whose content or fingerprint its owner has sent before is a DUPLICATE, which
-    no later one can be a duplicate of; one that couldn't be read is FAILED; the others are MATCHED, NEEDS_REVIEW or
+    no later one can be a duplicate of; one that couldn't be read, or whose printed date can't, is FAILED; the others are MATCHED, NEEDS_REVIEW or
     UNMATCHED. The two tables are written to the shared folder once, so that both are of one run.
     """
     new = identified(received, client_email, ledger)
     if stored is not None:
-        new = new.join(stored.select("doc_id"), "doc_id", "left_anti")
+        new = new.join(stored.select("source", "external_id"), ["source", "external_id"], "left_anti")
     hashed = written(marked_duplicates(new, stored, "content_hash"), "received")
     read = extract(hashed.where("duplicate_of is null").drop("duplicate_of"))
     if "error" not in read.columns:
@@ -76,8 +82,10 @@ def ingested(
     printed = named.withColumn("fingerprint", dedup.fingerprint(*fields, F.col("extracted")["qr_payload"])).drop("doc_core")
     probed = written(marked_duplicates(printed.drop("content"), stored, "fingerprint"), "extracted")
     unread = (F.col("doc_type") == "UNKNOWN") | (F.coalesce(F.col("extracted")["extraction_confidence"], F.lit(0.0)) < M.min_extraction) | F.col("doc_amount").isNull()
-    failed = F.when(F.col("error").isNotNull(), "EXTRACTION_ERROR").when(F.coalesce(unread, F.lit(True)), "LOW_QUALITY_EXTRACTION")
-    judged = probed.withColumn("failure", F.when(F.col("duplicate_of").isNull(), failed))
+    bad_date = unreadable_date(F.col("extracted")["document_date"])
+    failed = F.when(F.col("error").isNotNull(), "EXTRACTION_ERROR").when(F.coalesce(unread, F.lit(True)), "LOW_QUALITY_EXTRACTION").when(bad_date, "PIPELINE_ERROR")
+    judged = probed.withColumn("failure", F.when(F.col("duplicate_of").isNull(), failed)).withColumn("error", F.when(
+        F.col("failure") == "PIPELINE_ERROR", F.concat(F.lit("pipeline: unreadable date "), F.col("extracted")["document_date"])).otherwise(F.col("error")))
     good = judged.where("duplicate_of is null and failure is null")
     final = written(matching.match(good.select(*[c for c in good.columns if c.startswith(("doc_", "conf_"))], "source", "sender_identifier", "received_at"),
                                    ledger, client_email, matches, aliases, audit_rate), "matched")

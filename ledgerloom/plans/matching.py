@@ -10,6 +10,7 @@ from ledgerloom.functions.scoring import score_merchant, score_pairs, score_prep
 from ledgerloom.functions.text import merchant_city, normalize_phone
 from ledgerloom.operators import assignment, blocking, decision
 from ledgerloom.plans import views
+from ledgerloom.scratch import written
 
 
 def scored(docs: DataFrame, ledger: DataFrame, pairs: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -80,8 +81,8 @@ def rematch_scope(documents: DataFrame, client_email: DataFrame, transactions: D
     return documents.where("status = 'UNMATCHED'").withColumn("_sender", own).join(senders, "_sender", "left_semi").drop("_sender")
 
 
-def rematch(unmatched: DataFrame, ledger: DataFrame, client_email: DataFrame, matches: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Unmatched documents matched anew, with one transaction each: ``(doc_id, status, status_reason, tx_id, score)``.
+def rematched(unmatched: DataFrame, ledger: DataFrame, client_email: DataFrame, matches: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Unmatched documents matched anew, with one transaction each: doc_id, status, status_reason, tx_id, score and the candidates.
 
     Candidates that a reviewer has rejected for a document stay out. Among all plausible candidates the assignment of
     the largest sum is taken; a document that loses its own best candidate, or gets none, goes to review.
@@ -90,8 +91,10 @@ def rematch(unmatched: DataFrame, ledger: DataFrame, client_email: DataFrame, ma
     scoped_docs = blocking.scoped_documents(unmatched, client_email, marked)
     refused = matches.where("status = 'REJECTED'").select(F.col("document_id").alias("doc_id"), F.col("transaction_id").alias("tx_id")).distinct()
     pairs = blocking.candidate_pairs(scoped_docs, blocking.scoped_ledger(marked), aliases).join(refused, ["doc_id", "tx_id"], "left_anti")
-    decided = decision.outcomes(unmatched.select("doc_id", "received_at"), scored(scoped_docs.dropDuplicates(["doc_id"]), marked, pairs, aliases))
-    open_ = decided.where("outcome <> 'UNMATCHED'").select("doc_id", "outcome", F.col("tx_id").alias("own"), F.explode("candidates").alias("c"))
+    scores = scored(scoped_docs.dropDuplicates(["doc_id"]), marked, pairs, aliases)
+    # The assignment reads the decisions in rounds.
+    decided = written(decision.outcomes(unmatched.select("doc_id", "received_at"), scores), "decided")
+    open_ = decided.where("outcome <> 'UNMATCHED'").select("doc_id", F.explode("candidates").alias("c"))
     chosen = assignment.assign(open_.select(F.col("doc_id").alias("document_id"), F.col("c.tx_id").alias("transaction_id"), F.col("c.decision_confidence").alias("score")))
     best = chosen.select(F.col("document_id").alias("doc_id"), F.col("transaction_id").alias("assigned"), "score")
     joined = decided.join(best, "doc_id", "left")
@@ -99,4 +102,9 @@ def rematch(unmatched: DataFrame, ledger: DataFrame, client_email: DataFrame, ma
     return joined.select(
         "doc_id", F.when(F.col("outcome") == "UNMATCHED", "UNMATCHED").when(safe, "MATCHED").otherwise("NEEDS_REVIEW").alias("status"),
         F.when(F.col("outcome") == "UNMATCHED", F.col("reason")).when(safe, "AUTO_MATCHED_AFTER_REMATCH").otherwise("REMATCH_REVIEW").alias("status_reason"),
-        F.coalesce("assigned", "tx_id").alias("tx_id"), F.coalesce("score", "top_score").alias("score"))
+        F.coalesce("assigned", "tx_id").alias("tx_id"), F.coalesce("score", "top_score").alias("score"), "candidates")
+
+
+def rematch(unmatched: DataFrame, ledger: DataFrame, client_email: DataFrame, matches: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """``rematched`` without the candidates: ``(doc_id, status, status_reason, tx_id, score)``."""
+    return rematched(unmatched, ledger, client_email, matches, aliases).drop("candidates")

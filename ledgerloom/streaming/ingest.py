@@ -17,10 +17,9 @@ def read_payloads(spark: SparkSession, path: str, files_at_once: int = 100) -> D
     return spark.readStream.schema("value STRING").option("maxFilesPerTrigger", files_at_once).text(path).select(F.col("value").alias("body"))
 
 
-def batch_documents(payloads: DataFrame, owners: tuple[DataFrame, DataFrame] | None = None, media: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Documents of a batch, the first of each provider id and of each content, and the rejected payloads.
+def received_documents(payloads: DataFrame, media: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """All documents of payloads ``(body)``, and the rejected payloads.
 
-    ``owners`` are the clients' addresses and the ledger: documents of one client have one owner, whichever its sender.
     With ``media`` (media_id, content), chat payloads are read too; those whose media are missing are rejected.
     """
     is_chat = F.get_json_object("body", "$.entry").isNotNull() if media is not None else F.lit(False)
@@ -31,6 +30,16 @@ def batch_documents(payloads: DataFrame, owners: tuple[DataFrame, DataFrame] | N
         documents = documents.unionByName(met.where("error is null").select(*documents.columns))
         lost = met.where("error is not null").select(F.to_json(F.struct("external_id", "media_id", "error")).alias("body"))
         rejected = rejected.unionByName(refused).unionByName(lost, allowMissingColumns=True)
+    return documents, rejected
+
+
+def batch_documents(payloads: DataFrame, owners: tuple[DataFrame, DataFrame] | None = None, media: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents of a batch, the first of each provider id and of each content, and the rejected payloads.
+
+    ``owners`` are the clients' addresses and the ledger: documents of one client have one owner, whichever its sender.
+    With ``media`` (media_id, content), chat payloads are read too.
+    """
+    documents, rejected = received_documents(payloads, media)
     hashed = documents.withColumn("content_hash", F.sha2("content", 256))
     if owners:
         hashed = owner_keys(hashed, *owners)

@@ -33,6 +33,8 @@ EDGE = "\"'“”‘’«»()[]{}<>.,;:!?¡¿*_~-–—…%&#$|/\\+="
 INNER = re.compile(r"[^\w]|_")
 SPELT = re.compile(r"(?:(?<!\w)\w[ .\-*_]){3,}\w(?!\w)")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
+#: A spelt-out word has two letters on their own one after the other: these find where in a token they can be.
+ALONE_FIRST, ALONE_LAST, ALONE_INSIDE = re.compile(r"\w(?!\w)"), re.compile(r"(?<!\w)\w$"), re.compile(r"(?<!\w)\w[.\-*]\w")
 
 
 def keys(word: str) -> list[str]:
@@ -60,38 +62,85 @@ def near_by(places: list[int], others: list[int], most: int) -> int:
     return int((gap <= most).sum())
 
 
-def features(text: str, lexicon: dict[str, float]) -> list[float]:
+def weight_of(word: str, lexicon: dict[str, float]) -> float | None:
+    """The largest entry of a bare word, if it has any."""
+    found = [lexicon[k] for k in keys(word) if k in lexicon] if word else []
+    return max(found) if found else None
+
+
+class Tokens:
+    """What features take of a token, looked at once for each distinct one: a number in each of these columns.
+
+    ``spells`` is 1 where a letter on its own begins the token, 2 where one ends it, 4 where two follow each other in it.
+    """
+
+    COLUMNS = ("weight", "word", "whole", "person", "capitals", "disguised", "hidden", "repeated", "letters", "upper", "spells")
+    MOST = 300_000
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+        self.forget()
+
+    def forget(self) -> None:
+        self.number, self.words, self.table = {}, {}, np.zeros((1024, len(self.COLUMNS)))
+
+    def row(self, token: str) -> tuple:
+        word, lexicon = bare(token), self.lexicon
+        weight = weight_of(word, lexicon)
+        odd = not token.isalpha()
+        alpha = any(map(str.isalpha, token)) if odd else True
+        disguised = odd and alpha and bool(weight is None and INNER.search(token.strip(EDGE)) or any(map(str.isdigit, token)))
+        hidden = disguised and any(k in lexicon for k in keys(plain(token)))
+        spells = (1 if ALONE_FIRST.match(token) else 0) + (2 if ALONE_LAST.search(token) else 0) + (4 if ALONE_INSIDE.search(token) else 0)
+        return (
+            weight if weight is not None else 0.0, self.words.setdefault(word, len(self.words)) if weight is not None else -1, word in lexicon, word in SECOND_PERSON,
+            len(token) > 1 and token.isupper(), disguised, hidden, bool(REPEATED.search(token)), sum(map(str.isalpha, token)), sum(map(str.isupper, token)), spells)
+
+    def __call__(self, tokens: list[str]) -> np.ndarray:
+        """The numbers of the tokens, to look up in the table's columns."""
+        if len(self.number) > self.MOST:
+            self.forget()
+        for token in set(tokens).difference(self.number):
+            at = self.number[token] = len(self.number)
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[at] = self.row(token)
+        return np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+
+
+def features(text: str, known: Tokens) -> list[float]:
     """Dense features of a text; a text without words has zeros."""
-    tokens = WORD.findall(text)
+    tokens = text.split()
     n = len(tokens)
-    words = [bare(t) for t in tokens]
-    weight = {}
-    for word in set(words):
-        found = [lexicon[k] for k in keys(word) if k in lexicon] if word else []
-        if found:
-            weight[word] = max(found)
-    whole = {w for w in weight if w in lexicon}
-    at = [i for i, w in enumerate(words) if w in weight] if weight else []
-    persons = [i for i, w in enumerate(words) if w in SECOND_PERSON]
-    close = near_by(at, persons, NEAR)
-    odd = {t for t in set(tokens) if not t.isalpha()}
-    disguised = {t for t in odd if bare(t) not in weight and any(c.isalpha() for c in t) and INNER.search(t.strip(EDGE)) or any(c.isdigit() for c in t) and any(c.isalpha() for c in t)}
-    hidden = {t for t in disguised if any(k in lexicon for k in keys(plain(t)))}
-    times = Counter(t for t in tokens if t in hidden) if hidden else {}
-    hits, hidden_hits = len(at), sum(times.values())
-    letters = sum(map(str.isalpha, text))
-    upper = sum(map(str.isupper, text))
-    total = sum(weight[words[i]] for i in at)
-    marks = text.count("!")
-    per = max(n, 1)
+    at = known(tokens)
+    own, times = np.unique(at, return_counts=True)
+    weight, word, whole, person, capitals, disguised, hidden, repeated, letters, upper, spells = known.table[own].T
+    sums = lambda column: int(times @ column)
+    hits = np.zeros(0)
+    close = whole_hits = 0
+    met = word >= 0
+    if met.any():
+        hit = known.table[at, 1] >= 0
+        places = np.flatnonzero(hit)
+        hits = known.table[at[places], 0]
+        whole_hits = int(known.table[at[places], 2].sum())
+        if person.any():
+            close = near_by(places.tolist(), np.flatnonzero(known.table[at, 3]).tolist(), NEAR)
+    words = {w: v for w, v in zip(word[met].tolist(), weight[met].tolist(), strict=True)}
+    spelt = 0
+    if (spells >= 4).any() or ((spells.astype(int) & 2) > 0).any() and ((spells.astype(int) & 1) > 0).any():
+        each = known.table[at, 10].astype(int)
+        if (each >= 4).any() or ((each[:-1] & 2) > 0)[(each[1:] & 1) > 0].any():
+            spelt = len(SPELT.findall(text))
+    letter, marks, total = sums(letters), text.count("!"), sum(hits.tolist())
+    asks = text.count("?")
+    per, few = max(n, 1), max(len(hits), 1)
     return [
-        hits, hits / per, len(weight), len(whole), sum(1 for i in at if words[i] in whole) / per, total, total / per,
-        max(weight.values(), default=0.0), close, close / max(hits, 1), len(persons) / per,
-        upper / max(letters, 1), sum(1 for t in tokens if len(t) > 1 and t.isupper()) / per,
-        marks / per, text.count("?") / per, marks + text.count("?"),
-        (len(text) - letters - text.count(" ")) / max(len(text), 1),
-        len(disguised) / per, hidden_hits, hidden_hits / per, len(SPELT.findall(text)),
-        sum(1 for t in set(tokens) if REPEATED.search(t)) / per, math.log1p(n), letters / per,
+        len(hits), len(hits) / per, len(words), len(set(word[met & (whole > 0)].tolist())), whole_hits / per, total, total / per,
+        max(words.values(), default=0.0), close, close / few, sums(person) / per,
+        sums(upper) / max(letter, 1), sums(capitals) / per, marks / per, asks / per, marks + asks,
+        (len(text) - letter - text.count(" ")) / max(len(text), 1),
+        int(disguised.sum()) / per, sums(hidden), sums(hidden) / per, spelt, int(repeated.sum()) / per, math.log1p(n), letter / per,
     ]
 
 
@@ -212,7 +261,8 @@ class Toxicity:
     def __call__(self, texts: list[str]) -> np.ndarray:
         if self.trees is None:
             return np.full(len(texts), self.prior)
-        x = np.array([features(t, self.lexicon) for t in texts], np.float64)
+        known = self.__dict__.setdefault("known", Tokens(self.lexicon))  # of this worker
+        x = np.array([features(t, known) for t in texts], np.float64)
         return np.clip(np.interp(self.trees(x), self.middle, self.rate), 0, 1)
 
 
@@ -221,11 +271,13 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str =
     small_batches(docs.sparkSession)
     rows = sample(docs, labels, target, id_col, text_col, fit_rows)
     lexicon = learn_lexicon(rows.where("not calibrates"))
-    width = len(features("", {}))
+    width = len(features("", Tokens({})))
 
     def describing():
+        known = Tokens(lexicon)
+
         def one(batch: pa.RecordBatch):
-            x = np.array([features(t, lexicon) for t in batch.column("text").to_pylist()], np.float64)
+            x = np.array([features(t, known) for t in batch.column("text").to_pylist()], np.float64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(x), pa.list_(pa.float64())), batch.column("target"), batch.column("calibrates")], ["x", "target", "calibrates"])
 

@@ -247,9 +247,63 @@ def test_second_person_proximity(places, others, most):
     assert toxicity.near_by(a, b, most) == sum(any(abs(i - j) <= most for j in b) for i in a)
 
 
+def features_by_force(text, lexicon):
+    """Each token looked at where it stands."""
+    tokens = toxicity.WORD.findall(text)
+    n = len(tokens)
+    words = [toxicity.bare(t) for t in tokens]
+    weight = {}
+    for word in set(words):
+        found = [lexicon[k] for k in toxicity.keys(word) if k in lexicon] if word else []
+        if found:
+            weight[word] = max(found)
+    whole = {w for w in weight if w in lexicon}
+    at = [i for i, w in enumerate(words) if w in weight] if weight else []
+    persons = [i for i, w in enumerate(words) if w in toxicity.SECOND_PERSON]
+    close = sum(1 for i in at if any(abs(i - j) <= toxicity.NEAR for j in persons))
+    odd = {t for t in set(tokens) if not t.isalpha()}
+    disguised = {t for t in odd if toxicity.bare(t) not in weight and any(c.isalpha() for c in t) and toxicity.INNER.search(t.strip(toxicity.EDGE)) or any(c.isdigit() for c in t) and any(c.isalpha() for c in t)}
+    hidden = {t for t in disguised if any(k in lexicon for k in toxicity.keys(toxicity.plain(t)))}
+    times = Counter(t for t in tokens if t in hidden) if hidden else {}
+    hits, hidden_hits = len(at), sum(times.values())
+    letters = sum(map(str.isalpha, text))
+    upper = sum(map(str.isupper, text))
+    total = sum(weight[words[i]] for i in at)
+    marks = text.count("!")
+    per = max(n, 1)
+    return [
+        hits, hits / per, len(weight), len(whole), sum(1 for i in at if words[i] in whole) / per, total, total / per,
+        max(weight.values(), default=0.0), close, close / max(hits, 1), len(persons) / per,
+        upper / max(letters, 1), sum(1 for t in tokens if len(t) > 1 and t.isupper()) / per,
+        marks / per, text.count("?") / per, marks + text.count("?"),
+        (len(text) - letters - text.count(" ")) / max(len(text), 1),
+        len(disguised) / per, hidden_hits, hidden_hits / per, len(toxicity.SPELT.findall(text)),
+        sum(1 for t in set(tokens) if toxicity.REPEATED.search(t)) / per, math.log1p(n), letters / per,
+    ]
+
+
+LEXICON = {"idiot": 2.0, "idio^": 1.5, "stup^": 1.25, "damn": 0.7, "du": 0.1, "é^": 3.0, "i": 0.2}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(
+    ["you", "You,", "idiot", "IDIOT!", "1d1ot", "i.d.i.o.t", "i", "d", "o", "t", "I", "a_", "_b", "c.", "-d", "st*pid", "stupid", "stuuupid", "st00pid", "\n", "\x85", "\xa0", "du", "dein?", "é", "ÉÉÉ", "x1", "$$", "abc", "...", "ab.c", "a-b", "a*b_c", "damn", "damned"]), max_size=30),
+    st.lists(st.sampled_from([" ", " ", " ", ".", "-", "", "  "]), min_size=30, max_size=30))
+def test_features_against_force(tokens, gaps):
+    text = "".join(t + g for t, g in zip(tokens, gaps))
+    assert toxicity.features(text, toxicity.Tokens(LEXICON)) == features_by_force(text, LEXICON)
+
+
+def test_features_of_documents(spark):
+    known = toxicity.Tokens(LEXICON)
+    known.MOST = 2000  # forgets now and then
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        assert toxicity.features(r.text, known) == features_by_force(r.text, LEXICON), r.doc_id
+
+
 def test_features_of_very_long_texts():
     began = time.time()
-    toxicity.features("you idiot " * 200_000, {"idiot": 2.0})
+    toxicity.features("you idiot " * 200_000, toxicity.Tokens({"idiot": 2.0}))
     assert time.time() - began < 30  # every hit beside every second person took hours
 
 

@@ -106,7 +106,7 @@ def q_block_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALIASES_SQL = f"""
-confirmed AS (SELECT b.client_id, r.doc_merchant, b.tx_merchant, r.received_at, r.doc_id FROM receipts r JOIN ledger b ON b.tx_id = r.doc_id WHERE r.doc_id % 10 = 0),
+confirmed AS (SELECT b.client_id, r.doc_merchant, b.tx_merchant, r.received_at, r.doc_id FROM receipts r JOIN ledger b ON b.tx_id = r.doc_id),
 keyed AS (SELECT *, {o.normalized('doc_merchant')} AS normalized_alias, {o.normalized('tx_merchant')} AS canonical_normalized FROM confirmed),
 aliases AS (
     SELECT client_id, normalized_alias, canonical_normalized, arg_max(doc_merchant, (received_at, doc_id)) AS alias, arg_max(tx_merchant, (received_at, doc_id)) AS canonical_merchant_name,
@@ -115,8 +115,8 @@ aliases AS (
 
 
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What reviewers would have taught by confirming every tenth receipt's own transaction."""
-    receipts = views.receipts(spark, sf_dir).where("doc_id % 10 = 0").select("doc_id", "doc_merchant", "received_at")
+    """What reviewers would have taught by confirming each receipt's own transaction."""
+    receipts = views.receipts(spark, sf_dir).select("doc_id", "doc_merchant", "received_at")
     ledger = views.ledger(spark, sf_dir).select("tx_id", "client_id", "tx_merchant")
     return review.learned_aliases(receipts.join(ledger, F.col("doc_id") == F.col("tx_id")).select(
         "client_id", F.col("doc_merchant").alias("document_merchant"), F.col("tx_merchant").alias("transaction_merchant"), F.col("received_at").alias("decided_at"), F.col("doc_id").alias("id")))
@@ -144,13 +144,13 @@ def q_alias_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def some_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored matches of every seventh transaction, of the states in turn."""
+    """A stored match of each transaction, of the states in turn."""
     state = F.element_at(F.array(*map(F.lit, ("CANDIDATE", "CONFIRMED", "AUTO_CONFIRMED", "REJECTED"))), (F.col("tx_id") % 4 + 1).cast("int"))
-    return views.ledger(spark, sf_dir).where("tx_id % 7 = 0").select(
+    return views.ledger(spark, sf_dir).select(
         F.col("tx_id").alias("id"), (F.col("tx_id") + 1).alias("document_id"), F.col("tx_id").alias("transaction_id"), state.alias("status"))
 
 
-@query(o.chain(o.LEDGER) + " SELECT tx_id, tx_id % 7 = 0 AND tx_id % 4 IN (1, 2) AS has_confirmed_document FROM ledger")
+@query(o.chain(o.LEDGER) + " SELECT tx_id, tx_id % 4 IN (1, 2) AS has_confirmed_document FROM ledger")
 def q_confirmed_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.confirmed_marks(views.ledger(spark, sf_dir), some_matches(spark, sf_dir)).select("tx_id", "has_confirmed_document")
 
@@ -335,11 +335,11 @@ def q_rematch(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- identity and quality ---------------------------------------------------------------------------------------------
 
 
-@query(o.chain(*o.TO_DOCS) + " SELECT doc_id, 'client:' || doc_client::VARCHAR AS owner_key FROM docs UNION ALL SELECT tx_id, CASE WHEN tx_id % 2 = 0 THEN 'client:' || client_id::VARCHAR ELSE 'phone:+1' || tx_id::VARCHAR END FROM ledger WHERE tx_id % 3 = 1")
+@query(o.chain(*o.TO_DOCS) + " SELECT doc_id, 'client:' || doc_client::VARCHAR AS owner_key FROM docs UNION ALL SELECT -tx_id, CASE WHEN tx_id % 2 = 0 THEN 'client:' || client_id::VARCHAR ELSE 'phone:+1' || tx_id::VARCHAR END FROM ledger")
 def q_owner_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger, docs = views.ledger(spark, sf_dir), views.receipts(spark, sf_dir).where("extraction_confidence >= 0.3")
-    phones = ledger.where("tx_id % 3 = 1").select(
-        F.col("tx_id").alias("doc_id"), F.lit("WHATSAPP").alias("source"),
+    phones = ledger.select(
+        (-F.col("tx_id")).alias("doc_id"), F.lit("WHATSAPP").alias("source"),
         F.when(F.col("tx_id") % 2 == 0, F.replace("driver_phone", F.lit("+"), F.lit(""))).otherwise(F.concat(F.lit("1"), F.col("tx_id").cast("string"))).alias("sender_identifier"))
     both = docs.select("doc_id", "source", "sender_identifier").unionByName(phones)
     return dedup.owner_keys(both, views.client_email(spark, sf_dir), ledger).select("doc_id", "owner_key")
@@ -406,10 +406,12 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + o.PREDICTIONS + """ SELECT count(*) AS examples, count_if(auto_matched AND correct)::BIGINT AS true_positives, count_if(auto_matched AND NOT correct)::BIGINT AS false_positives,
     count_if(NOT auto_matched AND NOT correct)::BIGINT AS true_negatives, count_if(NOT auto_matched AND correct)::BIGINT AS false_negatives, round(avg(correct::INTEGER), 9) AS top1_accuracy,
     round(count_if(auto_matched) / count(*), 9) AS auto_coverage, round(avg(pow(score - correct::INTEGER, 2)), 9) AS brier_score,
-    round(count_if(auto_matched AND correct) / count_if(auto_matched), 9) AS auto_precision FROM predictions""")
+    round(count_if(auto_matched AND correct) / count_if(auto_matched), 9) AS auto_precision, round(count_if(auto_matched AND correct) / count_if(correct), 9) AS auto_recall,
+    round(count_if(auto_matched AND NOT correct) / count_if(NOT correct), 9) AS false_positive_rate, round(count_if(NOT auto_matched AND correct) / count_if(correct), 9) AS false_negative_rate,
+    round(count_if(NOT auto_matched) / count(*), 9) AS review_rate FROM predictions""")
 def q_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = evaluation.metrics(predictions(spark, sf_dir))
-    return m.select("examples", "true_positives", "false_positives", "true_negatives", "false_negatives", *[F.round(c, 9).alias(c) for c in ("top1_accuracy", "auto_coverage", "brier_score", "auto_precision")])
+    return m.select("examples", "true_positives", "false_positives", "true_negatives", "false_negatives", *[F.round(c, 9).alias(c) for c in ("top1_accuracy", "auto_coverage", "brier_score", "auto_precision", "auto_recall", "false_positive_rate", "false_negative_rate", "review_rate")])
 
 
 @query("WITH " + o.PREDICTIONS + ", ks AS (SELECT unnest([1, 3, 5]) AS k) SELECT k::INTEGER AS k, round(avg(coalesce(rank_of_correct <= k, false)::INTEGER), 9) AS recall FROM predictions, ks GROUP BY k")
@@ -454,19 +456,19 @@ def q_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions about every eleventh receipt, with a snapshot of two candidates: its own transaction and the next."""
+    """Decisions about each receipt, with a snapshot of two candidates: its own transaction and the next."""
     key = F.col("doc_id")
     entry = lambda place, tx, score, state: F.struct(
         F.lit(place).alias("place"), (key * 10 + place).alias("id"), tx.alias("transaction_id"), F.lit(place).alias("rank"), score.alias("confidence"), score.alias("decision_confidence"),
         F.lit(0.75).alias("evidence_coverage"), F.array().cast("array<string>").alias("contradictions"), F.lit(state).alias("status"))
     own, other = (key % 100) / F.lit(100.0), (key % 37) / F.lit(50.0)
-    return views.receipts(spark, sf_dir).where("doc_id % 11 = 0").select(
+    return views.receipts(spark, sf_dir).select(
         key.alias("id"), key.alias("document_id"), (key * 10 + 1).alias("match_id"), key.alias("transaction_id"), F.when(key % 2 == 0, "CONFIRM").otherwise("REJECT").alias("action"),
         F.when(key % 2 == 1, "WRONG_DATE").alias("reason"), F.array(entry(1, key, own, "CANDIDATE"), entry(2, key + 1, other, "REJECTED")).alias("candidate_snapshot"), F.col("received_at").alias("created_at"))
 
 
 EVENTS_SQL = """
-events_ AS (SELECT doc_id AS id, doc_id % 2 = 0 AS confirmed, (doc_id % 100) / 100e0 AS own, (doc_id % 37) / 50e0 AS other, received_at AS created_at FROM receipts WHERE doc_id % 11 = 0)"""
+events_ AS (SELECT doc_id AS id, doc_id % 2 = 0 AS confirmed, (doc_id % 100) / 100e0 AS own, (doc_id % 37) / 50e0 AS other, received_at AS created_at FROM receipts)"""
 
 
 @query(o.chain(*o.TO_DOCS, EVENTS_SQL) + """ SELECT id AS event_id, greatest(own, other) AS score, confirmed AND own >= other AS correct,
@@ -477,9 +479,9 @@ def q_labels_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(o.chain(*o.TO_DOCS, EVENTS_SQL) + """, newest AS (SELECT * FROM events_ ORDER BY created_at DESC, id DESC LIMIT 100)
     SELECT 'DECISION' AS kind, id AS document_id, CASE WHEN confirmed THEN 'CONFIRM' ELSE 'REJECT' END AS action, CASE WHEN NOT confirmed THEN 'Wrong date' END AS reason, own AS decision_confidence, created_at AS occurred_at FROM newest
-    UNION ALL SELECT 'LIFECYCLE', doc_id, 'MATCHED', NULL, NULL, received_at FROM receipts WHERE doc_id % 11 IN (0, 1) AND doc_id NOT IN (SELECT id FROM newest)""")
+    UNION ALL SELECT 'LIFECYCLE', doc_id, 'MATCHED', NULL, NULL, received_at FROM receipts WHERE doc_id NOT IN (SELECT id FROM newest)""")
 def q_history_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = views.receipts(spark, sf_dir).where("doc_id % 11 IN (0, 1)").select(F.col("doc_id").alias("id"), F.lit("MATCHED").alias("status"), F.col("received_at").alias("updated_at"))
+    documents = views.receipts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit("MATCHED").alias("status"), F.col("received_at").alias("updated_at"))
     return review.history(events(spark, sf_dir), documents).select("kind", "document_id", "action", "reason", "decision_confidence", naive("occurred_at"))
 
 

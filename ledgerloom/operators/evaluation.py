@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.constants import MATCHER as M
 from ledgerloom.functions.text import clamp01
+from ledgerloom.scratch import drop, written
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -84,49 +86,89 @@ def threshold(predictions: DataFrame, target: float = 0.995) -> DataFrame:
     return good.orderBy("threshold").limit(1)
 
 
-def isotonic_points(predictions: DataFrame) -> DataFrame:
-    """``(ord, max_score, calibrated_probability)``: pool-adjacent-violators over predictions in order of score.
+BLOCK = "part int, score double, correct boolean, hits long, n long"
+
+
+def pooled(rows: pd.DataFrame, blocks: list[list] | None = None) -> list[list]:
+    """Blocks of neighbours in order, so that no block's share correct is larger than the next one's."""
+    blocks = [] if blocks is None else blocks
+    for part, score, correct, hits, n in rows[["part", "score", "correct", "hits", "n"]].itertuples(index=False):
+        blocks.append([part, score, correct, hits, n])
+        while len(blocks) > 1 and blocks[-2][3] * blocks[-1][4] > blocks[-1][3] * blocks[-2][4]:
+            _, _, _, hits, n = blocks.pop(-2)
+            blocks[-1][3] += hits
+            blocks[-1][4] += n
+    return blocks
+
 
-    Of equal scores the incorrect come first, neighbours of an equal share stay apart, null scores don't count. Rows are
-    summed by distinct score and label. What violates the order within a range of scores does so in the whole, so each
-    range is pooled by a task of its own, and only the blocks that are left of the ranges meet in one.
+def isotonic_blocks(predictions: DataFrame) -> DataFrame:
+    """``(part, score, correct, hits, n)``: the blocks of pool-adjacent-violators, each as its last score and label, by range.
+
+    Rows are summed by distinct score and label and dealt into ranges of these. What violates the order within a range
+    does so in the whole, so each range is pooled by a task of its own. Then neighbouring ranges are pooled two by two,
+    the even and the odd pairs by turns, until a turn of either changes nothing: no neighbours are left to pool then. A
+    block stays in the range of its last score, so a group never holds more than two ranges.
     """
-    columns = ["score", "correct", "hits", "n"]
-    kind = "score double, correct boolean, hits long, n long"
-
-    def add(blocks: list[list], rows: pd.DataFrame) -> None:
-        for score, correct, hits, n in rows[columns].itertuples(index=False):
-            blocks.append([score, correct, hits, n])
-            while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] > blocks[-1][2] * blocks[-2][3]:
-                _, _, hits, n = blocks.pop(-2)
-                blocks[-1][2] += hits
-                blocks[-1][3] += n
-
-    def pool_range(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    correct = F.coalesce("correct", F.lit(False))
+    each = predictions.where("score is not null").groupBy("score", correct.alias("correct")).agg(F.count("*").alias("n"))
+    summed = each.select(F.lit(0).alias("part"), "score", "correct", F.when(F.col("correct"), F.col("n")).otherwise(0).alias("hits"), "n")
+
+    def within(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blocks: list[list] = []
         for frame in frames:
-            add(blocks, frame)
-        yield pd.DataFrame(blocks, columns=columns)
+            pooled(frame.assign(part=TaskContext.get().partitionId()), blocks)
+        yield pd.DataFrame(blocks, columns=["part", "score", "correct", "hits", "n"])
+
+    def together(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(pooled(group.sort_values(["score", "correct"])), columns=["part", "score", "correct", "hits", "n"])
+
+    ranges = summed.repartitionByRange("score", "correct").sortWithinPartitions("score", "correct")
+    blocks = written(ranges.mapInPandas(within, BLOCK), "blocks")
+    count, still, odd = blocks.count(), 0, 0
+    while still < 2:
+        places = blocks.select("part").distinct().withColumn("place", F.row_number().over(Window.orderBy("part")) - 1)  # a row a range
+        pairs = blocks.join(F.broadcast(places), "part").withColumn("pair", F.floor((F.col("place") + odd) / 2))
+        new = written(pairs.groupBy("pair").applyInPandas(together, BLOCK), "blocks")
+        drop(blocks)
+        left = new.count()
+        still, odd = (still + 1 if left == count else 0), 1 - odd
+        blocks, count = new, left
+    return blocks
 
-    def pool_all(group: pd.DataFrame) -> pd.DataFrame:
-        blocks: list[list] = []
-        add(blocks, group.sort_values(["score", "correct"]))
-        return pd.DataFrame({"ord": range(len(blocks)), "max_score": [min(1.0, max(0.0, b[0])) for b in blocks], "calibrated_probability": [b[2] / b[3] for b in blocks]})
 
-    correct = F.coalesce("correct", F.lit(False))
-    each = predictions.where("score is not null").groupBy("score", correct.alias("correct")).agg(F.count("*").alias("n"))
-    summed = each.select("score", "correct", F.when(F.col("correct"), F.col("n")).otherwise(0).alias("hits"), "n")
-    ranges = summed.repartitionByRange("score", "correct").sortWithinPartitions("score", "correct").mapInPandas(pool_range, kind)
-    return ranges.withColumn("every", F.lit(1)).groupBy("every").applyInPandas(pool_all, "ord long, max_score double, calibrated_probability double")
+def isotonic_points(predictions: DataFrame) -> DataFrame:
+    """``(ord, max_score, calibrated_probability)``: pool-adjacent-violators over predictions in order of score.
+
+    Of equal scores the incorrect come first, neighbours of an equal share stay apart, null scores don't count, no
+    predictions give no points. Blocks are numbered within their ranges and ranges by their sizes.
+    """
+    blocks = isotonic_blocks(predictions)
+    sizes = blocks.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))  # a row a range
+    place = F.row_number().over(Window.partitionBy("part").orderBy("score", "correct"))
+    return blocks.withColumn("place", place).join(F.broadcast(before), "part").select(
+        (F.col("before") + F.col("place") - 1).cast("long").alias("ord"), clamp01(F.col("score")).alias("max_score"), (F.col("hits") / F.col("n")).alias("calibrated_probability"))
 
 
 def calibrated(rows: DataFrame, points: DataFrame) -> DataFrame:
-    """``rows`` with calibrated: the probability of the first point at or above the score, beyond the last the last's."""
-    listed = points.agg(F.array_sort(F.collect_list(F.struct("ord", "max_score", "calibrated_probability"))).alias("points"))  # one small row
-    first = F.filter("points", lambda p: F.col("score") <= p["max_score"])
-    value = F.when(F.size("points") == 0, clamp01(F.col("score"))).otherwise(
-        F.coalesce(F.get(first, F.lit(0))["calibrated_probability"], F.element_at("points", -1)["calibrated_probability"]))
-    return rows.crossJoin(F.broadcast(listed)).withColumn("calibrated", value).drop("points")
+    """``rows`` with calibrated: the probability of the first point at or above the score, beyond the last the last's.
+
+    Without points it is the score itself, clamped; a null score has none. Each distinct score is looked up once, among
+    the points of its hundredth and the first of those that follow, so no task sees all points or a score's many rows.
+    """
+    part = lambda c: F.floor(clamp01(F.col(c)) * 100).cast("int").alias("part")
+    steps = points.select(F.col("max_score").alias("at"), "ord", F.col("calibrated_probability").alias("value"), part("max_score"))
+    scores = rows.where("score is not null").select(F.col("score").alias("at")).distinct().select("at", F.lit(-1).cast("long").alias("ord"), F.lit(None).cast("double").alias("value"), part("at"))
+    onward = Window.partitionBy("part").orderBy("at", "ord").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    own = scores.unionByName(steps).withColumn("found", F.first("value", ignorenulls=True).over(onward)).where("ord = -1")
+    hundredths = rows.sparkSession.range(101).select(F.col("id").cast("int").alias("part"))
+    firsts = hundredths.join(steps.groupBy("part").agg(F.min_by("value", "ord").alias("value")), "part", "left")
+    later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    following = firsts.select("part", F.first("value", ignorenulls=True).over(later).alias("later"))  # 101 rows
+    last = steps.agg(F.max_by("value", "ord").alias("last"))  # one row
+    known = own.join(F.broadcast(following), "part").crossJoin(F.broadcast(last)).select(
+        F.col("at").alias("score"), F.coalesce("found", "later", "last", clamp01(F.col("at"))).alias("calibrated"))
+    return rows.join(known, "score", "left").select(*rows.columns, "calibrated")
 
 
 def labelled_from_events(events: DataFrame) -> DataFrame:

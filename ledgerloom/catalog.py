@@ -531,6 +531,26 @@ def q_decision_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.fold_decisions(matches, acts).select("id", "document_id", "transaction_id", "status", "error")
 
 
+# Two matches a receipt. Each becomes a candidate at the receipt's arrival and changes once or twice, days later; two changes may share a time.
+@query(o.chain(*o.TO_DOCS) + """, matches AS (SELECT doc_id, received_at, place, doc_id * 10 + place AS match_id, doc_id + place AS tx FROM receipts, (SELECT unnest([0, 1]) AS place)),
+    states AS (SELECT match_id, unnest([received_at, received_at + to_days((doc_id % 5)::INTEGER), received_at + to_days((doc_id % 3 + 2 * place)::INTEGER)]) AS changed_at,
+        unnest(['CANDIDATE', 'REJECTED', 'CONFIRMED']) AS status, unnest([1, 2, 3]) AS seq FROM matches),
+    lasts AS (SELECT match_id, changed_at, arg_max(status, seq) AS status FROM states GROUP BY ALL),
+    asked AS (SELECT doc_id AS decision_id, match_id, tx AS transaction_id, received_at + to_days((doc_id % 7)::INTEGER) AS decided_at FROM matches)
+    SELECT decision_id, a.match_id, transaction_id, status FROM asked a ASOF JOIN lasts s ON a.match_id = s.match_id AND a.decided_at > s.changed_at""")
+def q_snapshots_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reviewers saw of each receipt's two matches, whose states change around the decision."""
+    key, at = F.col("doc_id"), F.col("received_at")
+    receipts = views.receipts(spark, sf_dir).select("doc_id", "received_at")
+    days = lambda n: F.make_interval(days=n.cast("int"))
+    matches = receipts.withColumn("place", F.explode(F.array(F.lit(0), F.lit(1))))
+    change = lambda status, seq, when: F.struct(F.lit(status).alias("status"), F.lit(seq).cast("long").alias("seq"), when.alias("changed_at"))
+    states = matches.select((key * 10 + F.col("place")).alias("match_id"), key.alias("document_id"), (key + F.col("place")).alias("transaction_id"), F.inline(F.array(
+        change("CANDIDATE", 1, at), change("REJECTED", 2, at + days(key % 5)), change("CONFIRMED", 3, at + days(key % 3 + 2 * F.col("place"))))))
+    decisions = receipts.select(key.alias("id"), key.alias("document_id"), (at + days(key % 7)).alias("decided_at"))
+    return review.snapshots_as_of(decisions, states)
+
+
 # --- explanations -----------------------------------------------------------------------------------------------------
 
 

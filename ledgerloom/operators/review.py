@@ -28,6 +28,24 @@ def snapshots(matches: DataFrame) -> DataFrame:
     return matches.groupBy("document_id").agg(F.array_sort(F.collect_list(entry)).alias("candidate_snapshot"))
 
 
+def snapshots_as_of(decisions: DataFrame, states: DataFrame) -> DataFrame:
+    """``(decision_id, match_id, transaction_id, status)``: what a reviewer saw, each match of the document as it then stood.
+
+    ``decisions`` are (id, document_id, decided_at), ``states`` the log of match states (match_id, document_id,
+    transaction_id, status, changed_at, seq). What counts is the last state from before the decision, the largest seq of
+    equal times; matches that had none yet aren't shown, and states that come in late count at their own time. A match's
+    log and the decisions about it meet in one window: a document has few matches.
+    """
+    matches = states.select("match_id", "document_id", "transaction_id").distinct()
+    asked = decisions.select(F.col("id").alias("decision_id"), "document_id", F.col("decided_at").alias("at")).join(matches, "document_id")
+    log = states.select(F.lit(None).cast("long").alias("decision_id"), "match_id", "transaction_id", F.col("changed_at").alias("at"), "seq", "status")
+    both = asked.select("decision_id", "match_id", "transaction_id", "at", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("status")).unionByName(log)
+    # Of equal times decisions come first: a state of their own time isn't one from before.
+    order = Window.partitionBy("match_id").orderBy("at", F.col("decision_id").isNull(), "seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("status", F.last("status", ignorenulls=True).over(order)).where("decision_id is not null and status is not null").select(
+        F.col("decision_id").cast("long").alias("decision_id"), "match_id", "transaction_id", "status")
+
+
 def fold_decisions(matches: DataFrame, decisions: DataFrame) -> DataFrame:
     """``matches`` with the status after all decisions, and error of the last refused one.
 

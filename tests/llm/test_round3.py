@@ -347,3 +347,47 @@ def test_isotonic_against_force(rows):
         want[round(f, 12)] = (hits + y[own].sum(), n + own.sum(), total + score[own].sum())
     assert middle == pytest.approx([t / n for _, n, t in want.values()])
     assert rate == pytest.approx(np.maximum.accumulate([(h + 0.01) / (n + 0.02) for h, n, _ in want.values()]))
+
+
+# --- pipeline ---------------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages_against_their_input(spark, tmp_path):
+    """Each stage's rows, from what the one before kept: models' decisions row by row, copies by dictionary, classes, all ids packed."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from ledgerloom.llm import near_dedup, quality
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = lambda frame: sorted(tuple(r) for r in frame.collect())
+    for name, module, accept, threshold in (("quality", quality, 1, quality.THRESHOLD), ("toxicity", toxicity, 0, 0.5)):
+        model = module.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+        want = sorted(tuple(r) for r in docs.collect() if (model([r.text or ""])[0] >= threshold) == bool(accept))
+        kept = stages[name](spark, docs, SF)
+        assert rows(kept) == want and 0 < len(want) <= docs.count()
+        docs = spark.createDataFrame(want, docs.schema)
+    last = {}
+    for r in docs.collect():
+        last[r.text] = max(last.get(r.text, r.doc_id), r.doc_id)
+    kept = stages["exact copies"](spark, docs, SF)
+    assert {r.doc_id for r in kept.collect()} == set(last.values())
+    docs = spark.createDataFrame(kept.collect(), docs.schema)
+    classes = {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs).collect()}
+    kept = stages["near copies"](spark, docs, SF)
+    assert {r.doc_id for r in kept.collect()} == {min(d for d, c in classes.items() if c == own) for own in set(classes.values())}
+    docs = spark.createDataFrame(kept.collect(), docs.schema)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    packed = stages["packing"](spark, docs, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in packed} == {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect()}
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    path = str(tmp_path / "tables")
+    empty(spark.read.parquet(f"{SF}/documents.parquet")).write.parquet(f"{path}/documents.parquet")
+    empty(spark.read.parquet(f"{SF}/labels.parquet")).write.parquet(f"{path}/labels.parquet")
+    assert corpus_pipeline.run(spark, path).count() == 0

@@ -6,7 +6,6 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +87,8 @@ class Words:
         """The numbers, and how often a token is the one before it or the one before that, and the share of distinct ones."""
         found = tokens(text)
         n = max(len(found), 1)
-        again = [sum(map(eq, found, found[step:])) / n for step in (1, 2)]
+        own = np.fromiter(map(hash, found), np.int64, len(found))  # strings keep theirs, which sets and dicts take too
+        again = [float(np.count_nonzero(own[step:] == own[:-step])) / n for step in (1, 2)]
         return self.numbered(found), [*again, len(set(found)) / n]
 
     def numbers(self, text: str) -> np.ndarray:
@@ -102,7 +102,7 @@ def learn_vocabulary(rows: DataFrame, size: int = VOCABULARY) -> list[str]:
     """The words of most documents and all shapes; counted in Spark, ``size`` of them come to the driver."""
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
+        count, shaped = Counter(), Bounded(shape)
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["word", "n"])
@@ -111,7 +111,7 @@ def learn_vocabulary(rows: DataFrame, size: int = VOCABULARY) -> list[str]:
             for text in batch.column("text").to_pylist():
                 own = {t for t in tokens(text) if len(t) <= 40}
                 count.update(own)
-                count.update({shape(t) for t in own if not (t.isalpha() or t.isdigit())} - own)
+                count.update({shaped[t] for t in own if not (t.isalpha() or t.isdigit())} - own)
             if len(count) > HELD_WORDS:
                 yield out()
                 count.clear()

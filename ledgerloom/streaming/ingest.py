@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.dedup import owner_keys, unseen
+from ledgerloom.operators.dedup import owner_keys
+from ledgerloom.operators.key_index import KeyIndex
 from ledgerloom.sources.webhooks import email_documents, message_images, with_media
 
 
@@ -55,21 +56,23 @@ def start(payloads: DataFrame, documents_path: str, rejected_path: str, checkpoi
     """Append each batch's new documents, and its rejected payloads, as parquet; ``then`` gets the new documents.
 
     A batch has a folder of its own that a repeated run overwrites, so a payload is stored once whatever fails. New is
-    what shares neither provider id nor content with stored documents: their keys are read anew for each batch, no state
-    grows in the stream.
+    what shares neither provider id nor content with stored documents: their keys are stored beside them, by a prefix of
+    their hash, and a batch reads the parts its own keys fall in; no state grows in the stream.
     """
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        found, rejected = batch_documents(batch, owners, media)
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(documents_path)
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            stored = spark.read.schema(found.schema.add("batch", "long")).parquet(documents_path).where(F.col("batch") != number)
-            found = unseen(found, stored, [["source", "external_id"], ["owner_key", "content_hash"]])
+        all_found, rejected = batch_documents(batch, owners, media)
+        all_found = all_found.persist()
+        index = KeyIndex(spark, f"{documents_path.rstrip('/')}-keys", [["source", "external_id"], ["owner_key", "content_hash"]])
+        found = index.unseen(all_found, before=number)
         found.write.mode("overwrite").parquet(f"{documents_path}/batch={number}")
         rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
+        new = spark.read.schema(found.schema).parquet(f"{documents_path}/batch={number}")
+        index.add(new, number)
+        all_found.unpersist()
         if then:
-            then(spark.read.schema(found.schema).parquet(f"{documents_path}/batch={number}"), number)
+            then(new, number)
 
     writer = payloads.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import oracle as o
 from ledgerloom.constants import MATCHER as M
-from ledgerloom.functions import scoring, text
+from ledgerloom.functions import scoring, sql, text
 from ledgerloom.operators import assignment, blocking, decision, dedup, evaluation, explain, review
 from ledgerloom.plans import matching, views
 from ledgerloom.scratch import written
@@ -188,6 +188,13 @@ def q_normalize_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.merchant_dictionary(views.ledger(spark, sf_dir), "tx_merchant").select(F.col("name").alias("tx_merchant"), F.col("normalized").alias("core"))
 
 
+@query(SQL["q_normalize_merchant"])
+def q_sql_merchant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The normalised merchants by the function's name in SQL."""
+    sql.register(spark)
+    return spark.sql("SELECT tx_merchant, normalize_merchant(tx_merchant) AS core FROM (SELECT DISTINCT tx_merchant FROM {ledger})", ledger=views.ledger(spark, sf_dir))
+
+
 @query(o.chain(o.LEDGER) + f" SELECT tx_merchant, {o.city('tx_merchant')} AS city, {o.branch('tx_merchant')} AS branch FROM (SELECT DISTINCT tx_merchant FROM ledger)")
 def q_merchant_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = views.ledger(spark, sf_dir).select("tx_merchant").distinct()
@@ -650,13 +657,27 @@ def q_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return webhooks.verified_signature(signed, "body", "header", "secret").select("event_id", "signature")
 
 
-@query("SELECT o_orderkey, 'Seller ' || o_custkey::VARCHAR AS seller, floor(o_totalprice * 100 + 0.5e0)::BIGINT AS total FROM orders")
-def q_qr_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tax QR code for each order: its seller and its total."""
+
     def record(tag: int, value: F.Column) -> F.Column:
         return F.concat(F.unhex(F.lit(f"{tag:02x}")), F.unhex(F.lpad(F.hex(F.length(value)), 2, "0")), value.cast("binary"))
 
     minor = F.floor(F.col("o_totalprice") * 100 + F.lit(0.5)).cast("long")
     total = F.concat(F.floor(minor / 100).cast("string"), F.lit("."), F.lpad((minor % 100).cast("string"), 2, "0"))
     payload = F.base64(F.concat(record(1, F.concat(F.lit("Seller "), F.col("o_custkey").cast("string"))), record(4, total)))
-    tags = views.load(spark, sf_dir, "orders").select("o_orderkey", qr.decoded(payload).alias("tags"))
+    return views.load(spark, sf_dir, "orders").select("o_orderkey", payload.alias("payload"))
+
+
+@query("SELECT o_orderkey, 'Seller ' || o_custkey::VARCHAR AS seller, floor(o_totalprice * 100 + 0.5e0)::BIGINT AS total FROM orders")
+def q_qr_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = payloads(spark, sf_dir).select("o_orderkey", qr.decoded(F.col("payload")).alias("tags"))
     return tags.select("o_orderkey", F.try_element_at("tags", F.lit(1)).alias("seller"), qr.decimal_to_minor(F.try_element_at("tags", F.lit(4))).alias("total"))
+
+
+@query(SQL["q_qr_decode"])
+def q_sql_qr_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the table function, a row for each record, put side by side again."""
+    sql.register(spark)
+    return spark.sql("""SELECT o_orderkey, max(value) FILTER (WHERE tag = 1) AS seller, max(CAST(replace(value, '.', '') AS BIGINT)) FILTER (WHERE tag = 4) AS total
+        FROM {payloads}, LATERAL qr_tags(payload) GROUP BY o_orderkey""", payloads=payloads(spark, sf_dir))

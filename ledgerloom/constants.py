@@ -63,3 +63,7 @@ FOLDED = ("إأآٱىؤئ", "اااايوي")
 
 IDENTIFIERS = ("vatNumber", "invoiceNumber", "authorizationCode")
 CORE_SIGNALS = ("amount", "date", "merchant", "cardLast4")
+
+#: Marks and tatweel that spellings leave out, and what is no letter, digit or space, as patterns.
+MARKS = "[\u0300-\u036f\u064b-\u065f\u0670\u06d6-\u06ed\u0640]"
+NO_LETTER = "[^A-Z0-9\u0600-\u06ff\\s]"

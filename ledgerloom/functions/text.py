@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ledgerloom.constants import ARABIC_DIGITS, CITIES, FOLDED, NOISE_TOKENS, ONE_LETTER, TWO_LETTERS
+from ledgerloom.constants import ARABIC_DIGITS, CITIES, FOLDED, MARKS, NO_LETTER, NOISE_TOKENS, ONE_LETTER, TWO_LETTERS
 
 #: Java's word boundary counts Arabic letters as word characters; these look at Latin letters, digits and _ only.
 START, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -53,8 +53,8 @@ def transliterate(c: Column | str) -> Column:
 
 def folded(c: Column | str) -> Column:
     """Upper case without marks, tatweel and letter variants; what isn't a letter, digit or space becomes a space."""
-    plain = F.regexp_replace(F.upper(column(c)), r"[̀-ًͯ-ٰٟۖ-ۭـ]", "")
-    return F.regexp_replace(latin_digits(F.translate(plain, *FOLDED)), r"[^A-Z0-9؀-ۿ\s]", " ")
+    plain = F.regexp_replace(F.upper(column(c)), MARKS, "")
+    return F.regexp_replace(latin_digits(F.translate(plain, *FOLDED)), NO_LETTER, " ")
 
 
 def merchant_tokens(c: Column | str) -> Column:

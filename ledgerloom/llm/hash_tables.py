@@ -87,7 +87,7 @@ class Store:
         bits = self.present.get(kind)
         if bits is None or not bits[shard >> 3] >> (7 - (shard & 7)) & 1:
             return None
-        whole = np.memmap(f"{self.path}/{kind}.{shard}", np.uint8, "r")
+        whole = np.asarray(np.memmap(f"{self.path}/{kind}.{shard}", np.uint8, "r"))
         at, out = 8 + int.from_bytes(whole[:8].tobytes(), "little"), []
         for dtype, shape in json.loads(whole[8:at].tobytes()):
             at += -at % 8

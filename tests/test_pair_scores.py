@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.constants import MATCHER as M
 from ledgerloom.functions import scoring
-from ledgerloom.operators import blocking, decision, pair_scores
+from ledgerloom.operators import blocking, decision, pair_scores, review
 from ledgerloom.plans import matching, views
 
 START = dt.datetime(2025, 1, 1)
@@ -79,3 +79,11 @@ def test_all_pairs_and_plan(spark):
         above = plan[: plan.index("FlatMapGroupsInArrow")]
         assert not any(word in above for word in ("Exchange", "Sort", "Join"))
     assert matching.listed(docs.limit(0), ledger).count() == 0 and matching.listed(docs, ledger.limit(0)).count() == 0
+
+
+def test_status_totals_match_once(spark):
+    """What is counted is made once, not again for the share."""
+    d, t = tables(4)
+    decided = decision.outcomes(spark.createDataFrame(d, DOC).select("doc_id"), matching.listed(spark.createDataFrame(d, DOC), spark.createDataFrame(t, TX)))
+    totals = review.status_totals(decided.select(F.when(F.col("outcome") == "AUTO_MATCHED", "MATCHED").otherwise(F.col("outcome")).alias("status")))
+    assert totals._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1

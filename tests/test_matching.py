@@ -179,6 +179,44 @@ def test_assignment_of_a_ring(spark):
     assert sum(r.score for r in got) >= 0.9 * n - n * 2 / 1000 / 16
 
 
+def rival_groups(groups, size):
+    """Edges of contested groups, every document of one with three of its transactions, of few and so often equal scores."""
+    rng = random.Random(5)
+    return [(g * 1000 + d, g * 1000 + t, rng.choice([0.6, 0.7, 0.701, 0.9])) for g in range(groups) for d in range(size) for t in rng.sample(range(size - 1), 3)]
+
+
+def test_groups_are_settled_without_rounds(spark, monkeypatch):
+    """Groups of rivals are settled in tasks, also where they begin in one Arrow batch and end in another; only larger ones are auctioned."""
+    edges = spark.createDataFrame(rival_groups(30, 40), "document_id long, transaction_id long, score double")
+    auctioned = []
+    monkeypatch.setattr(assignment, "auction", lambda graph, held=assignment.auction: auctioned.append(1) or held(graph))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    totals = []
+    try:
+        for batch in (7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = assignment.assign(edges, minimum=0.0).collect()
+            assert len({r.document_id for r in got}) == len({r.transaction_id for r in got}) == len(got) > 30 * 30
+            totals.append(sorted(map(tuple, got)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert totals[0] == totals[1] and not auctioned
+    few = spark.createDataFrame(rival_groups(1, 6), edges.schema)
+    exact, bid = (assignment.assign(few, minimum=0.0, most=most).agg(F.sum("score")).first()[0] for most in (1000, 0))
+    assert auctioned and bid == pytest.approx(exact)
+
+
+def test_components_by_the_least_loss():
+    """Against every assignment, where some documents had better go without."""
+    rng = random.Random(6)
+    for _ in range(300):
+        scores = {(d, t): rng.choice([1, 2, 5, 7, 8]) for d in range(rng.randint(1, 4)) for t in range(4) if rng.random() < 0.6}
+        offers = [[(t, v) for (e, t), v in scores.items() if e == d] for d in range(4)]
+        own = assignment.best_choice(offers, 4)
+        taken = [t for t in own if t >= 0]
+        assert len(set(taken)) == len(taken) and sum(scores[d, t] for d, t in enumerate(own) if t >= 0) == best_total(scores)
+
+
 def test_assignment_example(spark):
     edges = spark.createDataFrame([(1, 10, 0.9), (1, 20, 0.89), (2, 10, 0.88), (3, 30, 0.4)], "document_id long, transaction_id long, score double")
     assert {(r.document_id, r.transaction_id) for r in assignment.assign(edges).collect()} == {(1, 20), (2, 10)}

@@ -108,8 +108,9 @@ class Tokens:
         return np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
 
 
-def features(text: str, known: Tokens) -> list[float]:
-    """Dense features of a text; a text without words has zeros."""
+def features(text: str, known: Tokens | dict[str, float]) -> list[float]:
+    """Dense features of a text, by known tokens or a lexicon; a text without words has zeros."""
+    known = Tokens(known) if isinstance(known, dict) else known
     tokens = text.split()
     n = len(tokens)
     at = known(tokens)

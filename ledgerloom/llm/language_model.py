@@ -23,8 +23,8 @@ END, START = np.uint64(1), np.uint64(2)
 ORDER = 3
 #: Tokens whose n-grams a task sums up before it hands them on.
 HOLD = 5_000_000
-#: Words that are numbered by how frequent they are among the n-grams handed to a shard.
-FREQUENT = 4096
+#: Words that are numbered by how frequent they are among the n-grams handed to a shard: one for so many n-grams, and no more than these.
+FREQUENT_EACH, FREQUENT = 64, 4096
 #: Bytes of text whose n-grams one shard holds, so that a shard stays of one size as the corpus grows.
 SHARD_BYTES = 44 << 20
 
@@ -52,6 +52,16 @@ def hash_of(words: Iterable[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
+def longer(runs_: np.ndarray, at: np.ndarray, words: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs of words that are a word longer: the hashes of the run before and of the longer one, and each place's number.
+
+    ``runs_`` and ``words`` are hashes, ``at`` and ``column`` have each place's number among them.
+    """
+    each, place = np.unique(at * len(words) + column, return_inverse=True)
+    before = runs_[each // len(words)]
+    return before, extended(before, words[each % len(words)]), place
+
+
 def grams(documents: list[np.ndarray], order: int, start: np.unsignedinteger = START, end: np.unsignedinteger = END) -> list[np.ndarray]:
     """Columns of all n-grams that end in a token, document after document; each begins with ``start`` as often as it takes."""
     pad, last = np.full(order - 1, start), np.array([end])
@@ -96,7 +106,7 @@ def packed(known: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray
     """
     times = sum(np.bincount(column, minlength=len(known)) for column in columns)
     used = np.flatnonzero(times)
-    frequent = np.argsort(-times[used], kind="stable")[:FREQUENT]
+    frequent = np.argsort(-times[used], kind="stable")[: min(FREQUENT, len(columns[0]) // FREQUENT_EACH)]
     others = np.delete(used, frequent)
     used = np.concatenate([used[frequent], others])
     rank = np.zeros(len(known), np.int64)
@@ -126,7 +136,8 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray
     at, numbers = 8 + 8 * len(sizes), []
     words, distinct, rows = sizes[:3].tolist()
     known = np.frombuffer(raw, np.uint8, 8 * distinct, at).reshape(8, distinct).T.copy().view(np.uint64).reshape(distinct)
-    known[FREQUENT:] = np.cumsum(known[FREQUENT:])
+    frequent = min(FREQUENT, rows // FREQUENT_EACH)
+    known[frequent:] = np.cumsum(known[frequent:])
     at += int(sizes[3])
     for size in sizes[4:].tolist():
         width = raw[at]
@@ -243,6 +254,8 @@ def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Ite
         if parts:
             words, columns, values = merged(parts)
             key = hash_of((words[c] for c in columns), len(columns[0]))
+            # A shard is a range of these hashes: mixed once more, they differ in their upper bits again.
+            key = mixed(key) if level == 1 else key
             by, starts = runs(key)
             first = by[starts]
             count, *often = (np.add.reduceat(v[by], starts, dtype=np.int64) for v in values)
@@ -254,7 +267,7 @@ def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Ite
                 sums[-1] += often.sum()
             else:
                 sums[-2] += store.put(f"grams-{level}", shard, key, count)
-                context = hash_of((words[c] for c in columns[:-1]), len(key))
+                context = mixed(hash_of((words[c] for c in columns[:-1]), len(key)))
                 by, starts = runs(context)
                 each = count[by]
                 of = np.stack([np.add.reduceat(v, starts, dtype=np.int64) for v in (each, each == 1, each == 2, each > 2)], 1)
@@ -328,21 +341,31 @@ class Model:
         self.contexts = [Shards(store, f"contexts-{k}", shards, (1, 1, 0, 0)) for k in range(2, order + 1)]
 
     def __call__(self, documents: list[np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's count and probability; documents start at ``starts``, one after the other."""
-        words = grams(documents, self.order)
-        counts, contexts, known, rows = [], [], [], None
-        for k in range(1, self.order + 1):
-            context = hash_of(words[self.order - k : -1], len(words[0]))
-            key = extended(context, words[-1])
-            if k > 1:
-                # The context is the n-gram of a word less that ends in the token before.
-                before = np.roll(counts[-1] > 0, 1)
-                before[starts] = self.totals.tokens > 0
-                known.append(before)
-                contexts.append(self.contexts[k - 2](context, context))
-            found = self.grams[k - 1](key if k == 1 else context, key)
-            rows = found if k == 1 else rows
-            counts.append(found[:, -1])
+        """Each token's count and probability; documents start at ``starts``, one after the other.
+
+        What fewer words than all of an n-gram ask for is looked up once for each distinct run of them.
+        """
+        words, number = np.unique(np.concatenate([*documents, np.array([START, END])]), return_inverse=True)
+        number = np.split(number, np.cumsum([len(document) for document in documents]))
+        columns = grams(number[:-1], self.order, *number[-1])
+        single = hash_of([words], len(words))
+        rows = self.grams[0](single, mixed(single))[columns[-1]]
+        counts, contexts, known = [rows[:, -1]], [], []
+        for k in range(2, self.order + 1):
+            context, at = single, columns[self.order - k]
+            for column in columns[self.order - k + 1 : -1]:
+                _, context, at = longer(context, at, words, column)
+            # The context is the n-gram of a word less that ends in the token before.
+            before = np.roll(counts[-1] > 0, 1)
+            before[starts] = self.totals.tokens > 0
+            known.append(before)
+            contexts.append(self.contexts[k - 2](context, mixed(context))[at])
+            if k < self.order:
+                of, key, place = longer(context, at, words, columns[-1])
+                counts.append(self.grams[k - 1](of, key)[place, -1])
+            else:
+                of = context[at]
+                counts.append(self.grams[k - 1](of, extended(of, words[columns[-1]]))[:, -1])
         return rows[:, 0], probabilities(counts, contexts, known, self.totals)
 
 

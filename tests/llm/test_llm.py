@@ -374,6 +374,38 @@ def test_language_model(spark, order):
         assert row.base_score == pytest.approx(sum(math.log10((words[w] + 1) / (total + 1 * (len(words) + 1))) for w in found))
 
 
+def test_language_model_hands_on_few_words():
+    """N-grams come back as they were; where many shards leave few to each, their words take less than a whole hash."""
+    rng = np.random.default_rng(7)
+    for rows in (0, 1, 63, 3000, 400_000):
+        known = np.sort(rng.integers(3, 1 << 63, 5000).astype(np.uint64))
+        columns = [rng.integers(0, 5000, rows) for _ in range(3)]
+        values = [np.arange(rows)]
+        blob = language_model.packed(known, columns, values)
+        words, got, (number,) = language_model.unpacked(blob)
+        assert sorted(zip(*[words[c].tolist() for c in got], number.tolist())) == sorted(zip(*[known[c].tolist() for c in columns], range(rows)))
+        if rows == 3000:
+            assert len(words) > 4000 and len(blob) < 47_500  # 49,289 with all words whole
+
+
+def test_language_model_asks_once_for_what_repeats(monkeypatch):
+    asked = []
+
+    class Nothing:
+        def __init__(self, store, kind, shards, missing):
+            self.kind, self.missing = kind, missing
+
+        def __call__(self, hashes, key):
+            asked.append((self.kind, len(key)))
+            return np.tile(np.array(self.missing), (len(key), 1))
+
+    monkeypatch.setattr(language_model, "Shards", Nothing)
+    model = language_model.Model(None, language_model.Totals(10, 5, 5, [np.array([0, 0.5, 0.75, 1.0])] * 3, 0.5), 1, 3)
+    documents = [np.array([7, 8, 9], np.uint64)] * 50
+    counts, _ = model(documents, np.arange(50) * 4)
+    assert len(counts) == 200 and all(n < 10 for kind, n in asked if kind != "grams-3")
+
+
 def test_language_model_odd(spark):
     rows = language_model.model_scores(odd_documents(spark)).collect()
     assert len(rows) == 13 and all(math.isfinite(r.score) and r.score <= 0 for r in rows)

@@ -25,6 +25,8 @@ ORDER = 3
 HOLD = 5_000_000
 #: Words that are numbered by how frequent they are among the n-grams handed to a shard: one for so many n-grams, and no more than these.
 FREQUENT_EACH, FREQUENT = 64, 4096
+#: Words that have a number of their own wherever n-grams are handed on, and about how many bytes of text these are chosen from.
+COMMON, COMMON_BYTES = 1 << 17, 16 << 20
 #: Bytes of text whose n-grams one shard holds, so that a shard stays of one size as the corpus grows.
 SHARD_BYTES = 32 << 20
 
@@ -98,21 +100,24 @@ def within_runs(columns: list[np.ndarray], place: int) -> np.ndarray:
     return same
 
 
-def packed(known: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray]) -> bytes:
+def packed(known: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray], common: int = 0, code: np.ndarray | None = None) -> bytes:
     """N-grams, as numbers of ``known`` words, and their values as bytes: the words that they hold, then small numbers.
 
-    The most frequent words have the lowest numbers, the others are in order; the n-grams are sorted by these, and of
-    both only steps from row to row are kept.
+    Of ``code``, each known word has its number among the ``common`` words, which aren't written, or -1. Of the others, the
+    most frequent have the lowest numbers, the rest are in order; the n-grams are sorted by these, and of both only steps
+    from row to row are kept.
     """
-    times = sum(np.bincount(column, minlength=len(known)) for column in columns)
-    used = np.flatnonzero(times)
-    frequent = np.argsort(-times[used], kind="stable")[: min(FREQUENT, len(columns[0]) // FREQUENT_EACH)]
-    others = np.delete(used, frequent)
-    used = np.concatenate([used[frequent], others])
-    rank = np.zeros(len(known), np.int64)
-    rank[used] = np.arange(len(used))
-    columns = [rank[column] for column in columns]
-    bits = len(used).bit_length()
+    flat, rows = np.concatenate(columns), len(columns[0])
+    number = np.full(len(flat), -1) if code is None else code[flat].astype(np.int64)
+    own = np.flatnonzero(number < 0)
+    used, place, times = np.unique(flat[own], return_inverse=True, return_counts=True)
+    frequent = np.argsort(-times, kind="stable")[: min(FREQUENT, rows // FREQUENT_EACH)]
+    by = np.concatenate([frequent, np.delete(np.arange(len(used)), frequent)])
+    rank = np.empty(len(used), np.int64)
+    rank[by] = np.arange(common, common + len(used))
+    number[own] = rank[place]
+    columns = np.split(number, len(columns))
+    bits = (common + len(used)).bit_length()
     if bits * len(columns) < 64:
         place = columns[0].copy()
         for column in columns[1:]:
@@ -122,7 +127,7 @@ def packed(known: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray
         order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     steps = [np.where(within_runs(columns, i), np.diff(c, prepend=0), c) for i, c in enumerate(columns)]
-    words = known[used]
+    words = known[used[by]]
     words[len(frequent) + 1 :] = np.diff(words[len(frequent) :])
     parts = [words.view(np.uint8).reshape(-1, 8).T.tobytes(), *map(planes, steps), *(planes(v[order]) for v in values)]
     sizes = np.array([len(columns), len(used), len(order), *map(len, parts)], np.int64)
@@ -130,7 +135,7 @@ def packed(known: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """What ``packed`` was given, in another order."""
+    """What ``packed`` was given, in another order: numbers are of the common words first, then of the words returned."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     sizes = np.frombuffer(raw, np.int64, int(np.frombuffer(raw, np.int64, 1)[0]), 8)
     at, numbers = 8 + 8 * len(sizes), []
@@ -151,29 +156,35 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray
     return known, [c.astype(np.uint32) for c in columns], [v.astype(np.uint32 if v.itemsize <= 4 else np.int64) for v in numbers[words:]]
 
 
-def merged(parts: list[tuple]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Unpacked n-grams of several tasks with one list of words; ``parts`` is emptied."""
+def merged(parts: list[tuple], common: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Unpacked n-grams of several tasks with one list of words, the common ones first; ``parts`` is emptied."""
     known = np.unique(np.concatenate([k for k, _, _ in parts]))
     columns = [[] for _ in parts[0][1]]
     values = [[] for _ in parts[0][2]]
     while parts:
         own, numbers, counts = parts.pop()
-        place = np.searchsorted(known, own).astype(np.uint32)
+        place = np.arange(len(common) + len(own), dtype=np.uint32)
+        place[len(common) :] = np.searchsorted(known, own) + len(common)
         for into, column in zip(columns, numbers, strict=True):
             into.append(place[column])
         for into, column in zip(values, counts, strict=True):
             into.append(column)
-    return known, [np.concatenate(columns.pop(0)) for _ in range(len(columns))], [np.concatenate(values.pop(0)) for _ in range(len(values))]
+    return np.concatenate([common, known]), [np.concatenate(columns.pop(0)) for _ in range(len(columns))], [np.concatenate(values.pop(0)) for _ in range(len(values))]
 
 
-def dealt(known: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray], shards: int) -> Iterator[tuple[int, bytes]]:
+def dealt(known: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray], shards: int, common: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Distinct n-grams by the shard of their context: all of one context are in one."""
-    shard = shard_of(hash_of((known[c] for c in columns[:-1] or columns), len(columns[0])), shards).astype(np.uint16)
+    code = np.full(len(known), -1, np.int32)
+    if len(common):
+        sorter = np.argsort(common)
+        place = sorter[np.minimum(np.searchsorted(common, known, sorter=sorter), len(common) - 1)]
+        code = np.where(common[place] == known, place, -1).astype(np.int32)
+    shard = shard_of(hash_of((known[c] for c in columns[:-1] or columns), len(columns[0])), shards).astype(np.uint16 if shards <= 1 << 16 else np.uint32)
     order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
-    for i in np.flatnonzero(edges[1:] > edges[:-1]).tolist():
-        own = order[edges[i] : edges[i + 1]]
-        yield i, packed(known, [c[own] for c in columns], [v[own] for v in values])
+    sorted_ = shard[order]
+    edges = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(order) else []
+    for own in np.split(order, edges[1:]) if len(order) else []:
+        yield int(shard[own[0]]), packed(known, [c[own] for c in columns], [v[own] for v in values], len(common), code)
 
 
 @dataclass
@@ -203,7 +214,26 @@ def discounts(times: np.ndarray) -> np.ndarray:
     return out
 
 
-def corpus_counts(rows: DataFrame, shards: int, order: int) -> DataFrame:
+def common_words(rows: DataFrame, size: int) -> np.ndarray:
+    """Hashes of words that are frequent in some 16 MB of the texts, of ``size`` bytes, the most frequent first.
+
+    They only choose which words take less room on their way between tasks: n-grams and counts are of all texts.
+    """
+
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
+        for batch in batches:
+            words = [hashes(tokens(text)) for text in batch.column("text").to_pylist()]
+            found, count = np.unique(np.concatenate([np.tile([START, END], len(words)), *words]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count)], ["word", "n"])
+
+    some = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(-(-size // COMMON_BYTES) or 1)) == 0)
+    counts = some.select(F.col("text").cast("binary").alias("text")).mapInArrow(counting, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("n") > 1).orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    return np.array([row["word"] for row in top], np.int64).view(np.uint64)
+
+
+def corpus_counts(rows: DataFrame, shards: int, order: int, common: np.ndarray) -> DataFrame:
     """``(shard, blob)``: each task's n-grams with their counts, by shard of their context."""
 
     def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +246,7 @@ def corpus_counts(rows: DataFrame, shards: int, order: int) -> DataFrame:
             by, starts = runs(hash_of((known[c] for c in columns), len(columns[0])))
             count = np.diff(np.append(starts, len(by)))
             by = by[starts]
-            found = list(dealt(known, [c[by] for c in columns], [count], shards))
+            found = list(dealt(known, [c[by] for c in columns], [count], shards, common))
             return pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], ["shard", "blob"])
 
         for batch in batches:
@@ -232,7 +262,7 @@ def corpus_counts(rows: DataFrame, shards: int, order: int) -> DataFrame:
     return rows.select(F.col("text").cast("binary").alias("text")).mapInArrow(counting, "shard int, blob binary")
 
 
-def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def level_of(store: Store, level: int, order: int, shards: int, common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """What writes a shard's n-grams of ``level`` words and their contexts, and hands on the ends of the n-grams.
 
     An n-gram's count is how often it occurs, below the highest order how many different words it follows. Handed on are
@@ -252,7 +282,7 @@ def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Ite
         batch = blob = None  # what was read isn't held on to
         out: list[tuple[int, bytes]] = []
         if parts:
-            words, columns, values = merged(parts)
+            words, columns, values = merged(parts, common)
             key = hash_of((words[c] for c in columns), len(columns[0]))
             # A shard is a range of these hashes: mixed once more, they differ in their upper bits again.
             key = mixed(key) if level == 1 else key
@@ -278,7 +308,7 @@ def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Ite
                 by, starts = runs(hash_of((words[c] for c in columns), len(key)))
                 columns = [c[by[starts]] for c in columns]
                 ends = np.diff(np.append(starts, len(by)))
-                out += dealt(words, columns, [ends, np.add.reduceat(often[by], starts) - ends], shards)
+                out += dealt(words, columns, [ends, np.add.reduceat(often[by], starts) - ends], shards, common)
             sums[5 * (level - 1) : 5 * level] += [*np.bincount(np.minimum(count, 5), minlength=6)[1:5], len(count)]
         out.append((-1, sums.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int32()), pa.array([b for _, b in out], pa.binary())], ["shard", "blob"])
@@ -286,16 +316,16 @@ def level_of(store: Store, level: int, order: int, shards: int) -> Callable[[Ite
     return writing
 
 
-def train(rows: DataFrame, shards: int, order: int) -> tuple[Store, Totals]:
+def train(rows: DataFrame, shards: int, order: int, common: np.ndarray) -> tuple[Store, Totals]:
     """Count ``(id, text)`` rows, from the longest n-grams to single words.
 
     N-grams are summed by shards of their context's hash. A task hands on each n-gram once, so a context's rows in its
     shard are as many as the tasks' different words after it, however often it occurs.
     """
     store = Store(rows.sparkSession, "language-model")
-    handed = corpus_counts(rows, shards, order)
+    handed = corpus_counts(rows, shards, order, common)
     for level in range(order, 0, -1):
-        handed = handed.groupBy("shard").applyInArrow(level_of(store, level, order, shards), "shard int, blob binary")
+        handed = handed.groupBy("shard").applyInArrow(level_of(store, level, order, shards, common), "shard int, blob binary")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(5 * order + 2, np.int64)
@@ -392,7 +422,8 @@ def model_scores(
     shards = shards_for(rows, shard_bytes)
     if held is None:
         held = F.coalesce(remainder("id", FOLDS) == HELD_OUT, F.lit(False))
-    store, totals = train(rows.where(~held), shards, order)
+    learnt = rows.where(~held)
+    store, totals = train(learnt, shards, order, common_words(learnt, shards * shard_bytes))
 
     def scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, model = word_hashes(), Model(store, totals, shards, order)

@@ -388,6 +388,33 @@ def test_language_model_hands_on_few_words():
             assert len(words) > 4000 and len(blob) < 47_500  # 49,289 with all words whole
 
 
+def test_language_model_hands_on_as_little_to_many_shards():
+    """What n-grams take on their way hardly grows with the shards that a larger corpus has, and they come back as they were."""
+    rng = np.random.default_rng(7)
+    words = np.unique(rng.integers(3, 1 << 63, 30_000).astype(np.uint64))
+    text = np.minimum(rng.zipf(1.2, 100_000), len(words)) - 1
+    columns = [c.copy() for c in np.unique(np.stack([text[:-2], text[1:-1], text[2:]]), axis=1)]
+    count, common = np.arange(len(columns[0])), rng.permutation(words[:5000])
+    size = {}
+    for shards in (4, 500):
+        found = list(language_model.dealt(words, columns, [count], shards, common))
+        assert len(found) == len({shard for shard, _ in found}) == shards
+        size[shards] = sum(len(blob) for _, blob in found)
+        known, got, (number,) = language_model.merged([language_model.unpacked(blob) for _, blob in found], common)
+        assert sorted(zip(*[known[c].tolist() for c in got], number.tolist())) == sorted(zip(*[words[c].tolist() for c in columns], count.tolist()))
+    assert size[500] < 1.6 * size[4], size
+
+
+def test_language_model_common_words(spark):
+    texts = ["the cat", "the dog and the cat", "THE bird", "once"] * 3
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    hashes = language_model.word_hashes()
+    common = language_model.common_words(frame, 100)
+    assert set(common[:3].tolist()) == {int(language_model.START), int(language_model.END), int(hashes([b"the"])[0])}
+    assert set(common[3:].tolist()) == set(hashes([b"cat", b"dog", b"bird", b"and", b"once"]).tolist())
+    assert len(language_model.common_words(frame.limit(0), 0)) == 0
+
+
 def test_language_model_asks_once_for_what_repeats(monkeypatch):
     asked = []
 

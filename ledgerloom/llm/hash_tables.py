@@ -126,11 +126,11 @@ class Shards:
             starts, rest, row, values = table
             first, wanted = (key[own] >> np.uint64(48)).astype(np.int64), (key[own] >> np.uint64(16)).astype(np.uint32)
             low, end = starts[first].astype(np.int64), starts[first + 1].astype(np.int64)
-            high = end.copy()
-            for _ in range(int((end - low).max()).bit_length()):  # halve the keys that begin alike
-                middle = (low + high) >> 1
-                less = (middle < high) & (rest[np.minimum(middle, len(rest) - 1)] < wanted)
-                low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
-            found = (low < end) & (rest[np.minimum(low, len(rest) - 1)] == wanted)
+            for step in 1 << np.arange(int((end - low).max()).bit_length())[::-1]:  # halve the keys that begin alike
+                probe = low + (step - 1)
+                less = rest.take(probe, mode="clip") < wanted
+                less &= probe < end
+                low += less * step
+            found = (low < end) & (rest.take(low, mode="clip") == wanted)
             out[own[found]] = values[row[low[found]]]
         return out

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import id_and_text, load, remainder, small_batches
 from ledgerloom.llm.hash_tables import Shards, Store, shard_of, shards_for
 from ledgerloom.llm.shingles import mixed
+from ledgerloom.scratch import drop, shuffles_dropped, written
 
 FOLDS, HELD_OUT = 7, 2
 #: Hashes of the end of a document, which is a token, and of its start, which is a context only.
@@ -320,12 +321,18 @@ def train(rows: DataFrame, shards: int, order: int, common: np.ndarray) -> tuple
     """Count ``(id, text)`` rows, from the longest n-grams to single words.
 
     N-grams are summed by shards of their context's hash. A task hands on each n-gram once, so a context's rows in its
-    shard are as many as the tasks' different words after it, however often it occurs.
+    shard are as many as the tasks' different words after it, however often it occurs. What is handed on is written before
+    the next level reads it, so that each level's shuffle is deleted before the next begins.
     """
     store = Store(rows.sparkSession, "language-model")
-    handed = corpus_counts(rows, shards, order, common)
+    handed, read = corpus_counts(rows, shards, order, common), None
     for level in range(order, 0, -1):
         handed = handed.groupBy("shard").applyInArrow(level_of(store, level, order, shards, common), "shard int, blob binary")
+        if level > 1:
+            handed, before = written(handed, "n-grams"), read
+            if before is not None:
+                drop(before)
+            read = handed
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(5 * order + 2, np.int64)
@@ -336,6 +343,7 @@ def train(rows: DataFrame, shards: int, order: int, common: np.ndarray) -> tuple
 
     # A row of a few numbers for each task.
     each = handed.select("blob").mapInArrow(summed, "blob binary").collect()
+    drop(read)
     sums = np.sum([np.zeros(5 * order + 2, np.int64), *(np.frombuffer(row["blob"], np.int64) for row in each)], axis=0)
     store.seal(shards, int(sums[-2]))
     levels = sums[:-2].reshape(order, 5)
@@ -422,8 +430,9 @@ def model_scores(
     shards = shards_for(rows, shard_bytes)
     if held is None:
         held = F.coalesce(remainder("id", FOLDS) == HELD_OUT, F.lit(False))
-    learnt = rows.where(~held)
-    store, totals = train(learnt, shards, order, common_words(learnt, shards * shard_bytes))
+    with shuffles_dropped(spark):
+        learnt = rows.where(~held)
+        store, totals = train(learnt, shards, order, common_words(learnt, shards * shard_bytes))
 
     def scoring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, model = word_hashes(), Model(store, totals, shards, order)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -21,6 +23,7 @@ from tokenizers import Tokenizer
 from compare import differences, oracle
 from conftest import SF
 from ledgerloom.llm import exact_dedup, language_model, licenses, near_dedup, packing, pieces, quality, registry, token_counts, toxicity, vector_dedup
+from ledgerloom.scratch import shared_dir
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 KINDS = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, score string, id string, label int"
@@ -433,6 +436,19 @@ def test_language_model_asks_once_for_what_repeats(monkeypatch):
     assert len(counts) == 200 and all(n < 10 for kind, n in asked if kind != "grams-3")
 
 
+def test_language_model_leaves_no_shuffles(spark):
+    """What training shuffled and handed on is gone once it has ended; its tables stay."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    made = lambda: {p.name for p in Path(shared_dir(spark), "ledgerloom").glob("*")}
+    before, there = shuffled(), made()
+    scores = language_model.model_scores(spark.read.parquet(f"{SF}/documents.parquet"), shard_bytes=100_000)
+    # The sum of the texts' bytes comes first and shuffles a few numbers.
+    assert sum(os.path.getsize(f) for f in shuffled() - before if os.path.exists(f)) < 10_000
+    assert [name.startswith("language-model-") for name in made() - there] == [True]
+    assert len({r.train_tokens for r in scores.collect()}) == 1
+
+
 def test_language_model_odd(spark):
     rows = language_model.model_scores(odd_documents(spark)).collect()
     assert len(rows) == 13 and all(math.isfinite(r.score) and r.score <= 0 for r in rows)
